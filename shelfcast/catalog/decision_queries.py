@@ -119,7 +119,8 @@ def recent_error(spark, sf_dir):
     "latest_row",
     with_parts(
         "panel",
-        f"""SELECT * EXCLUDE (rn) REPLACE (round(discount, 6) AS discount) FROM (
+        f"""SELECT * EXCLUDE (rn) REPLACE (round(discount, 6) AS discount,
+        round(competitor_pricing, 6) AS competitor_pricing) FROM (
         SELECT *, row_number() OVER (PARTITION BY {S} ORDER BY date DESC) AS rn FROM panel) WHERE rn = 1""",
     ),
 )

@@ -18,7 +18,7 @@ PANEL_COLUMNS = (
 )
 PANEL_ROUNDED = PANEL_COLUMNS.replace(
     "discount,", "round(discount, 6) AS discount,"
-)
+).replace("competitor_pricing,", "round(competitor_pricing, 6) AS competitor_pricing,")
 
 
 @query("normalize_columns", with_parts("panel", f"SELECT {PANEL_ROUNDED} FROM panel"))
@@ -32,7 +32,7 @@ SELECT CASE WHEN day(date) = 16 THEN NULL ELSE date END AS date, store_id, produ
   region, inventory_level, CASE WHEN day(date) = 13 THEN -1 ELSE units_sold END AS units_sold,
   CASE WHEN day(date) = 14 THEN 0 ELSE price END AS price, round(discount, 6) AS discount,
   CASE WHEN day(date) <> 15 THEN weather_condition END AS weather_condition,
-  holiday_promotion, competitor_pricing, seasonality
+  holiday_promotion, round(competitor_pricing, 6) AS competitor_pricing, seasonality
 FROM panel"""
 
 
