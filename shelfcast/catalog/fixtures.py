@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from ..schema import TARGET
 TARGET_DATE = "2001-12-03"
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its footer is read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -83,7 +87,7 @@ def panel_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return time_split(panel_pred(spark, sf_dir))
+    return time_split(panel_pred(spark, sf_dir), panel=retail_panel(spark, sf_dir))
 
 
 def panel_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

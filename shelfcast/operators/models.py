@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import unlog
 from ..schema import DATE, LABEL, LAG_COLUMNS, SERIES, model_inputs
-from .clean import MIN_STORE_ROWS, min_rows_gate
+from .clean import MIN_STORE_ROWS
 from .encode import encode
 from .features import baseline_predict, calendar_features
 
@@ -60,9 +60,17 @@ def split_text(day: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
 
 
-def time_split(df: DataFrame, q: float = TRAIN_SHARE, by: Sequence[str] | None = None) -> DataFrame:
-    """Label rows ``train`` up to the split date and ``valid`` after it."""
-    cut = split_date(df, q, by)
+def time_split(
+    df: DataFrame,
+    q: float = TRAIN_SHARE,
+    by: Sequence[str] | None = None,
+    panel: DataFrame | None = None,
+) -> DataFrame:
+    """Label rows ``train`` up to the split date and ``valid`` after it.
+
+    ``panel`` may hold the dates of the same rows in a plan cheaper than ``df``.
+    """
+    cut = split_date(df if panel is None else panel, q, by)
     if by:
         df = df.join(cut, list(by))
         day = F.col("split_day")
@@ -238,9 +246,22 @@ def score_per_store(df: DataFrame, coefficients: DataFrame) -> DataFrame:
     return joined.withColumn("predicted", unlog(terms)).drop("coefficients")
 
 
-def training_rows(featured: DataFrame, min_rows: int = MIN_STORE_ROWS) -> DataFrame:
-    """Rows of stores large enough to train on, split by each store's own dates."""
-    return time_split(min_rows_gate(featured, min_rows), by=["store_id"])
+def training_rows(
+    featured: DataFrame, panel: DataFrame | None = None, min_rows: int = MIN_STORE_ROWS
+) -> DataFrame:
+    """Rows of stores large enough to train on, split by each store's own dates.
+
+    Row counts and split dates come from one aggregate over ``panel``, which
+    needs only the keys and dates of the same rows.
+    """
+    source = featured if panel is None else panel
+    stores = source.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.percentile(F.unix_date(DATE), F.lit(TRAIN_SHARE)).alias("_split_day"),
+    )
+    large = stores.filter(F.col("_rows") >= min_rows).drop("_rows")
+    label = F.when(F.unix_date(DATE) <= F.col("_split_day"), "train").otherwise("valid")
+    return featured.join(large, "store_id").withColumn("split", label).drop("_split_day")
 
 
 # -- forecasters ------------------------------------------------------------

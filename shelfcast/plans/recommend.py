@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.numeric import abs_pct_error, date_text, np_round, percent_text, py_round
+from ..functions.numeric import (
+    abs_pct_error,
+    date_text,
+    np_round,
+    percent_text,
+    py_round,
+    week_end,
+)
 from ..operators.clean import series_semi, store_filter
 from ..operators.features import create_features
 from ..operators.history import ERROR_ROWS, dated_values
 from ..operators.models import prepare_scenarios
-from ..operators.resample import resample
+from ..operators.resample import LAST, period_end, shift_back
 from ..schema import DATE, LAG_COLUMNS, SERIES, TARGET
 
 SCENARIO_COLUMNS = (
@@ -34,47 +41,67 @@ def scored_history(history: DataFrame, forecaster) -> DataFrame:
     return forecaster.score_history(create_features(history)).withColumn("actual", F.col(TARGET))
 
 
-def with_recency(scored: DataFrame) -> DataFrame:
-    """Number rows from the newest, 1, back; keeps the sort the features made."""
+def with_position(scored: DataFrame) -> DataFrame:
+    """Place each row by its distance from the series' newest: rows, weeks, months.
+
+    The windows keep the partitioning and the sort the features made.
+    """
     series = Window.partitionBy(*SERIES)
+    first, last = F.min(DATE).over(series), F.max(DATE).over(series)
     rank = F.row_number().over(series.orderBy(DATE))
-    rows = F.count(F.lit(1)).over(series)
-    return scored.withColumn("recency", rows - rank + 1)
+    placed = scored.withColumns(
+        {
+            "recency": F.count(F.lit(1)).over(series) - rank + 1,
+            "_first": first,
+            "_last": last,
+        }
+    )
+    months = (F.year("_last") - F.year(DATE)) * 12 + F.month("_last") - F.month(DATE)
+    weeks = F.date_diff(week_end("_last"), week_end(DATE)) / 7
+    return placed.withColumns({"_weeks_back": weeks.cast("int"), "_months_back": months})
 
 
-def series_summary(scored: DataFrame, listing: str, listed: int) -> DataFrame:
-    """One row per series: recent error, latest row, first category, last values.
+def _period_listing(freq: str) -> Column:
+    """Means of the last periods of a series, oldest first, as one aggregate.
 
-    All of it comes from one aggregate on rows that already lie by series.
+    A period without rows that lies after the series' first one is listed as
+    nulls, as :func:`~shelfcast.operators.resample.resample` does.
     """
-    columns = [name for name in (*SCENARIO_COLUMNS, *LAG_COLUMNS) if name in scored.columns]
-    recent = F.col("recency") <= ERROR_ROWS
-    error = abs_pct_error(F.col("actual"), F.col("predicted"))
-    return (
-        with_recency(scored)
-        .groupBy(*SERIES)
-        .agg(
-            F.avg(F.when(recent, error)).alias("mean_error"),
-            F.max_by(F.struct(*columns), DATE).alias("latest"),
-            F.min_by("category", DATE).alias("first_category"),
-            F.array_sort(
-                F.collect_list(F.when(F.col("recency") <= listed, dated_values()))
-            ).alias(listing),
+    back = F.col("_weeks_back" if freq == "week" else "_months_back")
+    oldest, newest = F.min("_first"), F.max("_last")
+    entries = []
+    for distance in reversed(range(LAST[freq])):
+        end = shift_back(freq, period_end(freq, newest), distance)
+        entry = F.struct(
+            date_text(end).alias("date"),
+            np_round(F.avg(F.when(back == distance, F.col("predicted")))).alias("predicted"),
+            np_round(F.avg(F.when(back == distance, F.col("actual")))).alias("actual"),
         )
-    )
+        entries.append(F.when(end >= period_end(freq, oldest), entry))
+    return F.array_compact(F.array(*entries))
 
 
-def _period_listing(scored: DataFrame, freq: str, name: str) -> DataFrame:
-    values = F.struct(
-        date_text("period_end").alias("date"),
-        np_round("predicted").alias("predicted"),
-        np_round("actual").alias("actual"),
-    )
-    return (
-        resample(scored, freq)
-        .groupBy(*SERIES)
-        .agg(F.array_sort(F.collect_list(values)).alias(name))
-    )
+def series_summary(scored: DataFrame, listings: dict[str, int], periods: bool = False) -> DataFrame:
+    """One row per series: recent error, latest row, first category, last values.
+
+    ``listings`` names arrays of the last rows and their lengths; ``periods``
+    adds the weekly and monthly means. All of it comes from one aggregate on
+    rows that already lie by series.
+    """
+    columns = [name for name in (*SCENARIO_COLUMNS, *LAG_COLUMNS) if name in scored.columns]
+    error = abs_pct_error(F.col("actual"), F.col("predicted"))
+    aggregates = [
+        F.avg(F.when(F.col("recency") <= ERROR_ROWS, error)).alias("mean_error"),
+        F.max_by(F.struct(*columns), DATE).alias("latest"),
+        F.min_by("category", DATE).alias("first_category"),
+    ]
+    for name, length in listings.items():
+        kept = F.when(F.col("recency") <= length, dated_values())
+        aggregates.append(F.array_sort(F.collect_list(kept)).alias(name))
+    if periods:
+        aggregates.append(_period_listing("week").alias("last_6_weeks"))
+        aggregates.append(_period_listing("month").alias("last_3_months"))
+    return with_position(scored).groupBy(*SERIES).agg(*aggregates)
 
 
 # -- one scenario per row ---------------------------------------------------
@@ -97,16 +124,15 @@ def recommend(
     ``scenarios`` has the series keys, the target ``date`` and the scenario
     columns. Only the series they name are read from ``history``.
     """
+    lags = lags or forecaster.lags
     scored = scored_history(series_semi(history, scenarios), forecaster)
-    summary = series_summary(scored, "last_7_days", 7)
-    latest = summary.select(*SERIES, "latest.*").select(*SERIES, *LAG_COLUMNS)
-    predicted = predict_scenarios(scenarios, forecaster, lags, latest)
-    context = (
-        summary.select(*SERIES, "mean_error", "last_7_days")
-        .join(_period_listing(scored, "week", "last_6_weeks"), list(SERIES))
-        .join(_period_listing(scored, "month", "last_3_months"), list(SERIES))
-    )
-    return single_documents(predicted.join(context, list(SERIES)))
+    summary = series_summary(scored, {"last_7_days": 7}, periods=True).drop("first_category")
+    if lags == "carry":
+        carried = [F.col(f"latest.{name}") for name in LAG_COLUMNS]
+        scenarios = scenarios.drop(*LAG_COLUMNS)
+        summary = summary.select("*", *carried)
+    joined = scenarios.join(summary.drop("latest"), list(SERIES))
+    return single_documents(predict_scenarios(joined, forecaster, lags))
 
 
 def single_documents(df: DataFrame) -> DataFrame:
@@ -209,7 +235,7 @@ def bulk_recommend(
     if stores is not None:
         history = store_filter(history, stores)
     scored = scored_history(history, forecaster)
-    summary = series_summary(scored, "last_4_weeks", 4)
+    summary = series_summary(scored, {"last_4_weeks": 4})
     scenarios = summary.select(
         *SERIES, "mean_error", "first_category", "last_4_weeks", "latest.*"
     ).withColumn(DATE, F.lit(str(target_date)).cast("date"))
@@ -291,8 +317,13 @@ def bulk_rows(df: DataFrame) -> DataFrame:
 
 
 def priority_sort(rows: DataFrame) -> DataFrame:
-    """Most urgent first within each store."""
-    return rows.orderBy("store_id", "priority", "product_id")
+    """Most urgent first within each store.
+
+    A global sort samples its input before it runs. Placing the finished rows,
+    one per series, first keeps that sample from computing them twice.
+    """
+    placed = rows.repartition(*SERIES)
+    return placed.orderBy("store_id", "priority", "product_id")
 
 
 def bulk_summary(rows: DataFrame) -> DataFrame:

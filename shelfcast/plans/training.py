@@ -9,11 +9,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import np_round
+from ..functions.numeric import np_round, ratio
 from ..operators.clean import MIN_STORE_ROWS, clean_panel
 from ..operators.encode import encode, fit_encoders
 from ..operators.features import create_features
-from ..operators.metrics import all_metrics, assessment, generalization_gap, store_accuracy
+from ..operators.metrics import all_metrics, assessment, generalization_gap
 from ..operators.models import (
     GlobalForecaster,
     StoreForecaster,
@@ -73,7 +73,7 @@ def train_and_report(panel: DataFrame, path: str | None = None, **params) -> Tra
     """Clean, encode, build features, split by time, fit, measure and save."""
     clean = clean_panel(panel)
     encoders = fit_encoders(clean)
-    featured = time_split(create_features(encode(clean, encoders)))
+    featured = time_split(create_features(encode(clean, encoders)), panel=clean)
     # Read by the fit (once per boosting round) and by both metric passes.
     featured = featured.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_global(featured.filter(F.col("split") == "train"), **params)
@@ -113,13 +113,13 @@ class StoreTraining:
 
 def training_summary(scored: DataFrame) -> DataFrame:
     """Rows of each trained store, and MAE and accuracy on its validation rows."""
-    records = scored.groupBy("store_id").agg(F.count(F.lit(1)).alias("records"))
-    quality = store_accuracy(scored.filter(F.col("split") == "valid")).drop("records")
-    return records.join(quality, "store_id", "left").select(
-        "store_id",
-        "records",
-        np_round("mae", 2).alias("mae"),
-        np_round("accuracy", 1).alias("accuracy"),
+    valid = F.col("split") == "valid"
+    actual = F.avg(F.when(valid, F.col("actual")))
+    mae = F.avg(F.when(valid, F.abs(F.col("predicted") - F.col("actual"))))
+    return scored.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("records"),
+        np_round(mae, 2).alias("mae"),
+        np_round((1.0 - ratio(mae, actual)) * 100.0, 1).alias("accuracy"),
     )
 
 
@@ -135,7 +135,7 @@ def train_stores(
     """
     clean = clean_panel(panel)
     encoders = fit_encoders(clean)
-    rows = training_rows(create_features(encode(clean, encoders)), min_rows)
+    rows = training_rows(create_features(encode(clean, encoders)), clean, min_rows)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     coefficients = fit_per_store(rows.filter(F.col("split") == "train"), penalty)
     if path is not None:
