@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import SERIES
+from .joins import split_join
 
 # Per-store training needs at least this many rows.
 MIN_STORE_ROWS = 100
@@ -27,12 +28,12 @@ def store_filter(df: DataFrame, stores: str | DataFrame) -> DataFrame:
     """Rows of one store, or of the stores in a DataFrame with ``store_id``."""
     if isinstance(stores, str):
         return df.filter(F.col("store_id") == stores)
-    return df.join(stores.select("store_id").distinct(), "store_id", "left_semi")
+    return split_join(df, stores.select("store_id").distinct(), ["store_id"], "left_semi")
 
 
 def series_semi(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of the series that occur in ``wanted``."""
-    return df.join(wanted.select(*SERIES).distinct(), list(SERIES), "left_semi")
+    return split_join(df, wanted.select(*SERIES).distinct(), SERIES, "left_semi")
 
 
 def min_rows_gate(
@@ -40,7 +41,7 @@ def min_rows_gate(
 ) -> DataFrame:
     """Drop all rows of stores that have fewer than ``min_rows``."""
     large = df.groupBy(*keys).count().filter(F.col("count") >= min_rows).select(*keys)
-    return df.join(large, list(keys), "left_semi")
+    return split_join(df, large, keys, "left_semi")
 
 
 def drop_unscored(

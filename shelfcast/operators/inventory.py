@@ -11,6 +11,7 @@ from ..functions import rules
 from ..schema import DATE, SERIES
 from ..sources.panel import REORDER_COLUMNS
 from .history import latest_row
+from .joins import split_join
 
 DEMAND = "predicted_weekly_demand"
 
@@ -30,7 +31,7 @@ def series_demand_stats(
             mean.alias("avg_weekly_demand"),
             F.coalesce(deviation, F.lit(0.0)).alias("demand_std"),
         )
-        return df.join(stats, list(keys))
+        return split_join(df, stats, keys)
     window = Window.partitionBy(*keys)
     return df.withColumns(
         {

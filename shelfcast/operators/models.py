@@ -22,6 +22,7 @@ from ..schema import DATE, LABEL, LAG_COLUMNS, SERIES, model_inputs
 from .clean import MIN_STORE_ROWS
 from .encode import encode
 from .features import baseline_predict, calendar_features
+from .joins import split_join
 
 TRAIN_SHARE = 0.80
 
@@ -72,7 +73,7 @@ def time_split(
     """
     cut = split_date(df if panel is None else panel, q, by)
     if by:
-        df = df.join(cut, list(by))
+        df = split_join(df, cut, by)
         day = F.col("split_day")
     else:
         day = cut.scalar()
@@ -110,7 +111,7 @@ def prepare_scenarios(
     if latest is None:
         return dated
     carried = latest.select(*SERIES, *LAG_COLUMNS)
-    joined = dated.drop(*LAG_COLUMNS).join(carried, list(SERIES), "left")
+    joined = split_join(dated.drop(*LAG_COLUMNS), carried, SERIES, "left")
     return joined.fillna(0.0, subset=list(LAG_COLUMNS))
 
 
@@ -239,7 +240,8 @@ def fit_per_store(train: DataFrame, penalty: float = 0.01) -> DataFrame:
 
 def score_per_store(df: DataFrame, coefficients: DataFrame) -> DataFrame:
     """Score rows with their store's model; stores without one get null."""
-    joined = df.join(coefficients.select("store_id", "coefficients"), "store_id", "left")
+    models = coefficients.select("store_id", "coefficients")
+    joined = split_join(df, models, ["store_id"], "left")
     terms = F.col("coefficients")[0]
     for spot, name in enumerate(model_inputs(), start=1):
         terms = terms + F.col("coefficients")[spot] * F.col(name).cast("double")
@@ -261,7 +263,8 @@ def training_rows(
     )
     large = stores.filter(F.col("_rows") >= min_rows).drop("_rows")
     label = F.when(F.unix_date(DATE) <= F.col("_split_day"), "train").otherwise("valid")
-    return featured.join(large, "store_id").withColumn("split", label).drop("_split_day")
+    rows = split_join(featured, large, ["store_id"])
+    return rows.withColumn("split", label).drop("_split_day")
 
 
 # -- forecasters ------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable
+from .joins import split_join
 
 # monotonically_increasing_id() keeps the partition above this bit.
 PARTITION_SHIFT = 33
@@ -63,7 +64,7 @@ def segments(
     ranked = with_global_rank(df, [*keys, *order], "_rank")
     starts = ranked.groupBy(*keys).agg(F.min("_rank").alias("_start"))
     placed = (
-        ranked.join(starts, list(keys))
+        split_join(ranked, starts, keys)
         .withColumn("_place", F.col("_rank") - F.col("_start"))
         .drop("_rank", "_start")
         .withColumn("_segment", F.expr(f"_place div {rows}"))

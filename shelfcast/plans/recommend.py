@@ -19,6 +19,7 @@ from ..functions.numeric import (
 from ..operators.clean import series_semi, store_filter
 from ..operators.features import create_features
 from ..operators.history import ERROR_ROWS, dated_values
+from ..operators.joins import split_join
 from ..operators.models import prepare_scenarios
 from ..operators.resample import LAST, period_end, shift_back
 from ..schema import DATE, LAG_COLUMNS, SERIES, TARGET
@@ -131,7 +132,7 @@ def recommend(
         carried = [F.col(f"latest.{name}") for name in LAG_COLUMNS]
         scenarios = scenarios.drop(*LAG_COLUMNS)
         summary = summary.select("*", *carried)
-    joined = scenarios.join(summary.drop("latest"), list(SERIES))
+    joined = split_join(scenarios, summary.drop("latest"), SERIES)
     return single_documents(predict_scenarios(joined, forecaster, lags))
 
 
