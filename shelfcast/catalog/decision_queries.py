@@ -625,6 +625,18 @@ def orphan_rows(spark, sf_dir):
     return rows.select(*shifted.columns)
 
 
+@query(
+    "longest_series",
+    with_parts(
+        "panel",
+        f"""SELECT max(n) AS "rows", CAST(max(hi) - min(lo) + 1 AS INT) AS "days" FROM (
+        SELECT count(*) AS n, min(date) AS lo, max(date) AS hi FROM panel GROUP BY {S})""",
+    ),
+)
+def longest_series(spark, sf_dir):
+    return integrity.longest_series(fixtures.retail_panel(spark, sf_dir))
+
+
 @query(
     "check_unique",
     with_parts(

@@ -22,16 +22,18 @@ def global_model_report(spark, sf_dir):
 @query("global_model_history")
 def global_model_history(spark, sf_dir):
     panel = fixtures.retail_panel(spark, sf_dir)
-    forecaster = train_and_report(panel, **ROUNDS).forecaster
-    scored = scored_history(panel, forecaster)
+    report = train_and_report(panel, **ROUNDS)
+    report.release()
+    scored = scored_history(panel, report.forecaster)
     return scored.select("date", *SERIES, "actual", "predicted")
 
 
 @query("global_model_bulk")
 def global_model_bulk(spark, sf_dir):
     panel = fixtures.retail_panel(spark, sf_dir)
-    forecaster = train_and_report(panel, **ROUNDS).forecaster
-    rows = bulk_recommend(panel, TARGET_DATE, forecaster)
+    report = train_and_report(panel, **ROUNDS)
+    report.release()
+    rows = bulk_recommend(panel, TARGET_DATE, report.forecaster)
     return priority_sort(rows.drop("last_4_weeks", "demand_breakdown"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean, encode, features
-from ..operators.models import split_date, split_sizes
+from ..operators.models import feature_projection, split_date, split_sizes
 from ..schema import CATEGORICALS, LAG_COLUMNS, SERIES
 from ..sources import panel as source
 from . import fixtures
@@ -332,3 +332,20 @@ def encode_panel(spark, sf_dir):
     panel = fixtures.retail_panel(spark, sf_dir)
     coded = encode.encode(panel, encode.fit_encoders(panel))
     return coded.select("date", *SERIES, *[f"{name}_idx" for name in CATEGORICALS])
+
+
+@query(
+    "feature_projection",
+    with_parts(
+        "feats",
+        f"""SELECT {CODES.replace("CAST(dense_rank() OVER (ORDER BY weather_condition) - 1 AS DOUBLE) AS weather_condition_idx, ", "")},
+        inventory_level, price, round(discount, 6) AS discount,
+        round(competitor_pricing, 6) AS competitor_pricing, holiday_promotion, is_weekend, week, month,
+        lag_7, lag_14, lag_30, lag_60, {r6('rolling_mean_7', 'rolling_mean_7')},
+        {r6('rolling_mean_30', 'rolling_mean_30')} FROM feats""",
+    ),
+)
+def feature_projection_of_panel(spark, sf_dir):
+    panel = fixtures.retail_panel(spark, sf_dir)
+    coded = encode.encode(panel, encode.fit_encoders(panel))
+    return rounded(feature_projection(features.create_features(coded)))

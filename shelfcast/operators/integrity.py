@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FOREIGN_KEYS
+from ..schema import DATE, FOREIGN_KEYS, SERIES
 
 
 def orphan_rows(fact: DataFrame, key: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
@@ -35,6 +35,21 @@ def check_foreign_keys(name: str, fact: DataFrame, parents: dict[str, DataFrame]
     return report
 
 
+def longest_series(df: DataFrame, keys: Sequence[str] = SERIES, order: str = DATE) -> DataFrame:
+    """Rows of the longest series and the days the panel spans, as one row.
+
+    With unique (series, date) rows the first cannot exceed the second; input
+    where it does needs ``upsert_keep_last`` or segmented features.
+    """
+    lengths = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_first"), F.max(order).alias("_last")
+    )
+    return lengths.agg(
+        F.max("_rows").alias("rows"),
+        (F.date_diff(F.max("_last"), F.min("_first")) + 1).alias("days"),
+    )
+
+
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values that occur more than once, with their number of rows."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)

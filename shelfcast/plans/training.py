@@ -46,11 +46,16 @@ class TrainingReport:
     valid: DataFrame
     gap: DataFrame
     saved: DataFrame
+    rows: DataFrame
 
     @property
     def forecaster(self) -> GlobalForecaster:
         return GlobalForecaster(self.model, self.encoders)
 
+    def release(self) -> None:
+        """Drop the cached training rows; the report's frames then compute anew."""
+        self.rows.unpersist()
+
 
 def split_metrics(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metrics of the train and the valid rows; MASE is scaled by the train rows."""
@@ -84,7 +89,8 @@ def train_and_report(panel: DataFrame, path: str | None = None, **params) -> Tra
         save_model(model, encoders, f"{path}/{GLOBAL_STORE}")
         save_metrics(saved, f"{path}/metrics")
         register_global(saved, path)
-    return TrainingReport(model, encoders, train, valid, generalization_gap(train, valid), saved)
+    gap = generalization_gap(train, valid)
+    return TrainingReport(model, encoders, train, valid, gap, saved, featured)
 
 
 def register_global(saved: DataFrame, path: str) -> None:
@@ -105,11 +111,16 @@ class StoreTraining:
     coefficients: DataFrame
     encoders: DataFrame
     summary: DataFrame
+    rows: DataFrame
 
     @property
     def forecaster(self) -> StoreForecaster:
         return StoreForecaster(self.coefficients, self.encoders)
 
+    def release(self) -> None:
+        """Drop the cached training rows; the frames then compute anew."""
+        self.rows.unpersist()
+
 
 def training_summary(scored: DataFrame) -> DataFrame:
     """Rows of each trained store, and MAE and accuracy on its validation rows."""
@@ -153,4 +164,4 @@ def train_stores(
             F.lit(path_size_mb(panel.sparkSession, f"{path}/stores/coefficients")).alias("size_mb"),
         )
         register_models(entries, f"{path}/registry")
-    return StoreTraining(coefficients, encoders, summary)
+    return StoreTraining(coefficients, encoders, summary, rows)

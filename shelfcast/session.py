@@ -1,4 +1,9 @@
-"""Session settings the engine relies on, and the one way it cuts lineage."""
+"""Session settings the engine relies on, and the one way it cuts lineage.
+
+On a cluster set ``spark.sql.shuffle.partitions`` (or the adaptive initial
+number) so that a partition of the panel's one large shuffle holds some 200 MB.
+Adaptive execution merges partitions that turn out smaller.
+"""
 
 from __future__ import annotations
 

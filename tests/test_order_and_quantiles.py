@@ -33,7 +33,7 @@ def test_percentiles_of_skewed_groups(spark):
     check_percentiles(spark, rows)
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(
     st.lists(
         st.tuples(
