@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import SERIES
 from .joins import split_join
@@ -49,14 +48,3 @@ def drop_unscored(
 ) -> DataFrame:
     """Drop rows whose actual or predicted value is null or NaN."""
     return df.dropna(subset=[actual, predicted])
-
-
-def nan_to_null(df: DataFrame) -> DataFrame:
-    return df.select(
-        [
-            F.nanvl(field.name, F.lit(None).cast("double")).alias(field.name)
-            if isinstance(field.dataType, T.DoubleType)
-            else F.col(field.name)
-            for field in df.schema.fields
-        ]
-    )

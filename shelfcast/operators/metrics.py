@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import abs_pct_error, clamp_percent, month_key, ratio
+from ..functions.numeric import clamp_percent, month_key, ratio
 from ..functions.rules import (
     drift_status,
     generalization_grade,
@@ -389,7 +389,3 @@ def drift(current: DataFrame, saved: DataFrame) -> DataFrame:
         (F.col("mape_accuracy") - F.col("valid_mape_accuracy")).alias("mape_change"),
         drift_status(F.col("mape_accuracy") - F.col("valid_mape_accuracy")).alias("mape_status"),
     )
-
-
-def mean_abs_pct_error(actual: Column, predicted: Column) -> Column:
-    return F.avg(abs_pct_error(actual, predicted))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,10 +91,9 @@ def adjacent_gaps(
     Each range partition is reduced to one line per group it holds, and only
     these lines meet again to close the gaps between partitions.
     """
-    columns = list(dict.fromkeys([*by, *order]))
     sort_keys = list(dict.fromkeys([*by, *order]))
     rows = df.select(
-        *columns, F.col(first).cast("double").alias("_f"), F.col(last).cast("double").alias("_l")
+        *sort_keys, F.col(first).cast("double").alias("_f"), F.col(last).cast("double").alias("_l")
     )
     groups = list(by)
     heads = [f"_head_{name}" for name in order]
@@ -124,7 +124,7 @@ def adjacent_gaps(
                 parts = (batch,)
             for part in parts:
                 key = tuple(part[groups].iloc[0]) if groups else ()
-                gap = float((part["_f"].iloc[1:].values - part["_l"].iloc[:-1].values).__abs__().sum())
+                gap = float(np.abs(part["_f"].values[1:] - part["_l"].values[:-1]).sum())
                 pairs = len(part) - 1
                 if open_group is not None and open_group["key"] == key:
                     state = open_group["line"]
