@@ -8,6 +8,8 @@ Adaptive execution merges partitions that turn out smaller.
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="shelfcast-checkpoint-")
     context.setCheckpointDir(configured)
@@ -55,3 +57,22 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Spark's own file server hands the archive to every executor, also to those
+    that start later. Where the package is installed on the executors already,
+    the archive is an equal copy.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_shelfcast_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="shelfcast-package-")) / "shelfcast-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, f"{root.name}/{file.relative_to(root).as_posix()}")
+    context.addPyFile(str(archive))
+    context._shelfcast_shipped = True
