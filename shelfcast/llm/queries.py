@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import mixture, ngram_join
+from . import bpe, mixture, ngram_join, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,3 +83,29 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = ngram_join.near_duplicate_components(docs, shingle=3, percent=90)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_bpe_codec")
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document, read back from the files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = packing.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.read_token_files(files).select(
+        "doc_id",
+        "start",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("token_ids").alias("ids_crc32"),
+    )
