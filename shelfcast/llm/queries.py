@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, mixture, ngram_join, packing
+from . import bpe, lines, mixture, ngram_join, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,3 +109,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("token_ids").alias("ids_crc32"),
     )
+
+
+@query("op9_fuzzy_lines")
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, how many go, and a digest of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.drop_repeated_lines(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
