@@ -73,6 +73,7 @@ def link_buckets(
         )
         found = workspace.write(verify(pairs.distinct()), "links")
         workspace.drop(rows)
+        workspace.release()
         if found.isEmpty():
             continue
         links = found if links is None else links.unionAll(found)

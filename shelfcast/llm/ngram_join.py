@@ -15,6 +15,7 @@ between components is lost and no group is expanded into all its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Workspace, components
+from .buckets import link_buckets, shared_only
+from .tables import Workspace
 from .words import fold_ascii, gram_hashes, hash_spans, mix, slices, spans, text_bytes
 
 # Counters of the frequency sketch, and the largest rank kept of a counter: a fixed
@@ -32,7 +34,6 @@ SKETCH_BITS = 22
 BLOCK_BITS = 14
 SKETCH_GROUPS = 256
 ORDERS = 3
-CENTRE_ROUNDS = 3
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -111,11 +112,6 @@ def _prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _index_length(size: int, percent: int) -> int:
-    """The same for the shorter document of a pair (its partner is at least as large)."""
-    return size - -(-2 * percent * size // (100 + percent)) + 1
-
-
 def _least_overlap(a: str, b: str, percent: int) -> str:
     """SQL: the smallest intersection of sets of these sizes that reaches the threshold."""
     return f"((({a} + {b}) * {percent} + {100 + percent - 1}) div {100 + percent})"
@@ -236,92 +232,61 @@ def near_duplicate_components(
     docs = docs.drop(*[c for c in ("n_shingles", "component_id", "_node", "_n_shingles") if c not in (id_col, text_col)])
     ranks = spark.sparkContext.broadcast(_sketch(docs, text_col, shingle))
     summary = workspace.write(_summary(docs, text_col, shingle), "summary")
-
-    # Prefix rows, without the buckets of one document (nearly all of them).
     nodes = workspace.write(_index(docs, text_col, shingle, percent, ranks), "nodes")
-    place = F.posexplode("p0").alias("pos", "token")
-    postings = nodes.select("node", "n", place)
-    # Postings of a bucket that is shared: the bucket holds two nodes at least.
-    alone = (
-        postings.groupBy("token")
-        .agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
-        .where("_low <> _high")
-        .select("token")
+    workspace.release()
+
+    # A pair must share, under the first order, a token in the index prefix of the smaller set
+    # and the probing prefix of the larger. Partners are close in size, so a bucket is a token
+    # and a size band; a row of an index prefix also stands in the band its larger partners reach.
+    base = f"cast(floor(ln({{}}) / {max(math.log(100 / percent), 1e-3)!r}) as int)"
+    index_length = f"n - ((2 * {percent} * n + {100 + percent - 1}) div {100 + percent}) + 1"
+    postings = (
+        nodes.select("node", "n", F.posexplode("p0").alias("pos", "shared"))
+        .withColumn("indexed", F.expr(f"pos < {index_length}"))
+        .withColumn("low", F.expr(base.format("n")))
+        .withColumn("high", F.when(F.col("indexed"), F.expr(base.format(f"(n * 100 div {percent})"))).otherwise(F.col("low")))
+        .select(
+            "node",
+            # One number for size, place and side keeps the rows of the largest shuffle short.
+            F.expr("shiftleft(cast(n as long), 32) | shiftleft(cast(pos as long), 1) | cast(indexed as long)").alias("info"),
+            F.explode(F.transform(F.sequence("low", "high"), lambda band: F.xxhash64("shared", band))).alias("token"),
+        )
+    )
+    postings = shared_only(postings).distinct().select(
+        "token",
+        "node",
+        F.expr("cast(info >> 32 as int)").alias("n"),
+        F.expr("cast((info & 4294967295L) >> 1 as int)").alias("pos"),
+        F.expr("(info & 1L) = 1L").alias("indexed"),
     )
-    alone = workspace.write(alone, "buckets")
-    postings = workspace.write(postings.join(alone, "token", "left_semi").distinct(), "postings")
+    postings = workspace.write(postings, "postings")
+    workspace.release()
 
     prefix_tests = [f"p{k}" for k in range(1, ORDERS)]
-    prefixes = nodes.select("node", *prefix_tests).dropDuplicates(["node"])
     touched = workspace.write(postings.select("node").distinct(), "touched")
-    prefixes = workspace.write(prefixes.join(touched, "node", "left_semi"), "prefixes")
+    prefixes = nodes.select("node", *prefix_tests).join(touched, "node", "left_semi").dropDuplicates(["node"])
+    prefixes = workspace.write(prefixes, "prefixes")
     workspace.drop(nodes)
     sets = _sets(docs, text_col, shingle).join(touched, "node", "left_semi")
     sets = workspace.write(sets.dropDuplicates(["node"]), "sets")
+    workspace.release()
 
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """The other orders' filters, intersected."""
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The other orders' filters, intersected, and then the whole sets."""
         for side in ("a", "b"):
             own = prefixes.select(F.col("node").alias(side), *[F.col(p).alias(f"{p}{side}") for p in prefix_tests])
             pairs = pairs.join(own, side)
         for p in prefix_tests:
             pairs = pairs.where(F.arrays_overlap(f"{p}a", f"{p}b"))
-        return pairs.select("a", "b")
+        return _verify(pairs.select("a", "b"), sets, percent)
 
-    # A pair must share, under the first order, a token in the index prefix of the smaller
-    # set and the probing prefix of the larger; sizes and places bound the overlap.
-    index_length = F.expr(f"n - ((2 * {percent} * n + {100 + percent - 1}) div {100 + percent}) + 1")
-    postings = postings.withColumn("indexed", F.col("pos") < index_length)
+    # Sizes and places bound the overlap.
     fits = F.expr(
         f"""100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
         and case when n_a < n_b then indexed_a when n_a > n_b then indexed_b else indexed_a and indexed_b end
-        and least(pos_a, pos_b) + 1 + least(n_a - pos_a, n_b - pos_b) - 1 >= {_least_overlap("n_a", "n_b", percent)}"""
+        and least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {_least_overlap("n_a", "n_b", percent)}"""
     )
-    sides = ("node", "n", "pos", "indexed", "root")
-
-    links = None
-    roots = spark.createDataFrame([], "node long, root long")
-    for step in range(CENTRE_ROUNDS + 1):
-        placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = (
-            placed.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-        )
-        # Only buckets that still hold several components.
-        open_rows = workspace.write(placed.join(mixed.select("token"), "token", "left_semi"), "open")
-        if open_rows.isEmpty():
-            break
-        if step < CENTRE_ROUNDS:
-            # The centre of a bucket: where the token comes first (it has the fewest rarer ones);
-            # later rounds take other documents.
-            first = F.col("pos") if step == 0 else F.xxhash64("node", F.lit(step))
-            own = F.struct(first.alias("key"), *[F.col(c) for c in sides])
-            centres = open_rows.groupBy("token").agg(F.min(own).alias("c"))
-            pairs = open_rows.join(centres, "token").where("root <> c.root")
-            pairs = pairs.select(
-                *[F.col(c).alias(f"{c}_a") for c in sides], *[F.col(f"c.{c}").alias(f"{c}_b") for c in sides]
-            )
-        else:
-            # All pairs of different components that are left in a bucket, and none of one component.
-            groups = open_rows.select("token", "root").distinct()
-            group_pairs = groups.join(groups.withColumnRenamed("root", "root_b"), "token").where("root < root_b")
-            a = open_rows.select("token", "root", *[F.col(c).alias(f"{c}_a") for c in sides])
-            b = open_rows.select(
-                "token", F.col("root").alias("root_b_key"), *[F.col(c).alias(f"{c}_b") for c in sides]
-            )
-            pairs = (
-                group_pairs.withColumnRenamed("root_b", "root_b_key").join(a, ["token", "root"]).join(b, ["token", "root_b_key"])
-            )
-        pairs = pairs.where(fits).select(
-            F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
-        )
-        pairs = workspace.write(filtered(pairs.distinct()), "pairs")
-        found = workspace.write(_verify(pairs, sets, percent), "links")
-        workspace.drop(open_rows)
-        workspace.drop(pairs)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionAll(found)
-        roots = components(workspace, links)
+    roots = link_buckets(workspace, postings, ["n", "pos", "indexed"], F.col("pos"), fits, verify)
 
     # Nodes carry several rows; the component's id is the smallest of all of them.
     labelled = summary.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn(

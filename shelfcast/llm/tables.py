@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,15 @@ class Workspace:
         out._shelfcast_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of finished steps now.
+
+        It does so when the driver collects its garbage, which a driver with
+        little to do may put off until after the disks are full.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
         path = getattr(df, "_shelfcast_path", None)
