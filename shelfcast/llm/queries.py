@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, lines, mixture, ngram_join, packing, quality
+from . import bpe, lines, mixture, ngram_join, packing, passages, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,3 +131,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality_score").alias("score"),
         (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op5_repeated_passages")
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of 50 words or more that another document has too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.repeated_passages(docs)
