@@ -19,7 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -154,12 +154,20 @@ def count_words(docs: DataFrame, text_col: str, content: str) -> DataFrame:
 def build_lexicon(
     docs: DataFrame, text_col: str, content: str, workspace: Workspace, most: int = LEXICON_WORDS
 ) -> str:
-    """Compile the ``most`` most frequent words (ties: smaller word) and add the file to the application.
+    """Compile the most frequent words, ``most`` at most, and add the file to the application.
 
-    Returns the name under which tasks find it.
+    Counts are taken from the highest down while their words fit as a whole, so
+    only the words chosen reach the driver. Returns the name under which tasks
+    find the file.
     """
     spark = docs.sparkSession
-    top = count_words(docs, text_col, content).orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    counts = workspace.write(count_words(docs, text_col, content), "counts")
+    # One row per distinct count.
+    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = levels.withColumn("so_far", F.sum("words").over(down)).where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
+    top = counts.where(F.col("n") >= least).select("word").collect() if least is not None else []
+    workspace.drop(counts)
     words = sorted(bytes(r.word) for r in top)
     ids, lengths = Merger(json.loads(content)["model"]).merge(words)
     packed = compile_lexicon(words, ids, lengths)
