@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, lines, mixture, ngram_join, packing, passages, quality
+from . import bpe, lines, mixture, ngram_join, packing, passages, quality, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,3 +138,10 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 50 words or more that another document has too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages.repeated_passages(docs)
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form counts of each document and whether the rules keep it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return rules.apply_rules(docs)
