@@ -115,6 +115,18 @@ class Codec:
         return " ".join([self.token[i] for i in ids.tolist()])
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def codec_of(content: str, lexicon: str) -> Codec:
+    """The codec of this Python worker, which keeps its chunks from task to task."""
+    key = (content, lexicon)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(content, SparkFiles.get(lexicon))
+    return _codecs[key]
+
+
 def count_words(docs: DataFrame, text_col: str, content: str) -> DataFrame:
     """(word, occurrences) over all documents; tasks add up what they see before the shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(content)
@@ -217,7 +229,7 @@ def encode_decode(
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, SparkFiles.get(lexicon))
+        codec = codec_of(shared.value, lexicon)
         for batch in batches:
             texts = batch.column(len(kept))
             for begin, end in slices(texts):

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .chunks import ChunkEncoder
+from .chunks import PIECES, ChunkEncoder
 from .tables import Workspace
+from .transducer import byte_symbols
 from .words import slices
 
 # Ids of a block, a multiple of 8.
@@ -84,28 +86,40 @@ def unpack_range(payload, offsets: np.ndarray, n_ids: int, bits: int, begin: int
 
 
 class LibraryEncoder(ChunkEncoder):
-    """Whole texts as the tokenizers library encodes them, each distinct chunk once."""
+    """Whole texts as the tokenizers library encodes them, each distinct word by the library's model once."""
 
     def __init__(self, content: str):
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = {t["content"]: t["id"] for t in json.loads(content)["added_tokens"] if t["special"]}
-        # Chunks are encoded together with a special token between them: no plain chunk holds one.
-        self.mark, self.mark_id = next(iter(added.items()))
+        self.model = self.tokenizer.model
+        self.symbols = dict(enumerate(byte_symbols()))
+        added = [t["content"] for t in json.loads(content)["added_tokens"]]
         super().__init__(self._chunks, self._other, tuple(added))
 
     def _other(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts, sizes = [], []
-        for k in range(0, len(chunks), 20_000):
-            ids = self._other(self.mark.join([*chunks[k : k + 20_000], ""]))
-            ends = np.flatnonzero(ids == self.mark_id)
-            sizes.append(np.diff(np.r_[-1, ends]) - 1)
-            parts.append(np.delete(ids, ends))
-        return np.concatenate(parts), np.concatenate(sizes)
+        split = [PIECES.findall(chunk) for chunk in chunks]
+        ids_of = {
+            word: [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
+            for word in {word for words in split for word in words}
+        }
+        rows = [[i for word in words for i in ids_of[word]] for words in split]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes
+
+
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(content: str) -> LibraryEncoder:
+    """The encoder of this Python worker, which keeps its chunks from task to task."""
+    if content not in _encoders:
+        _encoders.clear()
+        _encoders[content] = LibraryEncoder(content)
+    return _encoders[content]
 
 
 @dataclass
@@ -155,7 +169,7 @@ def write_token_files(
     schema = T.StructType([T.StructField(n, T.ArrayType(id_type) if t is None else t) for n, t in CHUNK_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(shared.value)
+        encoder = library_encoder(shared.value)
         shard = TaskContext.get().partitionId()
         first, number = 0, 0
         held_ids: list[np.ndarray] = []
