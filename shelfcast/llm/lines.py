@@ -1,7 +1,7 @@
 """Keep one occurrence of each group of equal or nearly equal lines.
 
 A line is normalized to its words with A to Z in lower case. Its 64-bit SimHash
-adds up the bits of its distinct words' hashes. Two lines are near if their SimHashes
+adds up the bits of its words' hashes. Two lines are near if their SimHashes
 differ in ``DISTANCE`` bits at most and their words' edit similarity reaches the
 threshold. With ``BLOCKS`` blocks of bits, such SimHashes agree in
 BLOCKS - DISTANCE whole blocks, so joining on every choice of that many blocks
@@ -16,15 +16,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import link_buckets, shared_only
+from .bitmap import build_bitmap, passes
+from .buckets import link_buckets
 from .tables import Workspace
 from .words import fold_ascii, hash_spans, mix, slices, spans, text_bytes
 
 DISTANCE = 3
-BLOCKS = 6
+BLOCKS = 5
+# Buckets of so many lines at most are compared line by line to see who has a near SimHash.
+SMALL = 8
 # Edit similarity of word sequences, in percent.
 PERCENT = 80
 
@@ -58,20 +61,37 @@ def line_ids(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
         return mix(total + sizes.astype(np.uint64), 4).view(np.int64)
 
 
+# Four bits of a hash as four counters of 16 bits.
+_SPREAD = np.array([sum((k >> b & 1) << 16 * b for b in range(4)) for k in range(16)], np.uint64)
+
+
 def simhashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bit k is set if more than half of the line's distinct words have it set in their hash.
+    """Bit k is set if more than half of the line's counted words have it set in their hash.
 
-    A word counts once: a separator that fills half of a table row must not decide alone.
+    A word that equals one of the two before it in its line does not count: the
+    separator that fills half of a table row must not decide alone.
     """
     if not len(starts):
         return np.zeros(0, np.int64)
     line = np.repeat(np.arange(len(starts)), sizes)
-    _, kept = np.unique(mix(words + line.astype(np.uint64), 11), return_index=True)
-    kept.sort()
-    count = np.bincount(line[kept], minlength=len(starts))
-    bits = np.unpackbits(words[kept].view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, np.cumsum(count) - count, axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > count[:, None], axis=1).reshape(-1).view(np.int64)
+    again = np.zeros(len(words), bool)
+    for by in (1, 2):
+        again[by:] |= (words[by:] == words[:-by]) & (line[by:] == line[:-by])
+    kept = words[~again]
+    count = np.bincount(line[~again], minlength=len(starts))
+    begin = np.cumsum(count) - count
+    out = np.zeros(len(starts), np.uint64)
+    if count.max() < 1 << 16:
+        for part in range(16):
+            sums = np.add.reduceat(_SPREAD[(kept >> np.uint64(4 * part) & np.uint64(15)).astype(np.int64)], begin)
+            for b in range(4):
+                ones = (sums >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)
+                out |= (2 * ones > count).astype(np.uint64) << np.uint64(4 * part + b)
+    else:
+        for b in range(64):
+            ones = np.add.reduceat((kept >> np.uint64(b) & np.uint64(1)).astype(np.int64), begin)
+            out |= (2 * ones > count).astype(np.uint64) << np.uint64(b)
+    return out.view(np.int64)
 
 
 def block_keys(simhash: str, distance: int, blocks: int) -> list[str]:
@@ -147,12 +167,16 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _sequences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, words): word hashes of the wanted lines, each line once per task."""
+    """(node, words): word hashes of the wanted lines."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(build_bitmap(wanted, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words, starts, sizes in line_table(batch.column(0)):
-                nodes, where = np.unique(line_ids(words, starts, sizes), return_index=True)
+                ids = line_ids(words, starts, sizes)
+                maybe = np.flatnonzero(passes(bitmap.value, ids))
+                nodes, where = np.unique(ids[maybe], return_index=True)
+                where = maybe[where]
                 yield pa.record_batch(
                     [
                         pa.array(nodes),
@@ -165,6 +189,28 @@ def _sequences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
+def _near_postings(nodes: DataFrame, distance: int, blocks: int, fits: Column, workspace: Workspace) -> DataFrame:
+    """(token, node, simhash, n) of the buckets in which a line may have a near one.
+
+    Most lines that share a key do so by chance, in buckets of two or three: those
+    without a near SimHash there are left out. Larger buckets stay as they are.
+    """
+    keys = F.array(*[F.expr(k) for k in block_keys("simhash", distance, blocks)])
+    slim = nodes.select("node", F.explode(keys).alias("token"))
+    # Nodes are distinct, so a shared key has a count of two or more.
+    sizes = slim.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = workspace.write(slim.join(workspace.write(sizes, "sizes"), "token"), "shared")
+    workspace.release()
+    rows = workspace.write(shared.join(nodes.select("node", "simhash", "n"), "node"), "rows")
+    small = rows.where(F.col("size") <= SMALL).drop("size")
+    sides = {c: F.col(c) for c in ("node", "simhash", "n")}
+    a = small.select("token", *[v.alias(f"{c}_a") for c, v in sides.items()])
+    b = small.select("token", *[v.alias(f"{c}_b") for c, v in sides.items()])
+    near = a.join(b, "token").where("node_a <> node_b").where(fits).select("token", F.col("node_a").alias("node"))
+    kept = small.join(near.distinct(), ["token", "node"], "left_semi")
+    return kept.unionByName(rows.where(F.col("size") > SMALL).drop("size")).select("token", "node", "simhash", "n")
+
+
 def drop_repeated_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -197,9 +243,11 @@ def drop_repeated_lines(
     )
     nodes = workspace.write(nodes, "nodes")
 
-    keys = F.array(*[F.expr(k) for k in block_keys("simhash", distance, blocks)])
-    postings = nodes.select("node", "simhash", "n", F.explode(keys).alias("token"))
-    postings = workspace.write(shared_only(postings), "postings")
+    fits = F.expr(
+        f"bit_count(simhash_a ^ simhash_b) <= {distance} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    )
+    postings = workspace.write(_near_postings(nodes, distance, blocks, fits, workspace), "postings")
+    workspace.release()
     sequences = workspace.write(_sequences(docs, text_col, postings.select("node").distinct()), "sequences")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -217,9 +265,6 @@ def drop_repeated_lines(
         with_b = with_a.join(sequences.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
         return with_b.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
-    fits = F.expr(
-        f"bit_count(simhash_a ^ simhash_b) <= {distance} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    )
     roots = link_buckets(workspace, postings, ["simhash", "n"], F.xxhash64("node"), fits, verify)
 
     # The place that stays, for every line that occurs in more than one place or has near ones.
