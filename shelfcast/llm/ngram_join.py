@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import build_bitmap, passes
 from .buckets import link_buckets, shared_only
 from .tables import Workspace
 from .words import fold_ascii, gram_hashes, hash_spans, mix, slices, spans, text_bytes
@@ -172,8 +173,9 @@ def _summary(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(summarize, fields)
 
 
-def _sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """(node, grams): the set of every document as packed hashes, once per task."""
+def _sets(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
+    """(node, grams): the wanted documents' sets as packed hashes."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(build_bitmap(wanted, "node"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -181,13 +183,14 @@ def _sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
             nodes, packed = [], []
             for _, grams in shingle_sets(batch.column(0), n):
                 node = set_id(grams)
-                if node not in seen:
+                if node not in seen and passes(bitmap.value, np.array([node]))[0]:
                     seen.add(node)
                     nodes.append(node)
                     packed.append(grams.tobytes())
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "grams"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "node long, grams binary")
+    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "node long, grams binary")
+    return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -267,8 +270,7 @@ def near_duplicate_components(
     prefixes = nodes.select("node", *prefix_tests).join(touched, "node", "left_semi").dropDuplicates(["node"])
     prefixes = workspace.write(prefixes, "prefixes")
     workspace.drop(nodes)
-    sets = _sets(docs, text_col, shingle).join(touched, "node", "left_semi")
-    sets = workspace.write(sets.dropDuplicates(["node"]), "sets")
+    sets = workspace.write(_sets(docs, text_col, shingle, touched), "sets")
     workspace.release()
 
     def verify(pairs: DataFrame) -> DataFrame:
