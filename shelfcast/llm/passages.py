@@ -20,15 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bitmap import build_bitmap, passes
 from .tables import Workspace
 from .words import fold_ascii, gram_hashes, hash_spans, slices, spans, text_bytes
 
 GRAM = 32
 LEAST_WORDS = 50
-# The filter of repeated grams: 2**27 bits, 16 MB, whatever the corpus. A gram that
-# shares its bit with a repeated one is sorted in vain, nothing else.
-FILTER_BITS = 27
-BLOCK_BITS = 17
 # Sorted rows handled at a time, and rows that a cut inside one gram shows again.
 CHUNK_ROWS = 50_000
 EDGE_ROWS = 64
@@ -89,23 +86,6 @@ def _binary(rows: np.ndarray, size: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _filter_bits(grams: DataFrame) -> np.ndarray:
-    """The fixed-size bitmap of the top ``FILTER_BITS`` bits of the given grams."""
-
-    def block(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
-        bits[table.column("bit").to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
-        return pa.table([table.column("block").slice(0, 1), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
-
-    # Distinct bits first: a block's group never exceeds its bits.
-    bits = grams.select(F.expr(f"shiftrightunsigned(gram, {64 - FILTER_BITS})").alias("bit")).distinct()
-    blocks = bits.withColumn("block", F.expr(f"bit >> {BLOCK_BITS}")).groupBy("block").applyInArrow(block, "block long, bits binary")
-    out = np.zeros((1 << FILTER_BITS - BLOCK_BITS, (1 << BLOCK_BITS) // 8), np.uint8)
-    for row in blocks.toLocalIterator():
-        out[row.block] = np.frombuffer(row.bits, np.uint8)
-    return out.reshape(-1)
-
-
 def _match(gram: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: int):
     """Matches of each row with its nearest neighbours of other documents, in both sort orders.
 
@@ -289,15 +269,15 @@ def repeated_passages(
 
     counted = keyed.select("doc", "text").mapInArrow(grams, "gram long, doc long").groupBy("gram")
     repeated = counted.agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("gram")
-    bitmap = spark.sparkContext.broadcast(_filter_bits(workspace.write(repeated, "repeated")))
+    bitmap = spark.sparkContext.broadcast(build_bitmap(workspace.write(repeated, "repeated"), "gram"))
     workspace.release()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
             for row, pos, gram, at, words, low, high in suffixes(batch.column(2), least_words):
-                bit = (gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                keep = np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+                # A gram that passes by chance is sorted in vain, nothing else.
+                keep = np.flatnonzero(passes(bits, gram))
                 if not len(keep):
                     continue
                 before, after = _contexts(words, at[keep], low[keep], high[keep], reach)
