@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, lines, mixture, ngram_join, packing, passages, quality, rules
+from . import bpe, chat, cover_tree, lines, mixture, ngram_join, packing, passages, quality, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,3 +145,71 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form counts of each document and whether the rules keep it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return rules.apply_rules(docs)
+
+
+CHAT_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, replace(replace(replace(replace(replace(text, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'),
+      '</s>', '<\/s>'), '<s>', '<\s>') as t,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'),
+      '</s>', '<\/s>'), '<s>', '<\s>') as r
+  from c
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(r) + length(t) + 17)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+@query("op4_chat_format", CHAT_SQL)
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each conversation, read back from its formatted text and loss mask."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = F.lit("</s>[INST] ok [/INST]").alias("text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        probe,
+    )
+    talks = chat.format_turns(chat.with_turns(chat.gather_rows(rows.unionByName(more))))
+    back = chat.read_back(talks.select("conv_id", "formatted", "loss_spans"))
+    said = F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("read_loss", "")
+    return back.select(
+        "conv_id",
+        F.size("read_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from (select distinct * from v where vec_id % 100 = 0) q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+), r as (
+  select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op7_cover_tree_topk", TOPK_SQL)
+def op7_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cover_tree.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
