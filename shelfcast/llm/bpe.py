@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .chunks import PIECES, ChunkEncoder, is_plain, ragged
-from .tables import Workspace
+from .tables import Workspace, own_names, plain_names
 from .transducer import Lexicon, Merger, byte_symbols, compile_lexicon
 from .words import slices
 
@@ -222,7 +222,9 @@ def encode_decode(
     content = Path(tokenizer_path).read_text(encoding="utf-8")
     lexicon = build_lexicon(docs, text_col, content, workspace, lexicon_words)
     shared = spark.sparkContext.broadcast(content)
-    kept = [c for c in docs.columns if c not in (text_col, "token_ids", "decoded")]
+    docs, own = plain_names(docs, ("token_ids", "decoded"))
+    text = own.pop(text_col)
+    kept = list(own.values())
     schema = docs.select(*kept).schema.add("token_ids", "binary")
     if decode:
         schema = schema.add("decoded", "string")
@@ -242,4 +244,5 @@ def encode_decode(
                     columns.append(pa.array([codec.decode(r) for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*kept, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.select(*own_names(own), *names[len(kept) :])

@@ -132,11 +132,11 @@ def with_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFram
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS_TYPE)
     for layout in layouts:
         if all(p in filled for p in layout.paths):
-            hit = F.col("_print") == fingerprint(F.array(*[F.lit(p) for p in layout.paths]))
+            hit = F.col("__layout_print") == fingerprint(F.array(*[F.lit(p) for p in layout.paths]))
             name = F.when(hit, layout.name).otherwise(name)
             turns = F.when(hit, layout.turns().cast(TURNS_TYPE)).otherwise(turns)
     turns = F.coalesce(turns, F.array().cast(TURNS_TYPE))
-    return df.withColumn("_print", print_of_row).withColumns({"layout": name, "canonical_turns": turns}).drop("_print")
+    return df.withColumn("__layout_print", print_of_row).withColumns({"layout": name, "canonical_turns": turns}).drop("__layout_print")
 
 
 def gather_rows(
@@ -196,15 +196,15 @@ def format_turns(df: DataFrame, learned: tuple[str, ...] = LEARNED_ROLES) -> Dat
 def read_back(df: DataFrame) -> DataFrame:
     """``df`` plus read_turns and read_loss (the texts under the mask), from formatted and loss_spans alone."""
     pieces = F.split("formatted", CLOSE, -1)
-    df = df.withColumn("_pieces", F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+    df = df.withColumn("__turn_pieces", F.slice(pieces, F.lit(1), F.size(pieces) - 1))
     turns = F.transform(
-        "_pieces",
+        "__turn_pieces",
         lambda p: F.struct(
             unescape(F.substring_index(F.substr(p, F.lit(len(OPEN) + 1)), MIDDLE, 1)).alias("role"),
             unescape(F.substring_index(p, MIDDLE, -1)).alias("text"),
         ),
     )
     loss = F.transform(
-        "loss_spans", lambda s: unescape(F.substr(F.get(F.col("_pieces"), s["turn"]), s["start"] + 1, s["length"]))
+        "loss_spans", lambda s: unescape(F.substr(F.get(F.col("__turn_pieces"), s["turn"]), s["start"] + 1, s["length"]))
     )
-    return df.withColumns({"read_turns": turns, "read_loss": loss}).drop("_pieces")
+    return df.withColumns({"read_turns": turns, "read_loss": loss}).drop("__turn_pieces")

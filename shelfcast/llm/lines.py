@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import build_bitmap, passes
 from .buckets import link_buckets
-from .tables import Workspace
+from .tables import Workspace, plain_names
 from .words import fold_ascii, hash_spans, mix, slices, spans, text_bytes
 
 DISTANCE = 3
@@ -230,7 +230,8 @@ def drop_repeated_lines(
     """
     spark = docs.sparkSession
     workspace = Workspace(spark, "lines")
-    docs = docs.drop(*[c for c in ("n_lines", "n_dropped") if c not in (id_col, text_col)])
+    docs, names = plain_names(docs, ("n_lines", "n_dropped"))
+    id_col, text_col = names[id_col], names[text_col]
     keyed = docs.withColumns({"_id": F.col(id_col), "_doc": F.xxhash64(F.col(text_col).cast("string"))})
     lines = workspace.write(_lines(keyed, text_col), "lines")
 
@@ -288,7 +289,7 @@ def drop_repeated_lines(
     )
     with_word = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return marked.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[kept.alias(c) if n == text_col else F.col(n).alias(c) for c, n in names.items()],
         F.when(text.isNull(), 0).otherwise(with_word).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import with_global_rank
-from .tables import Workspace
+from .tables import Workspace, own_names, plain_names
 from .words import WORD
 
 # Hex digits of the md5 that make a draw: 52 bits, which a double holds exactly.
@@ -100,27 +100,29 @@ def plan_mixture(
     """
     spark = docs.sparkSession
     workspace = Workspace(spark, "mixture")
-    added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
-    docs = docs.drop(*added)
-    sizes = docs.select(
-        F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size")
-    )
-    targets = source_targets(sizes, weights, most, workspace).select(
-        F.col("_source").alias("_mix_name"),
+    docs, names = plain_names(docs, ("mix_size", "mix_source_size", "mix_target", "mix_copies"))
+    source = F.col(names[source_col]).cast("string")
+    size = word_count(F.col(names[text_col]))
+    targets = source_targets(docs.select(source.alias("_source"), size.alias("_size")), weights, most, workspace)
+    joined = docs.join(targets, source.eqNullSafe(F.col("_source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    extra = draw(F.col(names[id_col]), seed) < rate - F.floor(rate)
+    return joined.select(
+        *own_names(names),
+        size.alias("mix_size"),
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
-    )
-    joined = docs.join(targets, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_name"))).drop("_mix_name")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    extra = draw(F.col(id_col), seed) < rate - F.floor(rate)
-    return joined.withColumn("mix_size", word_count(F.col(text_col))).withColumn(
-        "mix_copies", (F.floor(rate) + extra.cast("long")).cast("int")
+        (F.floor(rate) + extra.cast("long")).cast("int").alias("mix_copies"),
     )
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as ``plan_mixture`` says, copies side by side."""
-    columns = docs.columns
-    planned = plan_mixture(docs, **options)
+    names = docs.columns
+    planned = plan_mixture(docs.toDF(*[f"d{k}" for k in range(len(names))]), **{
+        key: f"d{names.index(options.pop(key, default))}"
+        for key, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))
+    }, **options)
     copies = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies")))
-    return planned.withColumn("mix_copy", F.explode(copies)).select(*columns)
+    rows = planned.withColumn("mix_copy", F.explode(copies))
+    return rows.select(*[F.col(f"d{k}").alias(c) for k, c in enumerate(names)])

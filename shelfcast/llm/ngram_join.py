@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import build_bitmap, passes
 from .buckets import link_buckets, shared_only
-from .tables import Workspace
+from .tables import Workspace, own_names, plain_names
 from .words import fold_ascii, gram_hashes, hash_spans, mix, slices, spans, text_bytes
 
 # Counters of the frequency sketch, and the largest rank kept of a counter: a fixed
@@ -232,7 +232,8 @@ def near_duplicate_components(
     """
     spark = docs.sparkSession
     workspace = Workspace(spark, "ngram")
-    docs = docs.drop(*[c for c in ("n_shingles", "component_id", "_node", "_n_shingles") if c not in (id_col, text_col)])
+    docs, names = plain_names(docs, ("n_shingles", "component_id"))
+    id_col, text_col = names[id_col], names[text_col]
     ranks = spark.sparkContext.broadcast(_sketch(docs, text_col, shingle))
     summary = workspace.write(_summary(docs, text_col, shingle), "summary")
     nodes = workspace.write(_index(docs, text_col, shingle, percent, ranks), "nodes")
@@ -296,9 +297,9 @@ def near_duplicate_components(
     )
     smallest = labelled.where("_root is not null").groupBy("_root").agg(F.min(F.col(id_col)).alias("_smallest"))
     smallest = workspace.write(smallest, "smallest")
-    out = labelled.join(smallest, "_root", "left")
-    return out.select(
-        *[c for c in summary.columns if c not in ("_node", "_n_shingles")],
+    del names[next(c for c, n in names.items() if n == text_col)]
+    return labelled.join(smallest, "_root", "left").select(
+        *own_names(names),
         F.col("_n_shingles").alias("n_shingles"),
         F.when(F.col("_root").isNull(), F.col(id_col)).otherwise(F.col("_smallest")).alias("component_id"),
     )

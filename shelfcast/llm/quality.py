@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import NAMES, describe
-from .tables import Workspace
+from .tables import Workspace, own_names, plain_names
 
 # Labelled rows the model is fitted on at most: the driver holds this many rows of numbers.
 TRAIN_ROWS = 20_000
@@ -215,10 +215,8 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text")
     Only the text decides. Null text: as the empty text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("quality_score")
-    schema = docs.schema.add("quality_score", "double") if "_text" not in docs.columns else None
-    if schema is None:
-        raise ValueError("a column must not be named _text")
+    docs, own = plain_names(docs, ("quality_score",))
+    schema = docs.schema.add("score", "double")
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,4 +224,5 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text")
             score = shared.value.score(describe(batch.column(len(names) - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(score)], names)
 
-    return docs.select("*", F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select("*", F.col(own[text_col]).cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.select(*own_names(own), F.col("score").alias("quality_score"))

@@ -168,7 +168,7 @@ def apply_rules(
     spark = docs.sparkSession
     workspace = Workspace(spark, "rules")
     counted = docs.select(
-        *[F.col(c) for c in keep_cols], F.col(lang_col).cast("string").alias("_lang"), form_counts(F.col(text_col).cast("string")).alias("_c")
+        *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep_cols)], F.col(lang_col).cast("string").alias("_lang"), form_counts(F.col(text_col).cast("string")).alias("_c")
     )
     counted = workspace.write(counted, "counts")
     c = F.col("_c")
@@ -195,7 +195,7 @@ def apply_rules(
     by_word = distance(F.col("_p_words"), F.col("_q_words"))
     seen = array_sum(F.col("_p_words"))
     result = joined.select(
-        *keep_cols,
+        *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep_cols)],
         n_words.alias("n_words"),
         c["word_chars"].alias("word_chars"),
         c["symbol"].alias("n_symbols"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -14,6 +14,21 @@ from ..session import ensure_checkpoint_dir
 MAX_ROUNDS = 60
 
 
+def plain_names(df: DataFrame, dropped: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` without the columns ``dropped``, with its columns named c0, c1, ..., and the new name of each.
+
+    An operator's own columns then never clash with those of its input.
+    """
+    kept = [c for c in df.columns if c not in dropped]
+    names = {c: f"c{k}" for k, c in enumerate(kept)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def own_names(names: dict[str, str]) -> list[Column]:
+    """The input's columns under their own names again."""
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
