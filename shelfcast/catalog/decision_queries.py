@@ -301,7 +301,7 @@ def documents(spark, sf_dir):
 
 def band_case(low: str, mid: str, between: str, rest: str, demand: str = "demand") -> str:
     return (
-        f"CASE WHEN stock < low THEN {low} WHEN stock < {demand} THEN {mid} "
+        f"CASE WHEN stock IS NULL OR {demand} IS NULL THEN NULL WHEN stock < low THEN {low} WHEN stock < {demand} THEN {mid} "
         f"WHEN stock < high THEN {between} ELSE {rest} END"
     )
 
@@ -406,6 +406,27 @@ def context(spark, sf_dir, name):
     return listing(nested, name)
 
 
+@query(
+    "recommend_without_history",
+    with_parts(
+        "panel",
+        f"SELECT {S}, CAST(NULL AS DOUBLE) AS predicted_demand, CAST(NULL AS VARCHAR) AS stock_status, "
+        "CAST(NULL AS BIGINT) AS recommended_order_quantity, CAST(0 AS INT) AS listed_days "
+        "FROM (SELECT DISTINCT store_id, 'new-' || product_id AS product_id FROM panel)",
+    ),
+)
+def recommend_without_history(spark, sf_dir):
+    """Every product under a name that has no history: documents with empty figures."""
+    asked = fixtures.scenarios(spark, sf_dir).withColumn("product_id", F.concat(F.lit("new-"), "product_id"))
+    return plan.recommend(asked, fixtures.retail_panel(spark, sf_dir), BASELINE).select(
+        *SERIES,
+        "predicted_demand",
+        "summary.stock_status",
+        "stock_recommendation.recommended_order_quantity",
+        F.size("performance_context.last_7_days").alias("listed_days"),
+    )
+
+
 @query("recommend_last_7_days", with_parts("recent", listing_sql(7)))
 def recommend_last_7_days(spark, sf_dir):
     return context(spark, sf_dir, "last_7_days")
@@ -445,7 +466,8 @@ SELECT store_id, '{TARGET_DATE}' AS prediction_date, product_id, category, stock
   printf('%.1f%%', {py2('100 - mean_error', 1)}) AS confidence, price,
   {r6(f'({BULK_ORDER}) * price', 'order_value')},
   {py2('demand_raw * price')} AS potential_revenue,
-  {py2('greatest(demand_raw - stock, 0) * price')} AS lost_revenue_risk
+  {py2('greatest(demand_raw - stock, 0) * price')} AS lost_revenue_risk,
+  CASE WHEN demand_raw IS NULL THEN '{plan.NO_PREDICTION}' END AS error
 FROM band"""
 
 
@@ -504,6 +526,7 @@ def bulk_last_4_weeks(spark, sf_dir):
   count(*) FILTER (WHERE status = 'LOW') AS low_stock,
   count(*) FILTER (WHERE status = 'ADEQUATE') AS adequate_stock,
   count(*) FILTER (WHERE status = 'EXCESS') AS excess_stock,
+  count(*) FILTER (WHERE error IS NOT NULL) AS failed_products,
   round(sum(recommended_order * price), 2) AS total_order_value,
   round(sum(lost_revenue_risk), 2) AS total_revenue_at_risk, '₹' AS currency
 FROM ({BULK}) GROUP BY store_id""",

@@ -107,7 +107,7 @@ def drop_unscored(spark, sf_dir):
 # -- batches ----------------------------------------------------------------
 
 UNION = f"""
-SELECT {PANEL_ROUNDED} FROM panel WHERE month(date) <= 6
+SELECT {PANEL_ROUNDED} FROM panel WHERE month(date) <> 7
 UNION ALL
 SELECT {PANEL_ROUNDED.replace('units_sold', 'units_sold + 1 AS units_sold').replace('weather_condition', 'NULL AS weather_condition')}
 FROM panel WHERE month(date) IN (6, 7)"""
@@ -119,7 +119,7 @@ def union_batches(spark, sf_dir):
     return rounded(source.union_batches(old, new))
 
 
-UPSERT = UNION.replace("month(date) <= 6", "month(date) <= 5")
+UPSERT = UNION.replace("month(date) <> 7", "month(date) NOT IN (6, 7)")
 
 
 @query("upsert_keep_last", with_parts("panel", UPSERT))
@@ -128,6 +128,12 @@ def upsert_keep_last(spark, sf_dir):
     return rounded(source.upsert_keep_last(old, new)).select(*old.columns)
 
 
+@query("upsert_unique", with_parts("panel", UPSERT))
+def upsert_unique(spark, sf_dir):
+    old, new = fixtures.batch_old(spark, sf_dir), fixtures.batch_new(spark, sf_dir)
+    return rounded(source.upsert_unique(old, new)).select(*old.columns)
+
+
 @query(
     "ingest_report",
     with_parts(

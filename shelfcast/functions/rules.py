@@ -69,10 +69,12 @@ def by_band(
     """Pick a value by the band ``stock`` lies in.
 
     With a null band (no usable error) only the comparison with ``predicted``
-    can hold, so the status comes from that alone.
+    can hold, so the status comes from that alone. Without a prediction or a
+    stock there is nothing to compare: null.
     """
     return (
-        F.when(stock < low, critical)
+        F.when(stock.isNull() | predicted.isNull(), F.lit(None))
+        .when(stock < low, critical)
         .when(stock < predicted, short)
         .when(stock < high, enough)
         .otherwise(excess)
@@ -123,11 +125,11 @@ def recommended_order(stock, low, predicted, high) -> Column:
 
 
 def shortage(predicted: Column, stock: Column) -> Column:
-    return F.greatest(predicted - stock, F.lit(0.0))
+    return F.when(predicted.isNotNull() & stock.isNotNull(), F.greatest(predicted - stock, F.lit(0.0)))
 
 
 def surplus(predicted: Column, stock: Column) -> Column:
-    return F.greatest(stock - predicted, F.lit(0.0))
+    return F.when(predicted.isNotNull() & stock.isNotNull(), F.greatest(stock - predicted, F.lit(0.0)))
 
 
 def times(value: Column, factor: float) -> Column:

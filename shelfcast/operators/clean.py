@@ -23,10 +23,20 @@ def series_filter(df: DataFrame, store_id: str, product_id: str) -> DataFrame:
     return df.filter((F.col("store_id") == store_id) & (F.col("product_id") == product_id))
 
 
+class UnknownStore(ValueError):
+    """A store that was asked for by name has no rows."""
+
+
 def store_filter(df: DataFrame, stores: str | DataFrame) -> DataFrame:
-    """Rows of one store, or of the stores in a DataFrame with ``store_id``."""
+    """Rows of one store, or of the stores in a DataFrame with ``store_id``.
+
+    A single store must exist: a look at its first row decides.
+    """
     if isinstance(stores, str):
-        return df.filter(F.col("store_id") == stores)
+        found = df.filter(F.col("store_id") == stores)
+        if found.isEmpty():
+            raise UnknownStore(f"no data for store {stores}")
+        return found
     return split_join(df, stores.select("store_id").distinct(), ["store_id"], "left_semi")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import unlog
 from ..schema import DATE, LABEL, LAG_COLUMNS, SERIES, model_inputs
+from ..session import ensure_checkpoint_dir, ship_package
 from .clean import MIN_STORE_ROWS
 from .encode import encode
 from .features import baseline_predict, calendar_features
@@ -27,17 +28,16 @@ from .joins import split_join
 TRAIN_SHARE = 0.80
 
 # The training parameters of the global model, by MLlib name.
-# The boosting rounds are fewer than the 600 the parameters were set for, as
-# each round is several jobs; pass ``maxIter`` to change that.
+# A round is several jobs; pass ``maxIter`` for fewer.
 GLOBAL_PARAMS = {
-    "maxIter": 20,
+    "maxIter": 600,
     "maxDepth": 6,
     "stepSize": 0.05,
     "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8",
     "minInstancesPerNode": 5,
     "minInfoGain": 0.0,
-    "maxBins": 64,
+    "maxBins": 256,
     "lossType": "squared",
     "seed": 42,
 }
@@ -124,20 +124,31 @@ def feature_projection(df: DataFrame) -> DataFrame:
 
 
 def fit_global(train: DataFrame, **params) -> PipelineModel:
-    """Boosted trees on the log target over encoded, featured rows of all stores."""
-    assembler = VectorAssembler(inputCols=model_inputs(), outputCol="features")
+    """Boosted trees on the log target over encoded, featured rows of all stores.
+
+    Each round's residuals build on the last; a checkpoint in the shared folder
+    every few rounds keeps that lineage short.
+    """
+    ensure_checkpoint_dir(train.sparkSession)
+    # Rows with a null input are scored as null, not refused; see ``score_encoded``.
+    assembler = VectorAssembler(inputCols=model_inputs(), outputCol="features", handleInvalid="keep")
     trees = GBTRegressor(
         featuresCol="features",
         labelCol=LABEL,
         predictionCol="predicted_log",
         cacheNodeIds=False,
+        checkpointInterval=10,
         **{**GLOBAL_PARAMS, **params},
     )
     return Pipeline(stages=[assembler, trees]).fit(train)
 
 
 def score_encoded(df: DataFrame, model: PipelineModel) -> DataFrame:
-    scored = model.transform(df).withColumn("predicted", unlog("predicted_log"))
+    """Predictions in units; null where an input is null, such as an unseen label's code."""
+    whole = F.lit(True)
+    for name in model_inputs():
+        whole = whole & F.col(name).isNotNull()
+    scored = model.transform(df).withColumn("predicted", F.when(whole, unlog("predicted_log")))
     return scored.drop("features", "predicted_log")
 
 
@@ -147,13 +158,25 @@ GRAM_FLUSH_STORES = 5_000
 
 
 def _gram_sums(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
-    """Sums of products of (1, inputs, label) per store.
+    """Row count, means and co-moments of (inputs, label) per store.
 
-    Each task adds up its own rows per store and sends one matrix per store, so
-    a store with most of the rows costs no more to shuffle than any other.
+    Each task reduces its own rows per store to one matrix, so a store with most
+    of the rows costs no more to shuffle than any other. The parts are sums of
+    products around the store's smallest values, which one aggregate finds
+    first: an input that never changes then sums to exactly 0.
     """
     size = len(inputs) + 2
     upper = np.triu_indices(size)
+    columns = [*inputs, LABEL]
+    low = df.groupBy("store_id").agg(
+        F.array(*[F.min(F.col(name).cast("double")) for name in columns]).alias("_low")
+    )
+    shifted = split_join(df.select("store_id", *columns), low, ["store_id"])
+    df = shifted.select(
+        "store_id",
+        "_low",
+        *[(F.col(name).cast("double") - F.col("_low")[k]).alias(name) for k, name in enumerate(columns)],
+    )
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -178,10 +201,10 @@ def _gram_sums(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
         if sums:
             yield flush()
 
-    parts = df.select("store_id", *inputs, LABEL).mapInPandas(
+    parts = df.select("store_id", *columns).mapInPandas(
         partial, "store_id string, sums array<double>"
     )
-    return (
+    sums = (
         parts.select("store_id", F.posexplode("sums").alias("spot", "value"))
         .groupBy("store_id", "spot")
         .agg(F.sum("value").alias("value"))
@@ -189,12 +212,15 @@ def _gram_sums(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("spot", "value"))).alias("_sums"))
         .select("store_id", F.col("_sums.value").alias("sums"))
     )
+    return sums.join(low, "store_id").select("store_id", "sums", F.col("_low").alias("low"))
 
 
-def solve_ridge(sums: np.ndarray, inputs: int, penalty: float) -> np.ndarray:
-    """Intercept and coefficients from one store's sums of products.
+def solve_ridge(sums: np.ndarray, low: np.ndarray, inputs: int, penalty: float) -> np.ndarray:
+    """Intercept and coefficients from one store's sums of products around ``low``.
 
-    Inputs are standardized first; one without variance gets coefficient 0.
+    Inputs are standardized first; one without variance gets coefficient 0. The
+    shifted values are not negative, so a mean of 0 means that all of them are
+    0, and the variance cannot be lost in the difference of two large numbers.
     """
     size = inputs + 2
     gram = np.zeros((size, size))
@@ -204,7 +230,9 @@ def solve_ridge(sums: np.ndarray, inputs: int, penalty: float) -> np.ndarray:
     mean = gram[0, 1:] / rows
     cov = gram[1:, 1:] / rows - np.outer(mean, mean)
     spread = np.sqrt(np.clip(np.diag(cov)[:-1], 0.0, None))
-    usable = spread > 1e-9 * (1.0 + np.abs(mean[:-1]))
+    # Rounding leaves about rows * epsilon of the mean square in a variance.
+    noise = 4 * np.finfo(float).eps * np.sqrt(rows) * (np.diag(gram)[1:-1] / rows)
+    usable = spread**2 > noise
     coefficients = np.zeros(inputs)
     if usable.any():
         scale = spread[usable]
@@ -212,7 +240,7 @@ def solve_ridge(sums: np.ndarray, inputs: int, penalty: float) -> np.ndarray:
         right = cov[:-1, -1][usable] / scale
         left = left + penalty * np.eye(usable.sum())
         coefficients[usable] = np.linalg.solve(left, right) / scale
-    intercept = mean[-1] - coefficients @ mean[:-1]
+    intercept = mean[-1] + low[-1] - coefficients @ (mean[:-1] + low[:-1])
     return np.concatenate([[intercept], coefficients])
 
 
@@ -223,13 +251,14 @@ def fit_per_store(train: DataFrame, penalty: float = 0.01) -> DataFrame:
     These are linear models: a set of trees per store would need all of a
     store's rows in one place.
     """
+    ship_package(train.sparkSession)
     inputs = model_inputs()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             solved = [
-                solve_ridge(np.asarray(sums), len(inputs), penalty).tolist()
-                for sums in batch["sums"]
+                solve_ridge(np.asarray(sums), np.asarray(low), len(inputs), penalty).tolist()
+                for sums, low in zip(batch["sums"], batch["low"])
             ]
             yield pd.DataFrame({"store_id": batch["store_id"], "coefficients": solved})
 
@@ -287,7 +316,7 @@ class GlobalForecaster:
 
     lags = "zero"
 
-    def __init__(self, model: PipelineModel, encoders: DataFrame, invalid: str = "error"):
+    def __init__(self, model: PipelineModel, encoders: DataFrame, invalid: str = "null"):
         self.model, self.encoders, self.invalid = model, encoders, invalid
 
     def _score(self, df: DataFrame) -> DataFrame:
@@ -298,15 +327,23 @@ class GlobalForecaster:
 
 
 class StoreForecaster:
-    """The linear model of each row's store."""
+    """The linear model of each row's store.
+
+    Stores without a model and unseen labels give a null prediction. Models and
+    encoders of several runs carry ``run_id``; each store uses its own run's.
+    """
 
     lags = "zero"
 
-    def __init__(self, coefficients: DataFrame, encoders: DataFrame, invalid: str = "error"):
+    def __init__(self, coefficients: DataFrame, encoders: DataFrame, invalid: str = "null"):
         self.coefficients, self.encoders, self.invalid = coefficients, encoders, invalid
 
     def _score(self, df: DataFrame) -> DataFrame:
-        return score_per_store(encode(df, self.encoders, invalid=self.invalid), self.coefficients)
+        by = "run_id" if "run_id" in self.encoders.columns else None
+        if by:
+            df = split_join(df, self.coefficients.select("store_id", by), ["store_id"], "left")
+        encoded = encode(df, self.encoders, invalid=self.invalid, by=by)
+        return score_per_store(encoded.drop(*[by] if by else []), self.coefficients)
 
     score_history = _score
     score_scenarios = _score

@@ -24,6 +24,9 @@ from ..operators.models import prepare_scenarios
 from ..operators.resample import LAST, period_end, shift_back
 from ..schema import DATE, LAG_COLUMNS, SERIES, TARGET
 
+# Why a bulk row has no figures.
+NO_PREDICTION = "no prediction: unseen label, store without a model, or missing input"
+
 SCENARIO_COLUMNS = (
     "category",
     "region",
@@ -132,7 +135,8 @@ def recommend(
         carried = [F.col(f"latest.{name}") for name in LAG_COLUMNS]
         scenarios = scenarios.drop(*LAG_COLUMNS)
         summary = summary.select("*", *carried)
-    joined = split_join(scenarios, summary.drop("latest"), SERIES)
+    # A scenario without history keeps its document: its prediction and an empty band.
+    joined = split_join(scenarios, summary.drop("latest"), SERIES, "left")
     return single_documents(predict_scenarios(joined, forecaster, lags))
 
 
@@ -212,7 +216,12 @@ def single_documents(df: DataFrame) -> DataFrame:
             low.alias("low"),
             high.alias("high"),
         ).alias("confidence_interval"),
-        F.struct("last_7_days", "last_6_weeks", "last_3_months").alias("performance_context"),
+        F.struct(
+            *[
+                F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
+                for name in ("last_7_days", "last_6_weeks", "last_3_months")
+            ]
+        ).alias("performance_context"),
     )
 
 
@@ -287,6 +296,7 @@ def bulk_rows(df: DataFrame) -> DataFrame:
         (order * price).alias("order_value"),
         rules.money(demand, price).alias("potential_revenue"),
         rules.money(short, price).alias("lost_revenue_risk"),
+        F.when(demand.isNull(), F.lit(NO_PREDICTION)).alias("error"),
         "last_4_weeks",
         F.struct(
             _horizon(
@@ -341,6 +351,7 @@ def bulk_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("store_id", "prediction_date").agg(
         F.count(F.lit(1)).alias("total_products"),
         *counts,
+        F.count_if(F.col("error").isNotNull()).alias("failed_products"),
         py_round(F.sum("order_value")).alias("total_order_value"),
         py_round(F.sum("lost_revenue_risk")).alias("total_revenue_at_risk"),
         F.first(F.lit(rules.CURRENCY)).alias("currency"),

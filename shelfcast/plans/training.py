@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -26,7 +27,7 @@ from ..operators.models import (
     time_split,
     training_rows,
 )
-from ..schema import TARGET
+from ..schema import TARGET, model_inputs
 from ..sources.artifacts import (
     GLOBAL_STORE,
     path_size_mb,
@@ -142,7 +143,8 @@ def train_stores(
 ) -> StoreTraining:
     """A model for every store with enough rows, all fitted in one job.
 
-    For a single store, filter the panel first.
+    For a single store, filter the panel first: a run saves its models under its
+    own id, and other stores keep the models of their latest runs.
     """
     clean = clean_panel(panel)
     encoders = fit_encoders(clean)
@@ -150,18 +152,20 @@ def train_stores(
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     coefficients = fit_per_store(rows.filter(F.col("split") == "train"), penalty)
     if path is not None:
-        save_store_models(coefficients, encoders, f"{path}/stores")
-        coefficients = panel.sparkSession.read.parquet(f"{path}/stores/coefficients")
+        run_id = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
+        save_store_models(coefficients, encoders, f"{path}/stores", run_id)
+        coefficients = panel.sparkSession.read.parquet(f"{path}/stores/coefficients/run_id={run_id}")
     scored = score_per_store(rows, coefficients).withColumn("actual", F.col(TARGET))
     summary = training_summary(scored)
     if path is not None:
         entries = summary.select(
             "store_id",
-            F.lit(f"{path}/stores/coefficients").alias("model_path"),
-            F.lit(f"{path}/stores/encoders").alias("encoder_path"),
+            F.lit(f"{path}/stores/coefficients/run_id={run_id}").alias("model_path"),
+            F.lit(f"{path}/stores/encoders/run_id={run_id}").alias("encoder_path"),
             "accuracy",
             F.col("records").alias("record_count"),
-            F.lit(path_size_mb(panel.sparkSession, f"{path}/stores/coefficients")).alias("size_mb"),
+            # A store's model is its coefficients, eight bytes each.
+            F.lit(round((len(model_inputs()) + 1) * 8 / (1024 * 1024), 6)).alias("size_mb"),
         )
         register_models(entries, f"{path}/registry")
     return StoreTraining(coefficients, encoders, summary, rows)

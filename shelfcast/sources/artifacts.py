@@ -35,13 +35,25 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/encoders")
 
 
-def save_store_models(coefficients: DataFrame, encoders: DataFrame, path: str) -> None:
-    coefficients.write.mode("overwrite").parquet(f"{path}/coefficients")
-    encoders.write.mode("overwrite").parquet(f"{path}/encoders")
+def save_store_models(coefficients: DataFrame, encoders: DataFrame, path: str, run_id: str) -> None:
+    """Write a run's coefficients and encoders under its own id; other runs stay.
+
+    Run ids must sort by time; saving one again replaces that run only.
+    """
+    coefficients.write.mode("overwrite").parquet(f"{path}/coefficients/run_id={run_id}")
+    encoders.write.mode("overwrite").parquet(f"{path}/encoders/run_id={run_id}")
 
 
 def load_store_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/coefficients"), spark.read.parquet(f"{path}/encoders")
+    """Each store's model of its latest run, and the encoders of all runs.
+
+    Both carry ``run_id``: a model is scored with the codes it was trained with.
+    """
+    models = spark.read.parquet(f"{path}/coefficients").withColumn("run_id", F.col("run_id").cast("string"))
+    fields = [name for name in models.columns if name != "store_id"]
+    latest = models.groupBy("store_id").agg(F.max_by(F.struct(*fields), "run_id").alias("_model"))
+    encoders = spark.read.parquet(f"{path}/encoders").withColumn("run_id", F.col("run_id").cast("string"))
+    return latest.select("store_id", "_model.*"), encoders
 
 
 def saved_metrics_row(train: DataFrame, valid: DataFrame, split: DataFrame) -> DataFrame:

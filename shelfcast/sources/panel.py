@@ -162,12 +162,27 @@ def upsert_keep_last(
         existing.withColumn("_batch", F.lit(0)), batch.withColumn("_batch", F.lit(1))
     )
     order = [F.col("_batch")]
+    if "ingest_id" in both.columns:
+        order.append(F.col("ingest_id"))
     if ROW_ORDER in both.columns:
         order.append(F.col(ROW_ORDER))
     order += [F.col(c) for c in both.columns if c not in {*keys, "_batch", ROW_ORDER}]
     return keep_last(both, order, keys).drop("_batch", ROW_ORDER)
 
 
+def upsert_unique(
+    existing: DataFrame, batch: DataFrame, keys: Sequence[str] = PANEL_KEY
+) -> DataFrame:
+    """:func:`upsert_keep_last` for a panel that already has one row per key.
+
+    Only the batch is ranked. The panel loses the batch's keys in an anti join,
+    whose small side Catalyst broadcasts, so the panel itself is not shuffled.
+    """
+    last = upsert_keep_last(batch.limit(0), batch, keys)
+    kept = existing.join(last.select(*keys), list(keys), "left_anti")
+    return union_batches(kept.drop(ROW_ORDER), last)
+
+
 def ingest_report(batch: DataFrame) -> DataFrame:
     """Rows, stores and date range of a batch, as one row.
 
@@ -196,11 +211,12 @@ def list_products(df: DataFrame, store_id: str | None = None) -> DataFrame:
 def ingest_batch(batch: DataFrame, path: str, ingest_id: str) -> None:
     """Land a validated batch as its own partition, stamped with the load time.
 
-    Running it again replaces that partition only.
+    Columns get their panel types, so that every upload lands alike, and the
+    order of the file's rows stays for :func:`upsert_keep_last`. Running it again
+    replaces that partition only.
     """
     stamped = (
-        parse_dates(validate_columns(normalize_columns(batch)))
-        .drop(ROW_ORDER)
+        cast_columns(parse_dates(validate_columns(normalize_columns(batch))))
         .withColumn("uploaded_at", F.current_timestamp())
         .withColumn("ingest_id", F.lit(ingest_id))
     )

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfcast.catalog import fixtures
 from shelfcast.operators import models
+from shelfcast.operators.clean import UnknownStore, store_filter
 from shelfcast.operators.encode import encode, fit_encoders
 from shelfcast.operators.features import create_features
+from shelfcast.operators.models import StoreForecaster, solve_ridge
 from shelfcast.plans.evaluation import evaluation_report
 from shelfcast.plans.recommend import bulk_recommend, bulk_summary, recommend
 from shelfcast.plans.reorder import reorder_report
@@ -183,3 +185,49 @@ def test_reports_are_saved(spark, panel, trained, tmp_path):
         assert back.count() == sections[name].count() > 0
     detail = spark.read.option("header", True).csv(str(tmp_path / "evaluation/run_id=r1/detail"))
     assert detail.count() == panel.count()
+
+
+@pytest.mark.parametrize("rows", [1_000, 6_000])
+def test_constant_inputs_get_no_coefficient(rows):
+    rng = np.random.default_rng(rows)
+    x = np.column_stack([np.full(rows, 12.34), rng.normal(5, 2, rows), np.full(rows, -0.1)])
+    y = 3.0 + 0.5 * x[:, 1]
+    values = np.column_stack([x, y])
+    low = values.min(axis=0)
+    shifted = np.column_stack([np.ones(rows), values - low])
+    sums = (shifted.T @ shifted)[np.triu_indices(5)]
+    got = solve_ridge(sums, low, 3, 1e-9)
+    assert got[1] == 0 and got[3] == 0
+    assert got[2] == pytest.approx(0.5) and got[0] == pytest.approx(3.0)
+
+
+def test_retraining_one_store_keeps_the_others(spark, panel, tmp_path):
+    path = str(tmp_path / "models")
+    train_stores(panel, path).release()
+    before = artifacts.load_store_models(spark, f"{path}/stores")
+    scored = StoreForecaster(*before).score_history(create_features(panel.limit(0).unionByName(panel)))
+    first = {(r.date, r.store_id, r.product_id): r.predicted for r in scored.collect()}
+    train_stores(panel.filter("store_id = 'S00001'").withColumn("units_sold", F.col("units_sold") + 5), path).release()
+    coefficients, encoders = artifacts.load_store_models(spark, f"{path}/stores")
+    assert coefficients.count() == 10 and coefficients.select("run_id").distinct().count() == 2
+    again = StoreForecaster(coefficients, encoders).score_history(create_features(panel)).collect()
+    changed = {r.store_id for r in again if r.predicted != first[(r.date, r.store_id, r.product_id)]}
+    assert changed == {"S00001"}
+    registry = artifacts.model_registry(spark.read.parquet(f"{path}/registry")).collect()
+    assert len(registry) == 10 and all(0 < r.size_mb < 0.01 for r in registry)
+
+
+def test_an_unseen_label_fails_its_rows_only(panel):
+    training = train_stores(panel)
+    seen = panel.withColumn("region", F.when(F.col("product_id") == panel.first().product_id, "elsewhere").otherwise(F.col("region")))
+    rows = bulk_recommend(seen, "1999-01-01", training.forecaster)
+    failed = rows.filter("error is not null")
+    assert 0 < failed.count() < rows.count()
+    assert failed.filter("status is not null or recommended_order is not null").isEmpty()
+    assert bulk_summary(rows).agg(F.sum("failed_products")).first()[0] == failed.count()
+    training.release()
+
+
+def test_an_unknown_store_is_an_error(panel):
+    with pytest.raises(UnknownStore):
+        store_filter(panel, "nowhere")

@@ -168,3 +168,16 @@ def test_arrivals_are_ingested_once(spark, tmp_path):
     assert landed.count() == 100
     kept = panel.keep_last(landed, [F.col("ingest_id")])
     assert kept.count() == 50
+
+
+def test_landed_rows_keep_types_and_order(spark, tmp_path):
+    header = "date,store_id,product_id,category,region,inventory_level,units_sold,price,discount,weather_condition,holiday_promotion,competitor_pricing,seasonality"
+    source, target = tmp_path / "batch.csv", str(tmp_path / "landing")
+    lines = [f"2024-01-02,S1,P1,c,r,5,{n},1.5,0,w,0,1.0,s" for n in (9, 3)]
+    source.write_text("\n".join([header, *lines]) + "\n")
+    batch = panel.read_panel(spark, str(source), keep_file_order=True)
+    panel.ingest_batch(batch.withColumn("units_sold", F.col("units_sold").cast("string")), target, "one")
+    landed = spark.read.parquet(target)
+    assert dict(landed.dtypes)["units_sold"] == "int"
+    for upsert in (panel.upsert_keep_last, panel.upsert_unique):
+        assert [r.units_sold for r in upsert(landed.limit(0), landed).collect()] == [3]
