@@ -26,12 +26,14 @@ def link_buckets(
     first_key: Column,
     fits: Column,
     verify: Callable[[DataFrame], DataFrame],
+    needed: str | None = None,
 ) -> DataFrame:
     """(node, root) for every linked node, from rows (token, node, *attributes).
 
     Two nodes may link if they share a token and ``fits`` holds, an expression
     over each attribute (and node) with the suffixes _a and _b that must not
     depend on the sides' order; ``verify`` keeps the pairs (a, b) that do link.
+    ``needed`` names a boolean attribute that one row of a pair must have.
     A few rounds compare each bucket's rows with one centre: first the row with
     the smallest ``first_key``, then others. Rows that are connected by then are
     never compared again. A last round takes all pairs of different components
@@ -58,13 +60,14 @@ def link_buckets(
                 *[F.col(c).alias(f"{c}_a") for c in sides], *[F.col(f"c.{c}").alias(f"{c}_b") for c in sides]
             )
         else:
-            groups = rows.select("token", F.col("root").alias("root_a")).distinct()
-            other = groups.withColumnRenamed("root_a", "root_b")
+            flag = F.max(needed) if needed else F.lit(True)
+            groups = rows.groupBy("token", F.col("root").alias("root_a")).agg(flag.alias("needed_a"))
+            other = groups.toDF("token", "root_b", "needed_b")
             a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in sides])
             b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in sides])
             pairs = (
                 groups.join(other, "token")
-                .where("root_a < root_b")
+                .where("root_a < root_b and (needed_a or needed_b)")
                 .join(a, ["token", "root_a"])
                 .join(b, ["token", "root_b"])
             )

@@ -35,6 +35,9 @@ SKETCH_BITS = 22
 BLOCK_BITS = 14
 SKETCH_GROUPS = 256
 ORDERS = 3
+# Shingles two linked documents share within prefixes that are this much less one longer: a
+# document whose prefix shares fewer with all others together has no link.
+SHARED = 5
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -137,7 +140,9 @@ def _index(docs: DataFrame, text_col: str, n: int, percent: int, ranks) -> DataF
                 prefixes = []
                 for order in range(ORDERS):
                     key = rank | (mix(grams, 1000 + order) >> np.uint64(8))
-                    part = np.argpartition(key, probing - 1)[:probing] if probing < size else np.arange(size)
+                    # The first order's prefix is longer: see SHARED.
+                    length = min(size, probing + SHARED - 1) if order == 0 else probing
+                    part = np.argpartition(key, length - 1)[:length] if length < size else np.arange(size)
                     prefixes.append(grams[part[np.argsort(key[part])]].view(np.int64))
                 rows.append((node, size, *prefixes))
             yield pa.record_batch(
@@ -246,7 +251,7 @@ def near_duplicate_components(
     index_length = f"n - ((2 * {percent} * n + {100 + percent - 1}) div {100 + percent}) + 1"
     postings = (
         nodes.select("node", "n", F.posexplode("p0").alias("pos", "shared"))
-        .withColumn("indexed", F.expr(f"pos < {index_length}"))
+        .withColumn("indexed", F.expr(f"pos < {index_length} + {SHARED - 1}"))
         .withColumn("low", F.expr(base.format("n")))
         .withColumn("high", F.when(F.col("indexed"), F.expr(base.format(f"(n * 100 div {percent})"))).otherwise(F.col("low")))
         .select(
@@ -263,7 +268,14 @@ def near_duplicate_components(
         F.expr("cast((info & 4294967295L) >> 1 as int)").alias("pos"),
         F.expr("(info & 1L) = 1L").alias("indexed"),
     )
-    postings = workspace.write(postings, "postings")
+    postings = workspace.write(postings, "longer")
+    workspace.release()
+    # An overlap of m leaves SHARED of m shingles within prefixes that are SHARED - 1 longer.
+    enough = F.count_distinct("token") >= F.expr(f"least({SHARED}, ({percent} * first(n) + 99) div 100)")
+    linked = postings.groupBy("node").agg(enough.alias("enough")).where("enough").select("node")
+    postings = postings.join(linked, "node", "left_semi").withColumn("indexed", F.expr(f"pos < {index_length}"))
+    postings = postings.where(f"pos < n - (({percent} * n + 99) div 100) + 1")
+    postings = workspace.write(shared_only(postings), "postings")
     workspace.release()
 
     prefix_tests = [f"p{k}" for k in range(1, ORDERS)]
@@ -289,7 +301,7 @@ def near_duplicate_components(
         and case when n_a < n_b then indexed_a when n_a > n_b then indexed_b else indexed_a and indexed_b end
         and least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {_least_overlap("n_a", "n_b", percent)}"""
     )
-    roots = link_buckets(workspace, postings, ["n", "pos", "indexed"], F.col("pos"), fits, verify)
+    roots = link_buckets(workspace, postings, ["n", "pos", "indexed"], F.col("pos"), fits, verify, "indexed")
 
     # Nodes carry several rows; the component's id is the smallest of all of them.
     labelled = summary.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn(
