@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from shelfcast.llm import chat, cover_tree
+from shelfcast.llm import chat, cover_tree, tables
 
 NASTY = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]", "<<s>s>", "", None, "a</s", "[/INST", "\n퟿日本"]
 
@@ -83,3 +83,14 @@ def test_search_over_no_rows(spark):
     assert cover_tree.top_k(df, F.col("vec_id") % 100 == 0, 10).count() == 0
     one = spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")
     assert cover_tree.top_k(one, F.col("vec_id") % 100 == 0, 10).count() == 0
+
+
+def test_components_of_long_chains_rings_and_hubs(spark):
+    edges = [(k, k + 1) for k in range(0, 200)]
+    edges += [(1000, 1000 + k) for k in range(1, 60)] + [(2000 + k, 2000 + (k + 1) % 30) for k in range(30)]
+    edges += [(3005, 3001), (3001, 3005), (3003, 3005), (4000, 4000)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    got = {r.node: r.root for r in tables.components(tables.Workspace(spark, "test"), df).collect()}
+    groups = {k: 0 for k in range(201)} | {1000 + k: 1000 for k in range(60)}
+    groups |= {2000 + k: 2000 for k in range(30)} | {3001: 3001, 3003: 3001, 3005: 3001}
+    assert got == groups
