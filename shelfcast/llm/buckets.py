@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .tables import Workspace, components
 
 # Rounds that compare a bucket's rows with one centre each.
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 2
 
 
 def shared_only(postings: DataFrame) -> DataFrame:
