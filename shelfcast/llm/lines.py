@@ -25,6 +25,7 @@ from .tables import Workspace, plain_names
 from .words import fold_ascii, hash_spans, mix, slices, spans, text_bytes
 
 DISTANCE = 3
+SHORT = 4
 BLOCKS = 5
 # Buckets of so many lines at most are compared line by line to see who has a near SimHash.
 SMALL = 8
@@ -32,8 +33,8 @@ SMALL = 8
 PERCENT = 80
 
 
-def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, line number, word hashes, first word, word count) of the lines with a word, slice by slice."""
+def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, line number, word hashes, first word, word count, word bytes) of lines with a word, by slice."""
     for begin, end in slices(texts):
         data, bounds = text_bytes(texts.slice(begin, end - begin))
         if not len(data):
@@ -48,7 +49,7 @@ def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         new = np.ones(len(first), bool)
         new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
         starts = np.flatnonzero(new)
-        yield begin + row[starts], number[starts], words, starts, np.diff(np.r_[starts, len(first)])
+        yield begin + row[starts], number[starts], words, starts, np.diff(np.r_[starts, len(first)]), last - first
 
 
 def line_ids(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -65,11 +66,13 @@ def line_ids(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 _SPREAD = np.array([sum((k >> b & 1) << 16 * b for b in range(4)) for k in range(16)], np.uint64)
 
 
-def simhashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def simhashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, widths: np.ndarray) -> np.ndarray:
     """Bit k is set if more than half of the line's counted words have it set in their hash.
 
     A word that equals one of the two before it in its line does not count: the
-    separator that fills half of a table row must not decide alone.
+    separator that fills half of a table row must not decide alone. Nor do words
+    of ``SHORT`` bytes or less, if the line has others: the few that fill every
+    sentence of a language would draw all its lines together.
     """
     if not len(starts):
         return np.zeros(0, np.int64)
@@ -77,8 +80,10 @@ def simhashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     again = np.zeros(len(words), bool)
     for by in (1, 2):
         again[by:] |= (words[by:] == words[:-by]) & (line[by:] == line[:-by])
-    kept = words[~again]
-    count = np.bincount(line[~again], minlength=len(starts))
+    counted = ~again & (widths > SHORT)
+    counted |= ~again & (np.bincount(line[counted], minlength=len(starts)) == 0)[line]
+    kept = words[counted]
+    count = np.bincount(line[counted], minlength=len(starts))
     begin = np.cumsum(count) - count
     out = np.zeros(len(starts), np.uint64)
     if count.max() < 1 << 16:
@@ -146,7 +151,7 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, number, words, starts, sizes in line_table(batch.column(2)):
+            for row, number, words, starts, sizes, widths in line_table(batch.column(2)):
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -154,7 +159,7 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
                         batch.column(1).take(taken),
                         pa.array(number, pa.int64()),
                         pa.array(line_ids(words, starts, sizes)),
-                        pa.array(simhashes(words, starts, sizes)),
+                        pa.array(simhashes(words, starts, sizes, widths)),
                         pa.array(sizes, pa.int64()),
                     ],
                     ["_id", "_doc", "line", "node", "simhash", "n"],
@@ -172,7 +177,7 @@ def _sequences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words, starts, sizes in line_table(batch.column(0)):
+            for _, _, words, starts, sizes, _ in line_table(batch.column(0)):
                 ids = line_ids(words, starts, sizes)
                 maybe = np.flatnonzero(passes(bitmap.value, ids))
                 nodes, where = np.unique(ids[maybe], return_index=True)

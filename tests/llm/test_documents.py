@@ -65,8 +65,8 @@ def line_truth(docs, percent=lines.PERCENT, distance=lines.DISTANCE):
     seen, place, texts = {}, defaultdict(set), {}
     for i, text in rows_of(docs):
         texts[(i, text)] = text
-        for _, number, words, starts, sizes in lines.line_table(pa.array([text], pa.string())):
-            ids, hashes = lines.line_ids(words, starts, sizes), lines.simhashes(words, starts, sizes)
+        for _, number, words, starts, sizes, widths in lines.line_table(pa.array([text], pa.string())):
+            ids, hashes = lines.line_ids(words, starts, sizes), lines.simhashes(words, starts, sizes, widths)
             for k in range(len(ids)):
                 node = int(ids[k])
                 seen[node] = (int(hashes[k]) & (2**64 - 1), words[starts[k] : starts[k] + sizes[k]].tolist())
