@@ -1,50 +1,133 @@
-"""Queries with trained models; their output has no SQL equivalent."""
+"""Queries with trained models.
+
+Keys, counts and inputs are checked exactly against SQL; of a model's figures the
+properties that must hold: present, above the floor of the log target, and better
+than the mean of what it was trained on.
+"""
 
 from __future__ import annotations
 
-from ..plans.recommend import bulk_recommend, predict_scenarios, priority_sort, scored_history
+from pyspark.sql import functions as F
+
+from ..operators import models
+from ..operators.clean import clean_panel
+from ..operators.features import create_features
+from ..plans.recommend import bulk_recommend, predict_scenarios, scored_history
 from ..plans.training import train_and_report, train_stores
 from ..schema import SERIES
 from . import fixtures
 from .fixtures import TARGET_DATE
+from .oracle import with_parts
 from .registry import query
 
-# Few rounds: these queries show that the parts fit, not how well trees can do.
-ROUNDS = {"maxIter": 4, "maxDepth": 5}
+# Boosting rounds of the registered queries; the library's default is 600. The README has the
+# seconds a round takes. Depth, bins and all else are the defaults.
+QUERY_ROUNDS = 30
+
+_reports: dict = {}
+
+
+def trained(spark, sf_dir):
+    """The global model over the whole panel, trained once per application and folder."""
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _reports:
+        report = train_and_report(fixtures.retail_panel(spark, sf_dir), maxIter=QUERY_ROUNDS)
+        saved = report.saved.first()
+        report.release()
+        _reports[key] = (report.forecaster, saved)
+    return _reports[key]
+
 
+S = ", ".join(SERIES)
+CLEAN = "panel WHERE units_sold >= 0 AND price > 0"
 
-@query("global_model_report")
+
+@query(
+    "global_model_report",
+    with_parts(
+        "panel",
+        f"""SELECT count(*) FILTER (WHERE date_diff('day', DATE '1970-01-01', date) <= day) AS train_records,
+  count(*) FILTER (WHERE date_diff('day', DATE '1970-01-01', date) > day) AS valid_records,
+  TRUE AS better_than_train_mean
+FROM (SELECT * FROM {CLEAN}), (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.8) AS day FROM {CLEAN})""",
+    ),
+)
 def global_model_report(spark, sf_dir):
-    report = train_and_report(fixtures.retail_panel(spark, sf_dir), **ROUNDS)
-    return report.saved
+    """Rows of both splits, and whether the model explains any of the training target."""
+    _, saved = trained(spark, sf_dir)
+    return spark.range(1).select(
+        F.lit(saved.train_records).cast("long").alias("train_records"),
+        F.lit(saved.valid_records).cast("long").alias("valid_records"),
+        F.lit(saved.train_r2 > 0).alias("better_than_train_mean"),
+    )
 
 
-@query("global_model_history")
+@query("global_model_history", with_parts("panel", f"SELECT date, {S}, CAST(units_sold AS DOUBLE) AS actual, TRUE AS usable FROM panel"))
 def global_model_history(spark, sf_dir):
-    panel = fixtures.retail_panel(spark, sf_dir)
-    report = train_and_report(panel, **ROUNDS)
-    report.release()
-    scored = scored_history(panel, report.forecaster)
-    return scored.select("date", *SERIES, "actual", "predicted")
+    """Every row of the panel has a prediction above the floor of the log target."""
+    forecaster, _ = trained(spark, sf_dir)
+    scored = scored_history(fixtures.retail_panel(spark, sf_dir), forecaster)
+    usable = F.col("predicted").isNotNull() & (F.col("predicted") > -1)
+    return scored.select("date", *SERIES, "actual", usable.alias("usable"))
 
 
-@query("global_model_bulk")
+@query(
+    "global_model_bulk",
+    with_parts("panel", f"SELECT {S}, '{TARGET_DATE}' AS prediction_date, TRUE AS complete FROM panel GROUP BY {S}"),
+)
 def global_model_bulk(spark, sf_dir):
-    panel = fixtures.retail_panel(spark, sf_dir)
-    report = train_and_report(panel, **ROUNDS)
-    report.release()
-    rows = bulk_recommend(panel, TARGET_DATE, report.forecaster)
-    return priority_sort(rows.drop("last_4_weeks", "demand_breakdown"))
+    """A complete row for every product of every store."""
+    forecaster, _ = trained(spark, sf_dir)
+    rows = bulk_recommend(fixtures.retail_panel(spark, sf_dir), TARGET_DATE, forecaster)
+    complete = F.col("error").isNull() & F.col("status").isNotNull() & F.col("recommended_order").isNotNull()
+    return rows.select(*SERIES, "prediction_date", complete.alias("complete"))
 
 
-@query("store_model_training")
+@query(
+    "store_model_training",
+    with_parts(
+        "panel",
+        f"SELECT store_id, count(*) AS records, TRUE AS measured FROM {CLEAN} GROUP BY store_id HAVING count(*) >= 100",
+    ),
+)
 def store_model_training(spark, sf_dir):
-    return train_stores(fixtures.retail_panel(spark, sf_dir)).summary
+    """Rows of every store with a model, and whether its error could be measured."""
+    training = train_stores(fixtures.retail_panel(spark, sf_dir))
+    rows = training.summary.select("store_id", "records", F.col("mae").isNotNull().alias("measured"))
+    training.release()
+    return rows
 
 
-@query("store_model_scenarios")
+@query(
+    "store_model_scenarios",
+    with_parts(
+        "panel",
+        f"""SELECT {S}, DATE '{TARGET_DATE}' AS date, max(n) >= 100 AS predicted
+FROM (SELECT *, count(*) OVER (PARTITION BY store_id) AS n FROM panel) GROUP BY {S}""",
+    ),
+)
 def store_model_scenarios(spark, sf_dir):
+    """Which scenarios have a prediction: those of stores with a model."""
     panel = fixtures.retail_panel(spark, sf_dir)
-    forecaster = train_stores(panel).forecaster
-    scored = predict_scenarios(fixtures.scenarios(spark, sf_dir), forecaster)
-    return scored.select(*SERIES, "date", "predicted_weekly_demand")
+    training = train_stores(panel)
+    scored = predict_scenarios(fixtures.scenarios(spark, sf_dir), training.forecaster)
+    training.release()
+    return scored.select(*SERIES, "date", F.col("predicted_weekly_demand").isNotNull().alias("predicted"))
+
+
+@query(
+    "training_rows",
+    with_parts(
+        "panel",
+        f"""SELECT store_id, split, count(*) AS records FROM (
+  SELECT store_id, CASE WHEN date_diff('day', DATE '1970-01-01', date) <= day THEN 'train' ELSE 'valid' END AS split
+  FROM (SELECT * FROM {CLEAN}) JOIN (
+    SELECT store_id, quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.8) AS day FROM {CLEAN}
+    GROUP BY store_id HAVING count(*) >= 100) USING (store_id)) GROUP BY store_id, split""",
+    ),
+)
+def training_rows(spark, sf_dir):
+    """Training and validation rows of each store with enough of them, by its own split date."""
+    clean = clean_panel(fixtures.retail_panel(spark, sf_dir))
+    rows = models.training_rows(create_features(clean), clean)
+    return rows.groupBy("store_id", "split").agg(F.count(F.lit(1)).alias("records"))
