@@ -232,9 +232,18 @@ def top_k(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(cell), pa.array(floor)], ["id", "v", "size", "qcell", "floor"])
 
     asked = queries.mapInArrow(first_bound, "id long, v array<long>, size long, qcell long, floor double")
-    groups = asked.groupBy("size", "qcell").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).alias("groups"))
+    # Small cells share a group, as each group is sent the blocks it may need; large ones are cut.
+    before = Window.partitionBy("size").orderBy("qcell").rowsBetween(Window.unboundedPreceding, -1)
+    large = F.col("n") > GROUP_QUERIES
+    small_before = F.coalesce(F.sum(F.when(~large, F.col("n"))).over(before), F.lit(0))
+    groups = asked.groupBy("size", "qcell").agg(F.count(F.lit(1)).alias("n")).select(
+        "size",
+        "qcell",
+        F.when(large, -1 - F.col("qcell")).otherwise(F.floor(small_before / GROUP_QUERIES)).alias("qgroup"),
+        F.ceil(F.col("n") / GROUP_QUERIES).alias("groups"),
+    )
     asked = asked.join(F.broadcast(groups), ["size", "qcell"])
-    asked = asked.withColumn("qpart", F.pmod(F.xxhash64("id", F.lit("group")), F.col("groups"))).drop("groups")
+    asked = asked.withColumn("qpart", F.pmod(F.xxhash64("id", F.lit("group")), F.col("groups"))).drop("groups", "qcell")
 
     def reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of (query, block) whose block can hold a score of the query's first bound."""
@@ -251,9 +260,9 @@ def top_k(
             yield batch.filter(pa.array(keep))
 
     # A stated query set against all rows in blocks: one row per query and block that may matter.
-    pairs = asked.join(reach, "size").select("id", "v", "floor", "size", "cell", "part", "qcell", "qpart", "reach")
+    pairs = asked.join(reach, "size").select("id", "v", "floor", "size", "cell", "part", "qgroup", "qpart", "reach")
     pairs = workspace.write(pairs.mapInArrow(reachable, pairs.schema), "pairs")
-    keys = ["size", "cell", "part", "qcell", "qpart"]
+    keys = ["size", "cell", "part", "qgroup", "qpart"]
     wanted = workspace.write(pairs.select(*keys).distinct(), "wanted")
     sent = blocks.join(wanted, ["size", "cell", "part"]).select(*keys, "id", "v")
 
