@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from shelfcast.catalog import QUERIES  # noqa: E402
+from shelfcast.catalog.model_queries import QUERY_ROUNDS  # noqa: E402
 from shelfcast.session import build_session  # noqa: E402
 
 HEADLINE = (
@@ -57,6 +59,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": Path(tempfile.mkdtemp(prefix="bench-checkpoints-")).as_uri(),
             "spark.ui.showConsoleProgress": "false",
         },
     )
@@ -78,6 +81,7 @@ def main() -> None:
                 "cold": cold,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "cpus": int(cpus),
+                "global_model_rounds": QUERY_ROUNDS,
             }
         )
     )

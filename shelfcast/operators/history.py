@@ -77,7 +77,11 @@ def last_n(
 
 
 def history_report(df: DataFrame, predicted: str = "predicted") -> DataFrame:
-    """Actual, predicted, stock, price and discount by date, rounded to cents."""
+    """Actual, predicted, stock, price and discount by date, rounded to cents.
+
+    Rows of a series that lie together, as scoring leaves them, are in date
+    order; there is no order among series.
+    """
     return df.select(
         *SERIES,
         date_text(DATE).alias("date"),
@@ -86,7 +90,7 @@ def history_report(df: DataFrame, predicted: str = "predicted") -> DataFrame:
         "inventory_level",
         np_round("price").alias("price"),
         np_round("discount").alias("discount"),
-    ).orderBy(*SERIES, "date")
+    ).sortWithinPartitions(*SERIES, "date")
 
 
 def forecast_tail(df: DataFrame, months: int, predicted: str = "predicted") -> DataFrame:

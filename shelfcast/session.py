@@ -22,6 +22,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when the frames that read them are given up.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

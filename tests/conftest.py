@@ -13,7 +13,7 @@ MEDIUM = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "shelfcast-tests",
         "local[8]",
@@ -21,6 +21,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("checkpoints").as_uri(),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
