@@ -77,7 +77,31 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op2_ngram_jaccard_join")
+JOIN_SQL = r"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as wl from documents
+), g as (
+  select distinct rid, gram from (
+    select rid, case when len(wl) < 3 then array_to_string(wl, ' ') else array_to_string(wl[i:i+2], ' ') end as gram
+    from (select rid, wl, unnest(range(1, greatest(len(wl) - 1, 2))) as i from d where len(wl) > 0))
+), n as (
+  select rid, count(*) as n from g group by rid
+), c as (
+  select x.rid as a, y.rid as b, count(*) as shared from g x join g y on x.gram = y.gram and x.rid <> y.rid group by all
+), e as (
+  select a, b from c join n p on p.rid = a join n q on q.rid = b where 100 * shared >= 90 * (p.n + q.n - shared)
+), r as (
+  select rid, doc_id as root from d
+  union
+  select b, root from r join e on r.rid = e.a
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from d left join n using (rid) join (select rid, min(root) as component_id from r group by rid) using (rid)
+"""
+
+
+@query("op2_ngram_jaccard_join", JOIN_SQL)
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of each document: three-word shingles, 90 percent."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -140,11 +164,70 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(docs)
 
 
-@query("op6_quality_rules")
+RULES_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents
+), w as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as wl from d
+), g as (
+  select rid, i, array_to_string(wl[i:i+4], ' ') as gram
+  from (select rid, wl, unnest(range(1, len(wl) - 3)) as i from w where len(wl) >= 5)
+), c as (
+  select rid, count(distinct i + j) as n_repeat_words
+  from (select rid, i, unnest(range(5)) as j from (select *, count(*) over (partition by rid, gram) as n from g) where n > 1)
+  group by rid
+), l as (
+  select rid, count(*) - count(distinct line) as n_dup_lines
+  from (select rid, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid
+), f as (
+  select w.rid, doc_id, lang, wl, len(wl) as n_words, length(t) as chars,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+    length(regexp_replace(t, '[^a-z]+', '', 'g')) as k_lower, length(regexp_replace(t, '[^A-Z]+', '', 'g')) as k_upper,
+    length(regexp_replace(t, '[^0-9]+', '', 'g')) as k_digit,
+    length(regexp_replace(t, '[^\x{80}-\x{10FFFF}]+', '', 'g')) as k_high,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from w left join c using (rid) left join l using (rid)
+), b as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f
+), h as (
+  select rid, lang, base_failed, 'c' as kind, name, n from (
+    select rid, lang, base_failed, unnest(['lower', 'upper', 'digit', 'high', 'symbol', 'space', 'mark']) as name,
+      unnest([k_lower, k_upper, k_digit, k_high, n_symbols, chars - word_chars,
+        word_chars - k_lower - k_upper - k_digit - k_high - n_symbols]) as n from b)
+  union all
+  select rid, lang, base_failed, 'w', lower(word), count(*) from (select rid, lang, base_failed, unnest(wl) as word from b)
+  where lower(word) in (WORDS) group by all
+), q as (
+  select lang, kind, name, sum(n) / sum(sum(n)) over (partition by lang, kind) as q from h where not base_failed group by lang, kind, name
+), p as (
+  select rid, lang, kind, name, n / nullif(sum(n) over (partition by rid, kind), 0) as p, sum(n) over (partition by rid, kind) as seen from h
+), z as (
+  -- A name that only the language has adds half its share.
+  select rid, p.kind, any_value(seen) as seen,
+    sum(case when p > 0 then p * log2(p / ((p + coalesce(q, 0)) / 2)) else 0 end
+      + case when q > 0 then q * log2(q / ((coalesce(p, 0) + q) / 2)) else 0 end) + (1 - sum(coalesce(q, 0))) as twice,
+    count(q) > 0 as known
+  from p left join q on p.kind = q.kind and p.name = q.name and p.lang is not distinct from q.lang group by rid, p.kind
+), j as (
+  select rid, max(sqrt(greatest(twice / 2, 0))) filter (kind = 'c' and known) as js_c,
+    max(sqrt(greatest(twice / 2, 0))) filter (kind = 'w' and known and seen >= 40) as js_w
+  from z group by rid
+)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+  n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  round(case when n_words >= 50 then js_c end, 6) as js_characters, round(js_w, 6) as js_words,
+  not base_failed and not coalesce(n_words >= 50 and js_c > 0.3, false) and not coalesce(js_w > 0.6, false) as kept
+from b left join j using (rid)
+""".replace("WORDS", ", ".join(f"'{w}'" for w in dict.fromkeys(rules.COMMON_WORDS)))
+
+
+@query("op6_quality_rules", RULES_SQL)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form counts of each document and whether the rules keep it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return rules.apply_rules(docs)
+    out = rules.apply_rules(docs)
+    return out.withColumns({c: F.round(c, 6) for c in ("js_characters", "js_words")})
 
 
 CHAT_SQL = r"""
