@@ -201,9 +201,12 @@ def _near_postings(nodes: DataFrame, distance: int, blocks: int, fits: Column, w
     without a near SimHash there are left out. Larger buckets stay as they are.
     """
     keys = F.array(*[F.expr(k) for k in block_keys("simhash", distance, blocks)])
-    slim = nodes.select("node", F.explode(keys).alias("token"))
-    # Nodes are distinct, so a shared key has a count of two or more.
-    sizes = slim.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    slim = nodes.select("node", "simhash", F.explode(keys).alias("token"))
+    # Nodes are distinct, so a shared key has a count of two or more. Of two SimHashes the
+    # exclusive or is their difference, which tells most meetings by chance at once.
+    sizes = slim.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(simhash)").alias("differ"))
+    sizes = sizes.where(f"size > 2 or size = 2 and bit_count(differ) <= {distance}").select("token", "size")
+    slim = slim.select("node", "token")
     shared = workspace.write(slim.join(workspace.write(sizes, "sizes"), "token"), "shared")
     workspace.release()
     rows = workspace.write(shared.join(nodes.select("node", "simhash", "n"), "node"), "rows")
@@ -292,7 +295,7 @@ def drop_repeated_lines(
     kept = F.when(F.col("_gone").isNull(), text).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(parts, i.cast("int"))), "\n")
     )
-    with_word = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    with_word = F.size(F.filter(parts, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     return marked.select(
         *[kept.alias(c) if n == text_col else F.col(n).alias(c) for c, n in names.items()],
         F.when(text.isNull(), 0).otherwise(with_word).cast("long").alias("n_lines"),
