@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_chars follows the text. Documents that had no line with a word stay.
     """
     ship_package(spark)
-    out = lines.drop_repeated_lines(docs)
+    out = lines.drop_repeated_lines(docs, distance=None)
     changed = F.col("n_dropped") > 0
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

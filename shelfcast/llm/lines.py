@@ -5,8 +5,16 @@ adds up the bits of its words' hashes. Two lines are near if their SimHashes
 differ in ``DISTANCE`` bits at most and their words' edit similarity reaches the
 threshold. With ``BLOCKS`` blocks of bits, such SimHashes agree in
 BLOCKS - DISTANCE whole blocks, so joining on every choice of that many blocks
-finds all of them; more blocks make longer keys for more lines. Near lines are
-linked into groups; of each group the first occurrence stays.
+finds all of them; more blocks make longer keys for more lines.
+
+With ``distance=None`` the edit similarity alone decides, and no such pair is
+missed. An edit touches two neighbouring pairs of words at most, so near lines
+share some; a prefix of each line's word pairs, the rarest first, must then hold
+a common one, and lines are joined on these. Of each line 256 parities of its
+words are kept: an edit changes two of them at most, which tells most other
+meetings before any words are compared.
+
+Near lines are linked into groups; of each group the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -21,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .bitmap import build_bitmap, passes
 from .buckets import link_buckets
+from .ngram_join import _counters, _sketch
 from .tables import Workspace, plain_names
-from .words import fold_ascii, hash_spans, mix, slices, spans, text_bytes
+from .words import fold_ascii, gram_hashes, hash_spans, mix, slices, spans, text_bytes
 
 DISTANCE = 3
 SHORT = 4
@@ -31,6 +40,11 @@ BLOCKS = 5
 SMALL = 8
 # Edit similarity of word sequences, in percent.
 PERCENT = 80
+# Words of a gram, and the smallest edit similarity at which grams cover all near lines.
+PAIR = 2
+LEAST_PERCENT = 80
+# 64-bit numbers of word parities.
+PARITIES = 4
 
 
 def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
@@ -99,6 +113,55 @@ def simhashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, widths:
     return out.view(np.int64)
 
 
+def parities(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``PARITIES`` numbers for each line: whether the words that hash to a bit are odd in number."""
+    out = np.zeros((PARITIES, len(starts)), np.uint64)
+    if len(starts):
+        own = mix(words, 6)
+        bit = np.uint64(1) << (own & np.uint64(63))
+        place = (own >> np.uint64(6)) % np.uint64(PARITIES)
+        for k in range(PARITIES):
+            out[k] = np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), starts)
+    return out.view(np.int64)
+
+
+def prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Word pairs of lines of so many words of which one must be shared with any near line."""
+    unique, where = np.unique(sizes, return_inverse=True)
+    out = np.zeros(len(unique), np.int64)
+    for k, n in enumerate(unique.tolist()):
+        # The longer line of a near pair: so many of its word pairs are shared at least.
+        longer = np.arange(n, 100 * n // percent + 1)
+        edits = longer * (100 - percent) // 100
+        shared = longer - PAIR + 1 - PAIR * edits
+        # Without an edit the lines are equal, which makes them one node.
+        need = np.where(edits > 0, n - PAIR + 1 - shared + 1, 0)
+        out[k] = min(int(need.max()), max(0, n - PAIR + 1))
+    return out[where]
+
+
+def pair_tokens(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, percent: int):
+    """(line, token) of the prefixes: word pairs told apart by occurrence, rarest first, then by hash."""
+    line = np.repeat(np.arange(len(starts)), sizes)
+    grams = gram_hashes(words, PAIR)
+    inside = line[: len(grams)] == line[PAIR - 1 :]
+    grams, line = grams[inside], line[: len(inside)][inside]
+    order = np.lexsort((grams, line))
+    grams, line = grams[order], line[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])
+    first = np.flatnonzero(new)
+    again = np.arange(len(grams)) - first[np.cumsum(new) - 1] if len(grams) else first
+    with np.errstate(over="ignore"):
+        tokens = mix(grams + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 8)
+    order = np.lexsort((tokens, ranks[_counters(grams)], line))
+    tokens, line = tokens[order], line[order]
+    count = np.bincount(line, minlength=len(starts))
+    place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    keep = place < prefix_lengths(sizes, percent)[line]
+    return line[keep], tokens[keep].view(np.int64)
+
+
 def block_keys(simhash: str, distance: int, blocks: int) -> list[str]:
     """SQL for one key per choice of blocks: the chosen bits and the number of the choice."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
@@ -146,27 +209,31 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(row[-1])
 
 
-def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """(doc id columns, _doc, line, node, simhash, n) of all lines with a word."""
+def _lines(docs: DataFrame, text_col: str, marks: list[str]) -> DataFrame:
+    """(doc id columns, _doc, line, node, *marks, n) of all lines with a word; marks: SimHash or parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, number, words, starts, sizes, widths in line_table(batch.column(2)):
                 taken = pa.array(row)
+                if marks == ["simhash"]:
+                    values = [simhashes(words, starts, sizes, widths)]
+                else:
+                    values = parities(words, starts, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(taken),
                         batch.column(1).take(taken),
                         pa.array(number, pa.int64()),
                         pa.array(line_ids(words, starts, sizes)),
-                        pa.array(simhashes(words, starts, sizes, widths)),
+                        *[pa.array(v) for v in values],
                         pa.array(sizes, pa.int64()),
                     ],
-                    ["_id", "_doc", "line", "node", "simhash", "n"],
+                    ["_id", "_doc", "line", "node", *marks, "n"],
                 )
 
     schema = docs.select("_id", "_doc").schema
-    for name in ("line", "node", "simhash", "n"):
+    for name in ("line", "node", *marks, "n"):
         schema = schema.add(name, "long")
     return docs.select("_id", "_doc", F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
@@ -210,20 +277,61 @@ def _near_postings(nodes: DataFrame, distance: int, blocks: int, fits: Column, w
     shared = workspace.write(slim.join(workspace.write(sizes, "sizes"), "token"), "shared")
     workspace.release()
     rows = workspace.write(shared.join(nodes.select("node", "simhash", "n"), "node"), "rows")
+    return _without_chance(rows, ["simhash"], fits)
+
+
+def _pair_postings(
+    docs: DataFrame, text_col: str, nodes: DataFrame, marks: list[str], percent: int, fits: Column, workspace: Workspace
+) -> DataFrame:
+    """(token, node, *marks, n) of the rare word pairs that two lines have in their prefixes."""
+    context = docs.sparkSession.sparkContext
+    ranks = context.broadcast(_sketch(docs, text_col, PAIR))
+    texts = docs.select(F.col(text_col).cast("string").alias("_text"))
+
+    def prefixes(bits) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, words, starts, sizes, _ in line_table(batch.column(0)):
+                    ids = line_ids(words, starts, sizes)
+                    line, tokens = pair_tokens(words, starts, sizes, ranks.value, percent)
+                    once = np.zeros(len(ids), bool)
+                    once[np.unique(ids, return_index=True)[1]] = True
+                    keep = once[line]
+                    if bits is not None:
+                        keep &= passes(bits.value, tokens)
+                    yield pa.record_batch([pa.array(tokens[keep]), pa.array(ids[line[keep]])], ["token", "node"])
+
+        return texts.mapInArrow(run, "token long, node long")
+
+    edge = prefixes(None).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = workspace.write(edge.where("low <> high").select("token"), "shared")
+    workspace.release()
+    found = prefixes(context.broadcast(build_bitmap(shared, "token"))).distinct()
+    # A token's rows are counted after equal lines are one node.
+    found = workspace.write(found.join(shared, "token", "left_semi"), "found")
+    sizes = workspace.write(found.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    rows = found.join(sizes, "token").join(nodes.select("node", *marks, "n"), "node")
+    rows = workspace.write(rows, "rows")
+    workspace.release()
+    return _without_chance(rows, marks, fits)
+
+
+def _without_chance(rows: DataFrame, marks: list[str], fits: Column) -> DataFrame:
+    """(token, node, *marks, n): rows of small buckets only if another row there fits, all of larger ones."""
     small = rows.where(F.col("size") <= SMALL).drop("size")
-    sides = {c: F.col(c) for c in ("node", "simhash", "n")}
+    sides = {c: F.col(c) for c in ("node", *marks, "n")}
     a = small.select("token", *[v.alias(f"{c}_a") for c, v in sides.items()])
     b = small.select("token", *[v.alias(f"{c}_b") for c, v in sides.items()])
     near = a.join(b, "token").where("node_a <> node_b").where(fits).select("token", F.col("node_a").alias("node"))
     kept = small.join(near.distinct(), ["token", "node"], "left_semi")
-    return kept.unionByName(rows.where(F.col("size") > SMALL).drop("size")).select("token", "node", "simhash", "n")
+    return kept.unionByName(rows.where(F.col("size") > SMALL).drop("size")).select("token", "node", *marks, "n")
 
 
 def drop_repeated_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    distance: int = DISTANCE,
+    distance: int | None = DISTANCE,
     blocks: int = BLOCKS,
     percent: int = PERCENT,
 ) -> DataFrame:
@@ -234,28 +342,36 @@ def drop_repeated_lines(
     line); null ids come first. Rows with equal id and text count as one
     occurrence and keep the same lines. Null text: no lines, the text stays
     null. A text that loses all its lines becomes what is left, maybe empty.
-    Earlier columns named n_lines or n_dropped go.
+    Earlier columns named n_lines or n_dropped go. ``distance=None``: lines are
+    near by their edit similarity alone, whatever their SimHashes.
     """
+    if distance is None and percent < LEAST_PERCENT:
+        raise ValueError(f"without SimHashes, percent must be {LEAST_PERCENT} or more")
     spark = docs.sparkSession
+    marks = ["simhash"] if distance is not None else [f"parity{k}" for k in range(PARITIES)]
     workspace = Workspace(spark, "lines")
     docs, names = plain_names(docs, ("n_lines", "n_dropped"))
     id_col, text_col = names[id_col], names[text_col]
     keyed = docs.withColumns({"_id": F.col(id_col), "_doc": F.xxhash64(F.col(text_col).cast("string"))})
-    lines = workspace.write(_lines(keyed, text_col), "lines")
+    lines = workspace.write(_lines(keyed, text_col, marks), "lines")
 
     place = F.struct(F.col("_id"), F.col("_doc"), F.col("line"))
     nodes = lines.groupBy("node").agg(
-        F.min("simhash").alias("simhash"),
+        *[F.min(c).alias(c) for c in marks],
         F.min("n").alias("n"),
         F.min(place).alias("first"),
         F.max(place).alias("final"),
     )
     nodes = workspace.write(nodes, "nodes")
 
-    fits = F.expr(
-        f"bit_count(simhash_a ^ simhash_b) <= {distance} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    )
-    postings = workspace.write(_near_postings(nodes, distance, blocks, fits, workspace), "postings")
+    differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in marks)
+    most = distance if distance is not None else f"2 * (greatest(n_a, n_b) * {100 - percent} div 100)"
+    fits = F.expr(f"{differ} <= {most} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    if distance is not None:
+        postings = _near_postings(nodes, distance, blocks, fits, workspace)
+    else:
+        postings = _pair_postings(docs, text_col, nodes, marks, percent, fits, workspace)
+    postings = workspace.write(postings, "postings")
     workspace.release()
     sequences = workspace.write(_sequences(docs, text_col, postings.select("node").distinct()), "sequences")
 
@@ -274,7 +390,7 @@ def drop_repeated_lines(
         with_b = with_a.join(sequences.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
         return with_b.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
-    roots = link_buckets(workspace, postings, ["simhash", "n"], F.xxhash64("node"), fits, verify)
+    roots = link_buckets(workspace, postings, [*marks, "n"], F.xxhash64("node"), fits, verify)
 
     # The place that stays, for every line that occurs in more than one place or has near ones.
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

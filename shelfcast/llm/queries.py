@@ -139,7 +139,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document, how many go, and a digest of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = lines.drop_repeated_lines(docs)
+    out = lines.drop_repeated_lines(docs, distance=None)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 

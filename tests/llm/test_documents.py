@@ -105,6 +105,55 @@ def test_one_occurrence_of_each_group_of_lines_stays(docs):
     assert Counter((r.doc_id, r.text, r.n_dropped) for r in out.collect()) == want
 
 
+def test_lines_near_by_edit_similarity_alone_are_all_found(spark):
+    rng = np.random.default_rng(11)
+    rows, short = [], ["a", "to", "of", "is", "|"]
+
+    def word():
+        return short[rng.integers(5)] if rng.random() < 0.4 else f"word{rng.integers(300)}"
+
+    for k in range(150):
+        line = [word() for _ in range(rng.integers(1, 45))]
+        for copy in range(3):
+            rows.append((3 * k + copy, " ".join(line)))
+            line = line[:]
+            for _ in range(rng.integers(0, len(line) * 20 // 100 + 2)):
+                at = int(rng.integers(len(line) + 1))
+                line[at : at + int(rng.integers(2))] = [word()] if rng.random() < 0.7 else []
+            line = line or ["one"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gathered, texts = line_truth(docs, distance=64)
+    # Each text is one line, so a group keeps the document with the smallest id.
+    want = {i: 0 for i, _ in texts}
+    for group in gathered.values():
+        want |= {i: 1 for i, *_ in sorted(group)[1:]}
+    got = {r.doc_id: r.n_dropped for r in lines.drop_repeated_lines(docs, distance=None).collect()}
+    assert got == want
+    cut, _ = line_truth(docs)
+    assert sum(want.values()) > sum(len(g) - 1 for g in cut.values()) + 50
+
+
+def test_near_lines_share_a_rare_word_pair():
+    rng = np.random.default_rng(12)
+    ranks = rng.integers(0, 255, 1 << 22).astype(np.uint8)
+    for _ in range(400):
+        n = int(rng.integers(4, 60))
+        a = rng.integers(0, 12, n).tolist()
+        b = a[:]
+        for _ in range(n * 25 // 100):
+            at = int(rng.integers(len(b) + 1))
+            b[at : at + int(rng.integers(2))] = rng.integers(0, 12, rng.integers(2)).tolist()
+        most = max(len(a), len(b)) * 20 // 100
+        if a == b or plain.edit_distance(a, b) > most:
+            continue
+        words = np.array(a + b, np.uint64)
+        starts, sizes = np.array([0, len(a)]), np.array([len(a), len(b)])
+        line, tokens = lines.pair_tokens(words, starts, sizes, ranks, 80)
+        assert set(tokens[line == 0]) & set(tokens[line == 1])
+        x, y = lines.parities(words, starts, sizes).T
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= 2 * most
+
+
 def test_edit_distance_stops_only_above_the_bound():
     rng = np.random.default_rng(5)
     for _ in range(300):
