@@ -3,10 +3,12 @@
 Suffixes are kept only where content selects them: at the smallest hash among
 ``least_words - GRAM + 1`` neighbouring grams of ``GRAM`` words, so every passage
 of ``least_words`` words holds a selected position, the same in all its copies.
-Suffixes whose gram occurs in one document only are left out. The others are
-sorted by what follows (and by what precedes), neighbours are compared, and each
-match is extended to the right and to the left. Matches of neighbouring
-positions overlap, so merged they give whole passages.
+Suffixes whose gram occurs in one document only are left out. Of the others, a
+passage of ``least_words`` words around a gram is the gram, some l words before
+it and the remaining ones after it: grouping by these for every l finds all
+passages that two documents share. Suffixes whose whole surroundings two
+documents share have all of them and are not grouped again. Matches of
+neighbouring positions overlap, so merged they give whole passages.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +27,6 @@ from .words import fold_ascii, gram_hashes, hash_spans, slices, spans, text_byte
 
 GRAM = 32
 LEAST_WORDS = 50
-# Sorted rows handled at a time, and rows that a cut inside one gram shows again.
-CHUNK_ROWS = 50_000
-EDGE_ROWS = 64
 
 
 def _windows(values: np.ndarray, width: int, reduce) -> np.ndarray:
@@ -86,149 +84,43 @@ def _binary(rows: np.ndarray, size: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _match(gram: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: int):
-    """Matches of each row with its nearest neighbours of other documents, in both sort orders.
-
-    Yields (row, partner, words to the left, words to the right) of passages of ``least`` words.
-    """
-    n = len(gram)
-    if n < 2:
-        return
-    reach = left.shape[1]
-
-    def extent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        differ = (a != b) | (a == 0)
-        return np.where(differ.any(axis=1), differ.argmax(axis=1), reach)
-
-    def keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        whole = np.concatenate(
-            [np.ascontiguousarray(gram).view(np.uint8).reshape(n, 8), first.view(np.uint8).reshape(n, -1), second.view(np.uint8).reshape(n, -1)],
-            axis=1,
-        )
-        return np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").reshape(-1)
-
-    for first, second in ((right, left), (left, right)):
-        order = np.lexsort((pos, doc, np.unique(keys(first, second), return_inverse=True)[1]))
-        g, d = gram[order], doc[order]
-        run = np.ones(n, bool)
-        run[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-        starts = np.flatnonzero(run)
-        number = np.cumsum(run) - 1
-        ends = np.r_[starts[1:], n]
-        for partner in (starts[number] - 1, ends[number]):
-            ok = (partner >= 0) & (partner < n)
-            ok[ok] = g[partner[ok]] == g[np.flatnonzero(ok)]
-            me, other = order[ok], order[partner[ok]]
-            l, r = extent(left[me], left[other]), extent(right[me], right[other])
-            long = l + r + GRAM >= least
-            yield me[long], other[long], l[long], r[long]
-
-
-ROW_NAMES = ("gram", "right", "left", "doc", "pos", "id")
+ROW_NAMES = ("gram", "right", "left", "n_right", "n_left", "doc", "pos", "id")
 
 
-def _found(table: pa.Table, reach: int) -> pa.Table:
-    """Matches among rows of ``ROW_NAMES``: id, doc, start, end, twin."""
-    table = table.combine_chunks()
-    n = table.num_rows
-    gram, doc, pos = (table.column(c).to_numpy() for c in ("gram", "doc", "pos"))
-    left, right = (
-        np.frombuffer(b"".join(table.column(c).to_pylist()), ">u4").reshape(n, reach) for c in ("left", "right")
+def _extents(rows: DataFrame, reach: int, workspace: Workspace) -> DataFrame:
+    """(context, low, high, least, most): of suffixes with equal surroundings, the words before the gram
+    with which a passage may begin, and one or two documents of which one at least is another one."""
+    around = ["gram", "left", "right", "n_left", "n_right"]
+    contexts = rows.groupBy(*around).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    contexts = workspace.write(contexts.withColumn("context", F.xxhash64("gram", "left", "right")), "contexts")
+    workspace.release()
+    reached = F.col("n_left") + F.col("n_right") >= reach
+    least = F.greatest(reach - F.col("n_right"), F.lit(0))
+    whole = contexts.where("low <> high").where(reached)
+    whole = whole.select("context", "low", "high", least.alias("least"), F.col("n_left").alias("most"))
+
+    # Surroundings of one document can meet others of the same gram only.
+    edge = contexts.groupBy("gram").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.col("low") == F.col("high")).alias("single")
     )
-    none = (np.zeros(0, np.int64),) * 4
-    parts = [none, *_match(gram, left, right, doc, pos, reach + GRAM)]
-    me, other, l, r = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    ids = table.column("id")
-    return pa.table(
-        [ids.take(pa.array(me)), pa.array(doc[me]), pa.array(pos[me] - l), pa.array(pos[me] + GRAM + r), ids.take(pa.array(other))],
-        ["id", "doc", "start", "end", "twin"],
+    grams = workspace.write(edge.where("low <> high and single").select("gram"), "grams")
+    some = contexts.where(reached).join(grams, "gram", "left_semi")
+    keys = some.select("*", F.explode(F.sequence(least, F.col("n_left"))).alias("l"))
+    keys = keys.select(
+        "context",
+        "low",
+        "high",
+        "l",
+        F.expr(f"xxhash64(gram, l, substring(left, 1, 4 * l), substring(right, 1, 4 * ({reach} - l)))").alias("key"),
     )
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows in bounded tables that end where a gram ends, if it is not larger than all of them."""
-    held: list[pa.Table] = []
-    count = 0
-    for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
-        count += batch.num_rows
-        if count < CHUNK_ROWS:
-            continue
-        table = pa.concat_tables(held).combine_chunks()
-        gram = table.column("gram").to_numpy()
-        other = np.flatnonzero(gram != gram[-1])
-        if len(other):
-            cut = int(other[-1]) + 1
-            yield table.slice(0, cut)
-            held, count = [table.slice(cut)], count - cut
-        elif count >= 4 * CHUNK_ROWS:
-            # One gram fills the chunk: its rows are sorted by what follows, so the cut only
-            # needs to show the last rows again.
-            yield table
-            held, count = [table.slice(count - EDGE_ROWS)], EDGE_ROWS
-    if count:
-        yield pa.concat_tables(held)
-
-
-def _sorted_matches(rows: DataFrame, reach: int) -> DataFrame:
-    """Matches within each sorted partition (side = null), and the rows at its ends (side = -1 and 1)."""
-    kinds = {f.name: f.dataType for f in rows.schema}
-    fields = [("id", kinds["id"]), ("doc", T.LongType()), ("start", T.LongType()), ("end", T.LongType()), ("twin", kinds["id"])]
-    fields += [("part", T.IntegerType()), ("side", T.IntegerType())]
-    fields += [(c, kinds[c]) for c in ("gram", "right", "left", "pos")]
-    schema = T.StructType([T.StructField(n, t) for n, t in fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-
-        def whole(table: pa.Table, side: int | None) -> list[pa.RecordBatch]:
-            n = table.num_rows
-            columns = []
-            for name, _ in fields:
-                if name in table.column_names:
-                    columns.append(table.column(name))
-                elif name in ("part", "side"):
-                    columns.append(pa.array([part if name == "part" else side] * n, pa.int32()))
-                else:
-                    columns.append(pa.nulls(n, empty[name]))
-            return pa.table(columns, [n for n, _ in fields]).combine_chunks().to_batches()
-
-        empty: dict[str, pa.DataType] = {"start": pa.int64(), "end": pa.int64()}
-        last = None
-        for table in _chunks(batches):
-            empty |= {c: table.schema.field(c).type for c in ROW_NAMES} | {"twin": table.schema.field("id").type}
-            if last is None:
-                yield from whole(table.slice(0, EDGE_ROWS), -1)
-            yield from whole(_found(table, reach), None)
-            last = table if last is None or table.num_rows >= EDGE_ROWS else pa.concat_tables([last, table])
-            last = last.slice(max(0, last.num_rows - EDGE_ROWS))
-        if last is not None:
-            yield from whole(last, 1)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _boundary_matches(edges: DataFrame, reach: int) -> DataFrame:
-    """Matches between the last rows of a partition and the first ones of the next that has rows."""
-    parts = edges.select("part").distinct().select("part", F.row_number().over(Window.orderBy("part")).alias("turn"))
-    rows = edges.join(F.broadcast(parts), "part").withColumn(
-        "boundary", F.when(F.col("side") == 1, F.col("turn")).otherwise(F.col("turn") - 1)
-    )
-
-    def run(table: pa.Table) -> pa.Table:
-        return _found(table.select(list(ROW_NAMES)), reach)
-
-    kind = edges.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("id", kind),
-            T.StructField("doc", T.LongType()),
-            T.StructField("start", T.LongType()),
-            T.StructField("end", T.LongType()),
-            T.StructField("twin", kind),
-        ]
+    ends = keys.groupBy("key").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
+    ends = workspace.write(ends, "ends")
+    workspace.release()
+    found = keys.where("low = high").join(ends, "key")
+    found = found.groupBy("context").agg(
+        F.min("first").alias("low"), F.max("last").alias("high"), F.min("l").alias("least"), F.max("l").alias("most")
     )
-    return rows.select(*ROW_NAMES, "boundary").groupBy("boundary").applyInArrow(run, schema)
+    return workspace.write(whole.unionByName(found), "extents")
 
 
 def repeated_passages(
@@ -245,9 +137,6 @@ def repeated_passages(
     text count as one document; null ids are documents of their own by their
     text. Repeats inside one document only do not count.
 
-    Neighbours are taken in two orders, by the words that follow and by those
-    that precede. A match is missed only where, for one gram, other documents
-    share more than it on both sides and hide it in both orders.
     """
     if least_words <= GRAM:
         raise ValueError(f"least_words must be above {GRAM}")
@@ -288,6 +177,8 @@ def repeated_passages(
                         pa.array(gram[keep].view(np.int64)),
                         _binary(after, size),
                         _binary(before, size),
+                        pa.array(np.minimum(high[keep] - at[keep] - GRAM, reach), pa.int32()),
+                        pa.array(np.minimum(at[keep] - low[keep], reach), pa.int32()),
                         batch.column(1).take(taken),
                         pa.array(pos[keep]),
                         batch.column(0).take(taken),
@@ -301,17 +192,24 @@ def repeated_passages(
             T.StructField("gram", T.LongType()),
             T.StructField("right", T.BinaryType()),
             T.StructField("left", T.BinaryType()),
+            T.StructField("n_right", T.IntegerType()),
+            T.StructField("n_left", T.IntegerType()),
             T.StructField("doc", T.LongType()),
             T.StructField("pos", T.LongType()),
             T.StructField("id", id_type),
         ]
     )
-    order = ["gram", "right", "left", "doc", "pos"]
-    sorted_rows = keyed.mapInArrow(rows, row_schema).repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = workspace.write(_sorted_matches(sorted_rows, reach), "matches")
-    workspace.release()
-    inner = marked.where("side is null").select("id", "doc", "start", "end", "twin")
-    matches = inner.unionAll(_boundary_matches(marked.where("side is not null"), reach))
+    suffix_rows = workspace.write(keyed.mapInArrow(rows, row_schema), "rows")
+    extents = _extents(suffix_rows, reach, workspace)
+    places = suffix_rows.select("id", "doc", "pos", F.xxhash64("gram", "left", "right").alias("context"))
+    # A passage with l words before the gram ends least_words later; all of one gram overlap.
+    matches = places.join(extents, "context").select(
+        "id",
+        "doc",
+        (F.col("pos") - F.col("most")).alias("start"),
+        (F.col("pos") + least_words - F.col("least")).alias("end"),
+        F.when(F.col("low") == F.col("doc"), F.col("high")).otherwise(F.col("low")).alias("twin"),
+    )
 
     # Merge overlapping matches of a document; a document has no more of them than words.
     own = Window.partitionBy("id", "doc").orderBy("start", "end", "twin")
@@ -325,7 +223,11 @@ def repeated_passages(
         .agg(
             F.min("start").alias("start_word"),
             (F.max("end") - F.min("start")).alias("n_words"),
-            F.max_by("twin", F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("twin_id"),
+            F.max_by("twin", F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("twin"),
         )
     )
+    merged = workspace.write(merged, "merged")
+    twins = keyed.select(F.col("doc").alias("twin"), F.col("id").alias("twin_id"))
+    twins = twins.join(merged.select("twin").distinct(), "twin", "left_semi").dropDuplicates(["twin"])
+    merged = merged.join(twins, "twin", "left")
     return merged.select(F.col("id").alias(id_col), "start_word", "n_words", "twin_id")

@@ -186,6 +186,43 @@ def test_repeated_passages_cover_what_all_windows_cover(docs, least):
     assert got == want
 
 
+def covered_places(out):
+    got = defaultdict(set)
+    for r in out.collect():
+        got[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    return got
+
+
+def test_passages_that_others_hide_are_found(spark):
+    # Around one gram x and y share 9 words on each side, and each shares more with others on one side.
+    def text(name, seed):
+        own, both = [f"{name}{k}" for k in range(112)], [f"s{seed}w{k}" for k in range(50)]
+        return " ".join(own[:31] + both + own[81:])
+
+    def places(seed):
+        found = passages.suffixes(pa.array([text("x", seed)]), 50)
+        return [p for _, pos, *_ in found for p in pos.tolist() if 31 <= p <= 49]
+
+    # The gram in the middle of the shared words must be the one that content selects.
+    seeds = [k for k in range(400) if places(k) == [40]][:8]
+    rows, twins = [], {}
+    for seed in seeds:
+        # Beyond the nine words, x and y go on differently; five others follow each of them there, five precede it.
+        x, y = (text(f"{n}{seed}n", seed).split() for n in ("x", "y"))
+        twins |= {len(rows): len(rows) + 1, len(rows) + 1: len(rows)}
+        texts = [x, y]
+        for k in range(20):
+            base, own = (x, y)[k % 2], [f"z{seed}n{k}n{j}" for j in range(112)]
+            texts.append(own[:23] + base[23:72] + own[72:] if k % 4 < 2 else own[:40] + base[40:89] + own[89:])
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate(texts)]
+    want = {i: c for (i, _), c in plain.repeated_word_places(rows, 50).items()}
+    assert len(seeds) == 8 and set(want) == set(twins)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = passages.repeated_passages(docs)
+    assert covered_places(out) == want
+    assert {r.doc_id: r.twin_id for r in out.collect()} == twins
+
+
 def test_bpe_equals_the_library_both_ways(docs):
     out = bpe.encode_decode(docs, TOKENIZER, lexicon_words=200).select("doc_id", "token_ids", "decoded").collect()
     got = Counter((r.doc_id, bytes(r.token_ids), r.decoded) for r in out)
