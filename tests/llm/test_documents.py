@@ -223,6 +223,22 @@ def test_passages_that_others_hide_are_found(spark):
     assert {r.doc_id: r.twin_id for r in out.collect()} == twins
 
 
+def test_passages_around_a_frequent_gram_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(21)
+    gram = [f"g{k}" for k in range(34)]
+    # Few words around a gram that all documents share, so passages meet on every mix of sides.
+    rows = []
+    for k in range(1600):
+        left = [f"l{j}x{int(rng.random() < 0.3)}" if j > 20 else f"l{k}x{j}" for j in range(40)]
+        right = [f"r{j}x{int(rng.random() < 0.3)}" if j < 14 else f"r{k}x{j}" for j in range(40)]
+        rows.append((k, " ".join(left + gram + right)))
+    want = {i: c for (i, _), c in plain.repeated_word_places(rows, 50).items()}
+    assert len(want) > 20
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert covered_places(passages.repeated_passages(docs)) == want
+
+
 def test_bpe_equals_the_library_both_ways(docs):
     out = bpe.encode_decode(docs, TOKENIZER, lexicon_words=200).select("doc_id", "token_ids", "decoded").collect()
     got = Counter((r.doc_id, bytes(r.token_ids), r.decoded) for r in out)
