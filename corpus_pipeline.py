@@ -82,9 +82,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token_ids and n_tokens of every row."""
+    """doc_id, source, token_ids, the text decoded from them and n_tokens of every row."""
     ship_package(spark)
-    out = bpe.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER), decode=False)
+    out = bpe.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER))
     return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 
 

@@ -79,6 +79,17 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert Counter(map(tuple, whole)) == Counter(map(tuple, after.select("doc_id", F.sha2("token_ids", 256).alias("ids")).collect()))
 
 
+def test_last_stage_decodes_what_it_encodes(spark):
+    texts = ["Some words, twice some words.", "Übung  日本語\n\tend", "", None]
+    docs = spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string")
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.decoded == library.decode(ids, skip_special_tokens=False) and r.n_tokens == len(ids)
+
+
 def test_near_stage_keeps_one_of_each_group(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(1, text), (1, text), (2, text), (3, text + " more"), (None, text), (4, "alone here"), (5, None), (5, None), (6, "")]
