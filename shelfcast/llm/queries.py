@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, chat, cover_tree, lines, mixture, ngram_join, packing, passages, quality, rules
+from . import bpe, chat, collocations, cover_tree, lines, mixture, ngram_join, packing, passages, quality, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -296,3 +296,47 @@ def op7_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return cover_tree.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
+PHRASES_SQL = r"""
+with d as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), p as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as wl from d
+), g as (
+  select lang, k, array_to_string(wl[i:i+k-1], ' ') as phrase
+  from (select lang, wl, k, unnest(range(1, len(wl) - k + 2)) as i from p, (values (1), (2), (3)) t(k) where len(wl) >= k)
+), f as (
+  select lang, k, phrase, count(*) as a from g group by all
+), n as (
+  select lang, sum(a)::bigint as n from f where k = 1 group by lang
+), c as (
+  select *, string_split(phrase, ' ') as w from f where k > 1 and a >= 10
+), x as (
+  select *, array_to_string(w[1:j], ' ') as head, array_to_string(w[j+1:k], ' ') as tail
+  from c, (values (1), (2)) t(j) where j < k
+), s as (
+  select x.lang, x.phrase, x.k, x.a, x.j, l.a as l, r.a as r,
+    ((1000000::hugeint * x.a * x.a) // (l.a::hugeint * r.a))::bigint as score
+  from x join f l on l.lang = x.lang and l.phrase = x.head join f r on r.lang = x.lang and r.phrase = x.tail
+), m as (
+  select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), o as (
+  select lang, part, max(a) as most from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as part from c where k = 3)
+  group by all
+), kept as (
+  select m.* from m left join o on o.lang = m.lang and o.part = m.phrase and m.k = 2 where coalesce(100 * most < 50 * a, true)
+)
+select lang, rank, phrase, a, l, r, n, score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+) join n using (lang) where rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", PHRASES_SQL)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of 2 to 3 words of each lang that keep together best."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.mine_phrases(docs, longest=3, least=10, subsumed_percent=50, top=2000)

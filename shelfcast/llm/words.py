@@ -100,6 +100,20 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, end, np.searchsorted(begin, bounds)
 
 
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each run of bytes with ``inside`` set, none across texts, and for each text its first run.
+
+    The last array has one element more than there are texts.
+    """
+    edges = np.zeros(len(inside) + 1, bool)
+    edges[1:-1] = inside[1:] != inside[:-1]
+    edges[bounds] = True
+    edges = np.flatnonzero(edges)
+    kept = inside[edges[:-1]] if len(inside) else np.zeros(0, bool)
+    begin = edges[:-1][kept]
+    return begin, edges[1:][kept], np.searchsorted(begin, bounds)
+
+
 def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
     _grow_powers(len(data) + 1)
