@@ -37,9 +37,11 @@ SPACES = b" \t"
 # Stands in a stripe for a next word that is rare or missing.
 OTHER = -(1 << 63)
 # Positions or distinct words a task counts before it hands on what it has.
-BUFFER = 1 << 21
-# Entries of a row of a stripe; a longer stripe is several rows.
-ROW_ENTRIES = 4096
+BUFFER = 1 << 20
+# Entries of a row of a stripe; a longer stripe is several rows, so a batch of rows stays small.
+ROW_ENTRIES = 256
+# Rows of a batch that leaves a task.
+ROWS = 1 << 14
 # A prefix with more occurrences than this and than one in HOT_SHARE of all words is
 # cut into slices by next word; there are HOT_SHARE such prefixes at most.
 HOT_LEAST, HOT_SHARE = 1 << 16, 1 << 16
@@ -123,9 +125,9 @@ def _stripe_rows(prefix: np.ndarray, word: np.ndarray, n: np.ndarray, hot: np.nd
     begins = np.flatnonzero(row)
     since = np.arange(len(row)) - np.repeat(begins, np.diff(np.r_[begins, len(row)]))
     begins = np.flatnonzero(since % ROW_ENTRIES == 0)
-    for k in range(0, len(begins), BUFFER >> 4):
-        heads = begins[k : k + (BUFFER >> 4)]
-        stop = begins[k + (BUFFER >> 4)] if k + (BUFFER >> 4) < len(begins) else len(row)
+    for k in range(0, len(begins), ROWS):
+        heads = begins[k : k + ROWS]
+        stop = begins[k + ROWS] if k + ROWS < len(begins) else len(row)
         offsets = pa.array(np.r_[heads, stop] - heads[0], pa.int32())
         yield pa.record_batch(
             [
