@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bitmap import build_bitmap, passes
 from .chunks import ragged
 from .tables import Workspace
-from .words import fold_ascii, hash_spans, mix, runs, slices, text_bytes
+from .words import binary_content, fold_ascii, hash_spans, mix, runs, slices, text_bytes
 
 # Bytes that end a piece of text, and bytes between the words of a piece.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -45,6 +45,11 @@ ROWS = 1 << 14
 # A prefix with more occurrences than this and than one in HOT_SHARE of all words is
 # cut into slices by next word; there are HOT_SHARE such prefixes at most.
 HOT_LEAST, HOT_SHARE = 1 << 16, 1 << 16
+# Slices in which a lang's phrases are ranked before they are ranked as a whole.
+RANK_SLICES = 64
+
+# An entry of a stripe on its way: a task's own count of at most BUFFER positions.
+_ENTRY = np.dtype([("word", "<i8"), ("n", "<u4")])
 
 _EDGE = np.zeros(256, bool)
 _EDGE[list(PIECE_ENDS)] = True
@@ -128,17 +133,12 @@ def _stripe_rows(prefix: np.ndarray, word: np.ndarray, n: np.ndarray, hot: np.nd
     for k in range(0, len(begins), ROWS):
         heads = begins[k : k + ROWS]
         stop = begins[k + ROWS] if k + ROWS < len(begins) else len(row)
-        offsets = pa.array(np.r_[heads, stop] - heads[0], pa.int32())
-        yield pa.record_batch(
-            [
-                pa.array(prefix[heads]),
-                pa.array(part[heads]),
-                pa.array(word[heads]),
-                pa.ListArray.from_arrays(offsets, pa.array(word[heads[0] : stop])),
-                pa.ListArray.from_arrays(offsets, pa.array(n[heads[0] : stop])),
-            ],
-            ["prefix", "part", "first", "words", "counts"],
-        )
+        entries = np.empty(stop - heads[0], _ENTRY)
+        entries["word"], entries["n"] = word[heads[0] : stop], n[heads[0] : stop]
+        offsets = ((np.r_[heads, stop] - heads[0]) * _ENTRY.itemsize).astype(np.int32)
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+        columns = [pa.array(prefix[heads]), pa.array(part[heads]), pa.array(word[heads]), packed]
+        yield pa.record_batch(columns, ["prefix", "part", "first", "entries"])
 
 
 def _build_stripes(length: int, filters: Broadcast):
@@ -219,10 +219,10 @@ def _merge_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if not batch.num_rows:
             continue
-        words, counts = batch.column("words"), batch.column("counts")
-        lengths = np.diff(words.offsets.to_numpy())
+        data, bounds = binary_content(batch.column("entries"))
+        entries, lengths = data.view(_ENTRY), np.diff(bounds) // _ENTRY.itemsize
         keys = [batch.column(c).to_numpy() for c in ("prefix", "part", "first")]
-        columns = [np.repeat(keys[0], lengths), np.repeat(keys[1], lengths), words.flatten().to_numpy(), counts.flatten().to_numpy()]
+        columns = [np.repeat(keys[0], lengths), np.repeat(keys[1], lengths), entries["word"].copy(), entries["n"].astype(np.int64)]
         columns = merged([np.concatenate(pair) for pair in zip(rest, columns)])
         last = [k[-1] for k in keys]
         keep = (columns[0] == last[0]) & (columns[1] == last[1]) & (columns[2] >= last[2])
@@ -231,7 +231,7 @@ def _merge_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from out(rest)
 
 
-_STRIPE_ROWS = "prefix long, part long, first long, words array<long>, counts array<long>"
+_STRIPE_ROWS = "prefix long, part long, first long, entries binary"
 _STRIPES = "prefix long, total long, best long, words array<long>, ids array<long>, counts array<long>"
 
 
@@ -339,6 +339,10 @@ def mine_phrases(
              'cut', k, 'l', heads[k - 1], 'r', tails[size(heads) - k - 1])))"""
     )
     found = found.withColumn("lowest", cuts).select("lang", "phrase", "a", "lowest.l", "lowest.r", "lowest.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # The best of each slice first, so that a lang's last ranking sees RANK_SLICES * top rows at most.
+    best_first = (F.desc("score"), F.desc("a"), "phrase")
+    found = found.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SLICES)))
+    for keys in (("lang", "slice"), ("lang",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first))
+        found = found.withColumn("rank", place).where(F.col("rank") <= top)
     return found.join(langs, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -74,6 +74,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
+def binary_content(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, one after the other, and each value's begin and end."""
+    values = values.cast(pa.large_binary())
+    bounds = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    content = values.buffers()[2]
+    data = np.frombuffer(content, np.uint8)[bounds[0] : bounds[-1]] if content is not None else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
 def fold_ascii(data: np.ndarray) -> np.ndarray:
     """Lower-case A to Z and nothing else."""
     upper = (data >= 65) & (data <= 90)
