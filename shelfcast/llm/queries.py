@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, chat, collocations, cover_tree, lines, mixture, ngram_join, packing, passages, quality, rules
+from . import bpe, chat, collocations, cover_tree, decontaminate, lines, mixture, ngram_join, packing, passages, quality, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -340,3 +340,47 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 phrases of 2 to 3 words of each lang that keep together best."""
     docs = table(spark, sf_dir, "documents").select("text", "lang")
     return collocations.mine_phrases(docs, longest=3, least=10, subsumed_percent=50, top=2000)
+
+
+WINDOWS_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as wl from documents
+), b as (
+  select item_id, regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as wl from benchmark
+), v as (
+  select distinct item_id, least(len(wl), 10) as size, array_to_string(wl[i:i+9], ' ') as gram
+  from (select item_id, wl, unnest(range(1, greatest(len(wl) - 9, 1) + 1)) as i from b where len(wl) > 0)
+), g as (
+  select rid, i, size, array_to_string(wl[i:i+size-1], ' ') as gram
+  from (select rid, wl, size, unnest(range(1, len(wl) - size + 2)) as i
+        from d, (select distinct size from v) where len(wl) >= size)
+), h as (
+  select g.rid, g.i, g.size, v.item_id from g join v using (size, gram)
+), c as (
+  select rid, count(distinct w) as n_hit from (select rid, unnest(range(i, i + size)) as w from h) group by rid
+), t as (
+  select rid, count(distinct item_id) as n_items,
+    string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from h group by rid
+)
+select doc_id, len(wl)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (rid) left join t using (rid)
+"""
+
+
+@query("op12_benchmark_decontamination", WINDOWS_SQL)
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside ten-word windows of benchmark items, and these items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10, keep_text=False)
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["begin_word"])
+    return marked.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
