@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, chat, collocations, cover_tree, decontaminate, lines, mixture, ngram_join, packing, passages, quality, rules
+from . import align, bpe, chat, collocations, cover_tree, decontaminate, lines, mixture, ngram_join, packing, passages, quality, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -384,3 +384,13 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned token groups of each document, and how common its links of two ids are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = align.align_tokens(docs, *files, keep_text=False)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return out.withColumn("groups_sha256", digest).drop("groups")
