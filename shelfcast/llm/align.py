@@ -8,10 +8,11 @@ Where they are not exact - tokens that share a character of several bytes, piece
 of a byte fallback - the lengths of the decoded tokens refine them. The bytes of
 all tokens of a text must give the text again; else it has no tokens.
 
-Two passes over the documents: the first counts the linked ids of all documents,
-the second gives each document its alignment with these counts. The counted pairs
-go to the tasks in parts of a bounded size, with a pass for each part; a part holds
-four million pairs, so corpora of most kinds need one.
+A shard is a bounded number of documents of a task. It is written once, as its
+documents' chunk numbers and the links and groups of its distinct chunks; from these
+tables come the counts of all linked ids and then, with the counts, the documents' figures.
+The counted pairs go to the tasks in parts of four million, with one pass over the
+shards for each; corpora of most kinds need one.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .chunks import ragged
@@ -40,14 +42,23 @@ from .words import slices
 # or line end between two other characters.
 CHUNK = re.compile(r"[\s\S]\s*\S*(?:(?![ \n]\S)\s+\S*)*")
 # Bytes of distinct chunks (with what a chunk costs besides) after which a worker forgets those it has aligned.
-MOST_CHUNK_BYTES, CHUNK_COST = 1 << 26, 200
+MOST_CHUNK_BYTES, CHUNK_COST = 96 << 20, 250
 # Pairs of ids that travel to the tasks at a time.
 PART_PAIRS = 1 << 22
-# Bytes of texts handled at a time, and distinct pairs a task holds.
-SLICE_BYTES, MOST_PAIRS = 2 << 20, 1 << 20
+# Bytes of texts of a shard, and distinct pairs a task holds.
+SHARD_BYTES, MOST_PAIRS = 4 << 20, 1 << 20
+# Chunks that are encoded as one text.
+BLOCK_CHUNKS = 256
 
 SPACE = "▁"
-EMPTY = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+FIGURES = ("n_a", "n_b", "n_groups", "n_links")
+ADDED = (*FIGURES, "n_best", "count_sum", "groups")
+
+
+def _flat(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length and begin of each entry, and all their bytes."""
+    lengths = np.array([len(x) for x in entries])
+    return lengths, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(entries), np.uint8)
 
 
 class Aligner:
@@ -72,34 +83,40 @@ class Aligner:
             piece = self.b.id_to_piece(k)
             if SPACE in piece.lstrip(SPACE) or "\n" in piece:
                 raise ValueError("pieces that reach over white space cannot be aligned chunk by chunk")
-        self.length_a = np.array([len(x) for x in self.bytes_a])
-        self.length_b = np.array([len(x) for x in self.bytes_b])
+        self.length_a, self.start_a, self.content_a = _flat(self.bytes_a)
+        self.length_b, self.start_b, self.content_b = _flat(self.bytes_b)
+        self.names = [str(k) for k in range(max(size, self.n_b))]
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids and byte ends (in all texts) of the tokens of both tokenizers, byte bounds of the texts, and which are whole.
 
-    def tokens(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
-        """Ids, byte ends (in all chunks) and chunk bounds of both tokenizers, and which chunks are whole."""
-        contents = [c.encode() for c in chunks]
+        Texts begin with a space or a line end. Those that are not whole have no tokens.
+        """
+        contents = [t.encode() for t in texts]
         content = np.frombuffer(b"".join(contents), np.uint8)
         bounds = np.r_[0, np.cumsum([len(c) for c in contents])].astype(np.int64)
-        encoded = self.a.encode_batch(chunks, add_special_tokens=False)
+        encoded = [self.a.encode(t, add_special_tokens=False) for t in texts]
         count_a = np.array([len(e) for e in encoded])
-        id_a = np.fromiter(itertools.chain.from_iterable(e.ids for e in encoded), np.int64, count_a.sum())
-        spans = np.array([s for e in encoded for s in e.offsets], np.int64).reshape(-1, 2)
+        flat = itertools.chain.from_iterable
+        id_a = np.fromiter(flat(e.ids for e in encoded), np.int64, count_a.sum())
+        spans = np.fromiter(flat(flat(e.offsets for e in encoded)), np.int64, 2 * len(id_a)).reshape(-1, 2)
         end_a, whole_a = self._ends_a(id_a, spans, count_a, content, bounds)
 
-        # The library puts a space mark in front. It stands for the space a chunk begins with; in front of a
+        # The library puts a space mark in front. It stands for the space a text begins with; in front of a
         # line end it is a token of its own, which the text has not.
-        texts = [c[1:] if c[0] == " " else c for c in chunks]
-        protos = self.b.encode(texts, return_type="proto", num_threads=1)
+        protos = self.b.encode([t[1:] if t[0] == " " else t for t in texts], return_type="proto", num_threads=1)
         count_b = np.array([len(p.pieces) for p in protos])
-        fields = np.array([(x.id, x.end) for p in protos for x in p.pieces], np.int64).reshape(-1, 2)
-        marked = np.array([c[0] == " " for c in chunks])
+        fields = np.fromiter(flat((x.id, x.end) for p in protos for x in p.pieces), np.int64, 2 * count_b.sum()).reshape(-1, 2)
+        marked = np.array([t[0] == " " for t in texts], bool)
         first = np.cumsum(count_b) - count_b
         alone = np.zeros(len(fields), bool)
         alone[first[(count_b > 0) & ~marked]] = True
         id_b, reported = fields[~alone, 0], fields[~alone, 1]
         count_b = count_b - ((count_b > 0) & ~marked)
         end_b, whole_b = self._ends_b(id_b, reported + np.repeat(marked, count_b), count_b, content, bounds)
-        return id_a, end_a, count_a, id_b, end_b, count_b, bounds, whole_a & whole_b
+        whole = whole_a & whole_b
+        keep_a, keep_b = np.repeat(whole, count_a), np.repeat(whole, count_b)
+        return id_a[keep_a], end_a[keep_a], id_b[keep_b], end_b[keep_b], bounds, whole
 
     def _ends_a(self, ids, spans, counts, content, bounds):
         """Byte ends from character offsets; tokens that share a character end where their decoded bytes do."""
@@ -112,13 +129,15 @@ class Aligner:
         shared = np.zeros(len(ids), bool)
         shared[:-1] = ~last[:-1] & (spans[1:, 0] < spans[:-1, 1])
         ends = np.where(shared, decoded, coarse)
-        return ends, self._whole(ends, decoded, counts, content, bounds, [self.bytes_a[k] for k in ids])
+        joined = self.content_a[ragged(self.start_a[ids], self.length_a[ids])]
+        return ends, self._whole(ends, decoded, counts, content, bounds, joined, self.length_a[ids])
 
     def _ends_b(self, ids, reported, counts, content, bounds):
         """Byte ends from reported spans; pieces of single bytes end where their decoded bytes do."""
         decoded = self._decoded_ends(self.length_b[ids], counts, bounds)
         ends = np.where(self.is_byte[ids], decoded, reported + np.repeat(bounds[:-1], counts))
-        return ends, self._whole(ends, decoded, counts, content, bounds, [self.bytes_b[k] for k in ids])
+        joined = self.content_b[ragged(self.start_b[ids], self.length_b[ids])]
+        return ends, self._whole(ends, decoded, counts, content, bounds, joined, self.length_b[ids])
 
     @staticmethod
     def _decoded_ends(lengths, counts, bounds):
@@ -127,12 +146,11 @@ class Aligner:
         return total + np.repeat(bounds[:-1] - begin, counts)
 
     @staticmethod
-    def _whole(ends, decoded, counts, content, bounds, parts):
-        """Chunks whose tokens' bytes are the chunk's bytes and end where their spans say."""
+    def _whole(ends, decoded, counts, content, bounds, joined, token_lengths):
+        """Texts whose tokens' bytes (``joined``) are the text's bytes and end where their spans say."""
         sizes = np.diff(bounds)
         tokens = np.r_[0, np.cumsum(counts)]
-        joined = np.frombuffer(b"".join(parts), np.uint8)
-        lengths = np.r_[0, np.cumsum([len(p) for p in parts])][tokens]
+        lengths = np.r_[0, np.cumsum(token_lengths)][tokens]
         right = np.diff(lengths) == sizes
         wrong = np.r_[0, np.cumsum(ends != decoded)]
         right &= wrong[tokens[1:]] == wrong[tokens[:-1]]
@@ -144,173 +162,246 @@ class Aligner:
         return right
 
 
+def _blocks(chunks: list[str]) -> list[list[str]]:
+    """Chunks that may stand one behind the other in a text, some in a block; others are blocks of their own."""
+    alone = [c for c in chunks if c[-1].isspace() or c[1:2].isspace()]
+    loose = set(alone)
+    joined = [c for c in chunks if c not in loose]
+    return [[c] for c in alone] + [joined[k : k + BLOCK_CHUNKS] for k in range(0, len(joined), BLOCK_CHUNKS)]
+
+
 class Chunks:
     """Distinct chunks a worker has aligned, as flat arrays by chunk number."""
 
-    def __init__(self, aligner: Aligner, grouped: bool, pairs: tuple | None):
-        self.aligner, self.grouped, self.pairs = aligner, grouped, pairs
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.bytes = 0
         self.whole = np.zeros(0, bool)
-        self.figures = np.zeros((0, len(EMPTY)), np.int64)
+        self.figures = np.zeros((0, 4), np.int32)
         self.groups: list[str] = []
-        self.sizes = np.zeros(0, np.int64)
         self.links = np.zeros(0, np.int64)
         self.link_bounds = np.zeros(1, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        id_a, end_a, count_a, id_b, end_b, count_b, bounds, whole = self.aligner.tokens(new)
-        for name, size in zip(new, np.diff(bounds).tolist()):
+        blocks = _blocks(new)
+        *_, whole = found = self.aligner.tokens(["".join(b) for b in blocks])
+        # A block with a chunk that its tokens do not give again is taken apart.
+        rest = [[c] for b, w in zip(blocks, whole) if not w for c in b]
+        self._keep([b if w else [] for b, w in zip(blocks, whole)], *found[:4], found[4], np.ones(len(blocks), bool))
+        if rest:
+            found = self.aligner.tokens([b[0] for b in rest])
+            self._keep(rest, *found)
+
+    def _keep(self, blocks, id_a, end_a, id_b, end_b, block_bounds, whole) -> None:
+        """Note the chunks of ``blocks`` (an empty one has no tokens) with the tokens found in them."""
+        names = list(itertools.chain.from_iterable(blocks))
+        if not names:
+            return
+        sizes = np.array([len(c.encode()) for c in names], np.int64)
+        counts = np.array([len(b) for b in blocks])
+        run = np.cumsum(sizes) - sizes
+        first = np.cumsum(counts) - counts
+        base = block_bounds[:-1][counts > 0] - run[first[counts > 0]]
+        begin = run + np.repeat(base, counts[counts > 0])
+        end = begin + sizes
+        for name in names:
             self.index[name] = len(self.index)
-            self.bytes += size + CHUNK_COST
-        keep_a, keep_b = np.repeat(whole, count_a), np.repeat(whole, count_b)
-        id_a, end_a, id_b, end_b = id_a[keep_a], end_a[keep_a], id_b[keep_b], end_b[keep_b]
+        self.bytes += int(sizes.sum()) + CHUNK_COST * len(names)
         # Where a token of either ends, one token of each has covered the bytes since the end before.
-        ends = np.union1d(end_a, end_b)
-        place_a, place_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        links = id_a[place_a] * self.aligner.n_b + id_b[place_b]
+        ends = _merged(end_a, end_b)
+        links = id_a[np.searchsorted(end_a, ends)] * self.aligner.n_b + id_b[np.searchsorted(end_b, ends)]
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
 
         def per_chunk(at: np.ndarray) -> np.ndarray:
-            return np.diff(np.searchsorted(at, bounds, "right"))
+            return np.searchsorted(at, end, "right") - np.searchsorted(at, begin, "right")
 
         of_links = per_chunk(ends)
-        figures = np.zeros((len(new), len(EMPTY)), np.int64)
-        figures[:, :4] = np.stack([per_chunk(end_a), per_chunk(end_b), per_chunk(cuts), of_links], 1)
-        if self.pairs is not None:
-            known, counts, best = self.pairs
-            if len(known) and len(links):
-                at = np.minimum(np.searchsorted(known, links), len(known) - 1)
-                hit = known[at] == links
-                run = np.r_[0, np.cumsum(of_links)]
-                for column, values in ((4, best[at] & hit), (5, np.where(hit, counts[at], 0))):
-                    figures[:, column] = np.diff(np.r_[0, np.cumsum(values.astype(np.int64))][run])
-        self.whole = np.concatenate([self.whole, whole])
-        self.sizes = np.concatenate([self.sizes, np.diff(bounds)])
-        self.figures = np.concatenate([self.figures, figures])
-        if self.pairs is None:
-            self.links = np.concatenate([self.links, links])
-            self.link_bounds = np.concatenate([self.link_bounds, self.link_bounds[-1] + np.cumsum(of_links)])
-        if self.grouped:
-            self._write_groups(id_a, end_a, id_b, end_b, cuts, bounds)
-
-    def _write_groups(self, id_a, end_a, id_b, end_b, cuts, bounds) -> None:
-        names_a, names_b = id_a.astype(str).tolist(), id_b.astype(str).tolist()
-        till_a = (np.searchsorted(end_a, cuts, "right")).tolist()
-        till_b = (np.searchsorted(end_b, cuts, "right")).tolist()
+        figures = np.stack([per_chunk(end_a), per_chunk(end_b), per_chunk(cuts), of_links], 1)
+        self.whole = np.concatenate([self.whole, whole[np.repeat(np.arange(len(blocks)), counts)]])
+        self.figures = np.concatenate([self.figures, figures.astype(np.int32)])
+        self.links = np.concatenate([self.links, links])
+        self.link_bounds = np.concatenate([self.link_bounds, self.link_bounds[-1] + np.cumsum(of_links)])
+        names_a, names_b = (list(map(self.aligner.names.__getitem__, ids.tolist())) for ids in (id_a, id_b))
         texts, i, j = [], 0, 0
-        for p, q in zip(till_a, till_b):
-            texts.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
+        for p, q in zip(np.searchsorted(end_a, cuts, "right").tolist(), np.searchsorted(end_b, cuts, "right").tolist()):
+            if p - i == 1 and q - j == 1:
+                texts.append(f"{names_a[i]}|{names_b[j]}")
+            else:
+                texts.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
             i, j = p, q
-        stops = np.searchsorted(cuts, bounds, "right").tolist()
+        stops = [0, *np.searchsorted(cuts, end, "right").tolist()]
         self.groups += [";".join(texts[a:b]) for a, b in itertools.pairwise(stops)]
 
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, bool]:
+    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts and each text's number of chunks."""
         if self.bytes > MOST_CHUNK_BYTES:
             self.reset()
         parts = [CHUNK.findall(" " + t) if t else [] for t in texts]
         counts = np.array([len(p) for p in parts], np.int64)
         flat = list(itertools.chain.from_iterable(parts))
-        new = list(dict.fromkeys(c for c in flat if c not in self.index))
+        new = list(set(flat).difference(self.index))
         if new:
             self.learn(new)
-        look = self.index.__getitem__
-        return np.fromiter(map(look, flat), np.int64, len(flat)), counts
+        return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), counts
+
+
+def _merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distinct values of two sorted arrays, sorted."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
 
 
 _aligner = lru_cache(maxsize=1)(Aligner)
 
 
 @lru_cache(maxsize=1)
-def _chunks(key: str, files: Broadcast, grouped: bool, pairs: Broadcast | None) -> Chunks:
-    """The worker's chunks of the pass with this key, kept from task to task."""
-    return Chunks(_aligner(*files.value), grouped, pairs.value if pairs else None)
+def _chunks(key: str, files: Broadcast) -> Chunks:
+    """The worker's chunks of the run with this key, kept from task to task."""
+    return Chunks(_aligner(*files.value))
 
 
-def _valid(codes: np.ndarray, counts: np.ndarray, chunks: Chunks) -> np.ndarray:
-    """Texts that have tokens: not empty, and every chunk whole."""
-    broken = np.r_[0, np.cumsum(~chunks.whole[codes])]
-    ends = np.cumsum(counts)
-    return (counts > 0) & (broken[ends] == broken[ends - counts])
+def _binary(values: np.ndarray) -> pa.Array:
+    return pa.array([values.tobytes()], pa.binary())
 
 
-def _counter(key: str, files: Broadcast):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks(key, files, False, None)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+_SHARD = "counts binary, codes binary, times binary, link_bounds binary, links binary, groups array<string>, best binary, sums binary"
 
-        def flush() -> pa.RecordBatch:
-            pair, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            kept, place = np.unique(pair, return_inverse=True)
-            return pa.record_batch([kept, np.bincount(place, n, len(kept)).astype(np.int64)], ["pair", "n"])
 
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in slices(texts, SLICE_BYTES):
-                codes, counts = chunks.codes(texts[a:b].to_pylist())
-                used = codes[np.repeat(_valid(codes, counts, chunks), counts)]
-                numbers, times = np.unique(used, return_counts=True)
-                lengths = np.diff(chunks.link_bounds)[numbers]
-                if not lengths.sum():
-                    continue
-                pair = chunks.links[ragged(chunks.link_bounds[numbers], lengths)]
-                kept, place = np.unique(pair, return_inverse=True)
-                held.append((kept, np.bincount(place, np.repeat(times, lengths), len(kept)).astype(np.int64)))
-                size += len(kept)
-                if size > MOST_PAIRS:
-                    merged = flush()
-                    held = [(merged.column("pair").to_numpy(), merged.column("n").to_numpy())]
-                    size = len(held[0][0])
-                    if size > MOST_PAIRS // 2:
-                        yield merged
-                        held, size = [], 0
-        if held:
-            yield flush()
-
-    return count
-
-
-def _reader(key: str, files: Broadcast, pairs: Broadcast, last: bool, columns: list[str]):
+def _aligned(key: str, files: Broadcast, kept: list[str]):
+    """A row for each shard: its documents with their numbers of tokens, groups and links, their chunks, and each distinct chunk's links."""
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks(key, files, last, pairs)
+        chunks = _chunks(key, files)
         for batch in batches:
-            for a, b in slices(batch.column("text"), SLICE_BYTES):
+            for a, b in slices(batch.column("text"), SHARD_BYTES):
                 part = batch.slice(a, b - a)
                 codes, counts = chunks.codes(part.column("text").to_pylist())
-                valid = _valid(codes, counts, chunks)
+                used, codes = np.unique(codes, return_inverse=True)
                 run = np.r_[0, np.cumsum(counts)]
-                sums = np.diff(np.r_[np.zeros((1, len(EMPTY)), np.int64), np.cumsum(chunks.figures[codes], 0)][run], axis=0)
-                sums[~valid] = 0
-                sums[:, 4] += part.column("n_best").to_numpy()
-                sums[:, 5] += part.column("count_sum").to_numpy()
-                out = {n: part.column(n) for n in part.schema.names}
-                out |= {n: pa.array(sums[:, k]) for k, n in enumerate(EMPTY)}
-                if last:
-                    look, listed = chunks.groups.__getitem__, codes.tolist()
-                    texts = [";".join(map(look, listed[p:q])) if v else "" for p, q, v in zip(run[:-1].tolist(), run[1:].tolist(), valid.tolist())]
-                    out["groups"] = pa.array(texts, pa.string())
-                yield pa.record_batch([out[c] for c in columns], columns)
+                broken = np.r_[0, np.cumsum(~chunks.whole[used[codes]])][run]
+                valid = (counts > 0) & (broken[1:] == broken[:-1])
+                codes, counts = codes[np.repeat(valid, counts)], np.where(valid, counts, 0)
+                run = np.r_[0, np.cumsum(counts)]
+                total = np.zeros((len(codes) + 1, 4), np.int64)
+                np.cumsum(chunks.figures[used[codes]], 0, np.int64, total[1:])
+                sums = np.diff(total[run], axis=0)
+                columns = [part.column(c) for c in kept] + [pa.array(sums[:, k]) for k in range(4)]
+                docs = pa.StructArray.from_arrays(columns, [*kept, *FIGURES])
+                lengths = np.diff(chunks.link_bounds)[used]
+                links = chunks.links[ragged(chunks.link_bounds[used], lengths)]
+                groups = list(map(chunks.groups.__getitem__, used.tolist()))
+                nothing = np.zeros(len(docs), np.int64)
+                yield pa.record_batch(
+                    [
+                        pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
+                        _binary(counts.astype(np.int32)),
+                        _binary(codes.astype(np.int32)),
+                        _binary(np.bincount(codes, minlength=len(used)).astype(np.int32)),
+                        _binary(np.r_[0, np.cumsum(lengths)].astype(np.int32)),
+                        _binary(links.astype(np.uint32)),
+                        pa.array([groups], pa.list_(pa.string())),
+                        _binary(nothing),
+                        _binary(nothing),
+                    ],
+                    ["docs", *(c.split()[0] for c in _SHARD.split(", "))],
+                )
 
     return align
 
 
-def pair_counts(docs: DataFrame, word_json: str, piece_model: str, text_col: str = "text") -> DataFrame:
-    """How often two ids are linked in all documents: a, b, n, and best (no other a is linked to b more often)."""
+def _numbers(batch: pa.RecordBatch, row: int, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_buffer(), kind)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the documents of each shard by pair, added up for about MOST_PAIRS pairs at a time."""
+    held = [np.zeros(0, np.int64)] * 2
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(h) for h in held], ["pair", "n"])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lengths = np.diff(_numbers(batch, row, "link_bounds", np.int32))
+            times = np.repeat(_numbers(batch, row, "times", np.int32), lengths)
+            pair = np.concatenate([held[0], _numbers(batch, row, "links", np.uint32).astype(np.int64)])
+            kept, place = np.unique(pair, return_inverse=True)
+            held = [kept, np.bincount(place, np.concatenate([held[1], times]), len(kept)).astype(np.int64)]
+            if len(kept) > MOST_PAIRS:
+                yield out()
+                held = [np.zeros(0, np.int64)] * 2
+    if len(held[0]):
+        yield out()
+
+
+def _reader(pairs: Broadcast, last: bool):
+    """Add what a part of the counted pairs says to each document; the last time, a row for each document."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, best = pairs.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                links = _numbers(batch, row, "links", np.uint32).astype(np.int64)
+                bounds = _numbers(batch, row, "link_bounds", np.int32)
+                codes = _numbers(batch, row, "codes", np.int32)
+                run = np.r_[0, np.cumsum(_numbers(batch, row, "counts", np.int32))]
+                sums = {c: _numbers(batch, row, c, np.int64) for c in ("best", "sums")}
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, links), len(known) - 1)
+                    hit = known[at] == links
+                    for name, values in (("best", best[at] & hit), ("sums", np.where(hit, counts[at], 0))):
+                        of_chunk = np.diff(np.r_[0, np.cumsum(values, dtype=np.int64)][bounds])
+                        sums[name] = sums[name] + np.diff(np.r_[0, np.cumsum(of_chunk[codes])][run])
+                if not last:
+                    part = {c: batch.column(c).slice(row, 1) for c in batch.schema.names}
+                    part |= {c: _binary(v) for c, v in sums.items()}
+                    yield pa.record_batch(list(part.values()), list(part))
+                    continue
+                docs = batch.column("docs").slice(row, 1).flatten()
+                groups = batch.column("groups")[row].as_py()
+                names = list(map(groups.__getitem__, codes.tolist()))
+                texts = [";".join(names[p:q]) for p, q in itertools.pairwise(run.tolist())]
+                columns = dict(zip([f.name for f in docs.type], docs.flatten()))
+                columns |= {"n_best": pa.array(sums["best"]), "count_sum": pa.array(sums["sums"]), "groups": pa.array(texts, pa.string())}
+                yield pa.record_batch(list(columns.values()), list(columns))
+
+    return read
+
+
+def _shards(workspace: Workspace, docs: DataFrame, word_json: str, piece_model: str, text_col: str, keep_text: bool) -> tuple[DataFrame, dict[str, str], int]:
+    """The written shards, the name of each column of ``docs`` in them, and the number of pieces."""
     spark = docs.sparkSession
-    workspace = Workspace(spark, "pairs")
-    files = spark.sparkContext.broadcast((Path(word_json).read_bytes(), Path(piece_model).read_bytes()))
-    size_b = sentencepiece.SentencePieceProcessor(model_proto=files.value[1]).get_piece_size()
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    pairs = texts.mapInArrow(_counter(uuid.uuid4().hex, files), "pair long, n long")
-    pairs = workspace.write(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    pairs = pairs.select(F.expr(f"pair div {size_b}").alias("a"), F.expr(f"pair % {size_b}").alias("b"), "n")
+    content = Path(word_json).read_bytes(), Path(piece_model).read_bytes()
+    aligner = Aligner(*content)
+    if len(aligner.bytes_a) * aligner.n_b >= 1 << 32:
+        raise ValueError("pairs of ids must fit 32 bits")
+    _, names = plain_names(docs, (*ADDED, text_col))
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    if keep_text:
+        names[text_col] = "text"
+    kept = texts.select(*[c for c in texts.columns if c in names.values()])
+    inside = kept.select("*", *[F.lit(0).cast("long").alias(c) for c in FIGURES]).schema
+    schema = T.StructType([T.StructField("docs", T.ArrayType(inside)), *T.StructType.fromDDL(_SHARD)])
+    aligned = _aligned(uuid.uuid4().hex, spark.sparkContext.broadcast(content), kept.columns)
+    return workspace.write(texts.mapInArrow(aligned, schema), "shards"), names, aligner.n_b
+
+
+def _pairs(workspace: Workspace, shards: DataFrame, n_b: int) -> DataFrame:
+    pairs = shards.select("times", "link_bounds", "links").mapInArrow(_count_pairs, "pair long, n long")
+    pairs = workspace.write(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "pairs").withColumn("b", F.expr(f"pair % {n_b}"))
     most = pairs.groupBy("b").agg(F.max("n").alias("most"))
-    return pairs.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
+    return pairs.join(most, "b").select("pair", F.expr(f"pair div {n_b}").alias("a"), "b", "n", (F.col("n") == F.col("most")).alias("best"))
+
+
+def pair_counts(docs: DataFrame, word_json: str, piece_model: str, text_col: str = "text") -> DataFrame:
+    """How often two ids are linked in all documents: a, b, n, and best (no other a is linked to b more often)."""
+    workspace = Workspace(docs.sparkSession, "pairs")
+    shards, _, n_b = _shards(workspace, docs, word_json, piece_model, text_col, False)
+    return _pairs(workspace, shards, n_b).drop("pair")
 
 
 def align_tokens(
@@ -335,26 +426,17 @@ def align_tokens(
     """
     spark = docs.sparkSession
     workspace = Workspace(spark, "aligned")
-    files = spark.sparkContext.broadcast((Path(word_json).read_bytes(), Path(piece_model).read_bytes()))
-    size_b = sentencepiece.SentencePieceProcessor(model_proto=files.value[1]).get_piece_size()
-    pairs = pair_counts(docs, word_json, piece_model, text_col)
-    pairs = workspace.write(pairs.select((F.col("a") * size_b + F.col("b")).alias("pair"), "n", "best"), "counts")
+    shards, names, n_b = _shards(workspace, docs, word_json, piece_model, text_col, keep_text)
+    pairs = workspace.write(_pairs(workspace, shards, n_b).select("pair", "n", "best"), "counts")
     parts = max(1, -(-pairs.count() // part_pairs))
-    _, names = plain_names(docs, (*EMPTY, "groups", text_col))
-    out = docs.select(
-        F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
-        *[F.lit(0).cast("long").alias(n) for n in EMPTY], F.lit("").alias("groups"),
-    )
     for part in range(parts):
         rows = pairs.where(F.pmod(F.xxhash64("pair"), F.lit(parts)) == part).toArrow().sort_by("pair")
-        content = tuple(rows.column(c).to_numpy() for c in ("pair", "n", "best"))
-        last = part + 1 == parts
-        schema = out.schema if keep_text or not last else out.drop("text").schema
-        reader = _reader(uuid.uuid4().hex, files, spark.sparkContext.broadcast(content), last, schema.names)
-        before, out = out, out.mapInArrow(reader, schema)
-        if not last:
-            out = workspace.write(out, "part")
+        content = spark.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("pair", "n", "best")))
+        if part + 1 < parts:
+            before, shards = shards, workspace.write(shards.mapInArrow(_reader(content, False), shards.schema), "shards")
             workspace.drop(before)
-    shown = {**names, text_col: "text"} if keep_text else names
-    order = [c for c in docs.columns if c in shown]
-    return out.select(*[F.col(shown[c]).alias(c) for c in order], *EMPTY, "groups")
+    inside = shards.schema["docs"].dataType.elementType
+    schema = T.StructType([*inside, *T.StructType.fromDDL("n_best long, count_sum long, groups string")])
+    out = shards.mapInArrow(_reader(content, True), schema)
+    order = [c for c in docs.columns if c in names]
+    return out.select(*[F.col(names[c]).alias(c) for c in order], *ADDED)
