@@ -42,11 +42,11 @@ from .words import slices
 # or line end between two other characters.
 CHUNK = re.compile(r"[\s\S]\s*\S*(?:(?![ \n]\S)\s+\S*)*")
 # Bytes of distinct chunks (with what a chunk costs besides) after which a worker forgets those it has aligned.
-MOST_CHUNK_BYTES, CHUNK_COST = 96 << 20, 250
+MOST_CHUNK_BYTES, CHUNK_COST = 64 << 20, 250
 # Pairs of ids that travel to the tasks at a time.
 PART_PAIRS = 1 << 22
 # Bytes of texts of a shard, and distinct pairs a task holds.
-SHARD_BYTES, MOST_PAIRS = 4 << 20, 1 << 20
+SHARD_BYTES, MOST_PAIRS = 2 << 20, 1 << 20
 # Chunks that are encoded as one text.
 BLOCK_CHUNKS = 256
 
@@ -319,6 +319,7 @@ def _numbers(batch: pa.RecordBatch, row: int, column: str, kind: type) -> np.nda
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the documents of each shard by pair, added up for about MOST_PAIRS pairs at a time."""
+    _chunks.cache_clear()
     held = [np.zeros(0, np.int64)] * 2
 
     def out() -> pa.RecordBatch:
@@ -342,6 +343,7 @@ def _reader(pairs: Broadcast, last: bool):
     """Add what a part of the counted pairs says to each document; the last time, a row for each document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _chunks.cache_clear()
         known, counts, best = pairs.value
         for batch in batches:
             for row in range(batch.num_rows):
