@@ -42,13 +42,13 @@ from .words import slices
 # or line end between two other characters.
 CHUNK = re.compile(r"[\s\S]\s*\S*(?:(?![ \n]\S)\s+\S*)*")
 # Bytes of distinct chunks (with what a chunk costs besides) after which a worker forgets those it has aligned.
-MOST_CHUNK_BYTES, CHUNK_COST = 64 << 20, 250
+MOST_CHUNK_BYTES, CHUNK_COST = 32 << 20, 250
 # Pairs of ids that travel to the tasks at a time.
 PART_PAIRS = 1 << 22
 # Bytes of texts of a shard, and distinct pairs a task holds.
-SHARD_BYTES, MOST_PAIRS = 2 << 20, 1 << 20
-# Chunks that are encoded as one text.
-BLOCK_CHUNKS = 256
+SHARD_BYTES, MOST_PAIRS = 1 << 20, 1 << 18
+# Chunks that are encoded as one text, and at a time.
+BLOCK_CHUNKS, LEARN_CHUNKS = 256, 1 << 13
 
 SPACE = "▁"
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
@@ -244,8 +244,8 @@ class Chunks:
         counts = np.array([len(p) for p in parts], np.int64)
         flat = list(itertools.chain.from_iterable(parts))
         new = list(set(flat).difference(self.index))
-        if new:
-            self.learn(new)
+        for k in range(0, len(new), LEARN_CHUNKS):
+            self.learn(new[k : k + LEARN_CHUNKS])
         return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), counts
 
 
