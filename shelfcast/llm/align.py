@@ -9,7 +9,7 @@ of a byte fallback - the lengths of the decoded tokens refine them. The bytes of
 all tokens of a text must give the text again; else it has no tokens.
 
 A shard is a bounded number of documents of a task. It is written once, as its
-documents' chunk numbers and the links and groups of its distinct chunks; from these
+documents' chunk numbers and the links of its distinct chunks; from these
 tables come the counts of all linked ids and then, with the counts, the documents' figures.
 The counted pairs go to the tasks in parts of four million, with one pass over the
 shards for each; corpora of most kinds need one.
@@ -42,11 +42,11 @@ from .words import slices
 # or line end between two other characters.
 CHUNK = re.compile(r"[\s\S]\s*\S*(?:(?![ \n]\S)\s+\S*)*")
 # Bytes of distinct chunks (with what a chunk costs besides) after which a worker forgets those it has aligned.
-MOST_CHUNK_BYTES, CHUNK_COST = 32 << 20, 250
+MOST_CHUNK_BYTES, CHUNK_COST = 64 << 20, 200
 # Pairs of ids that travel to the tasks at a time.
 PART_PAIRS = 1 << 22
 # Bytes of texts of a shard, and distinct pairs a task holds.
-SHARD_BYTES, MOST_PAIRS = 1 << 20, 1 << 18
+SHARD_BYTES, MOST_PAIRS = 2 << 20, 1 << 18
 # Chunks that are encoded as one text, and at a time.
 BLOCK_CHUNKS, LEARN_CHUNKS = 256, 1 << 13
 
@@ -85,7 +85,6 @@ class Aligner:
                 raise ValueError("pieces that reach over white space cannot be aligned chunk by chunk")
         self.length_a, self.start_a, self.content_a = _flat(self.bytes_a)
         self.length_b, self.start_b, self.content_b = _flat(self.bytes_b)
-        self.names = [str(k) for k in range(max(size, self.n_b))]
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """Ids and byte ends (in all texts) of the tokens of both tokenizers, byte bounds of the texts, and which are whole.
@@ -182,8 +181,8 @@ class Chunks:
         self.bytes = 0
         self.whole = np.zeros(0, bool)
         self.figures = np.zeros((0, 4), np.int32)
-        self.groups: list[str] = []
-        self.links = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.uint32)
+        self.ends = np.zeros(0, np.uint8)
         self.link_bounds = np.zeros(1, np.int64)
 
     def learn(self, new: list[str]) -> None:
@@ -213,8 +212,11 @@ class Chunks:
         self.bytes += int(sizes.sum()) + CHUNK_COST * len(names)
         # Where a token of either ends, one token of each has covered the bytes since the end before.
         ends = _merged(end_a, end_b)
-        links = id_a[np.searchsorted(end_a, ends)] * self.aligner.n_b + id_b[np.searchsorted(end_b, ends)]
-        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        place_a, place_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        links = id_a[place_a] * self.aligner.n_b + id_b[place_b]
+        # Which of both tokens of a link end with it: 1, 2 or 3 for both.
+        which = (end_a[place_a] == ends) | (end_b[place_b] == ends).astype(np.uint8) << 1
+        cuts = ends[which == 3]
 
         def per_chunk(at: np.ndarray) -> np.ndarray:
             return np.searchsorted(at, end, "right") - np.searchsorted(at, begin, "right")
@@ -223,18 +225,9 @@ class Chunks:
         figures = np.stack([per_chunk(end_a), per_chunk(end_b), per_chunk(cuts), of_links], 1)
         self.whole = np.concatenate([self.whole, whole[np.repeat(np.arange(len(blocks)), counts)]])
         self.figures = np.concatenate([self.figures, figures.astype(np.int32)])
-        self.links = np.concatenate([self.links, links])
+        self.links = np.concatenate([self.links, links.astype(np.uint32)])
+        self.ends = np.concatenate([self.ends, which.astype(np.uint8)])
         self.link_bounds = np.concatenate([self.link_bounds, self.link_bounds[-1] + np.cumsum(of_links)])
-        names_a, names_b = (list(map(self.aligner.names.__getitem__, ids.tolist())) for ids in (id_a, id_b))
-        texts, i, j = [], 0, 0
-        for p, q in zip(np.searchsorted(end_a, cuts, "right").tolist(), np.searchsorted(end_b, cuts, "right").tolist()):
-            if p - i == 1 and q - j == 1:
-                texts.append(f"{names_a[i]}|{names_b[j]}")
-            else:
-                texts.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
-            i, j = p, q
-        stops = [0, *np.searchsorted(cuts, end, "right").tolist()]
-        self.groups += [";".join(texts[a:b]) for a, b in itertools.pairwise(stops)]
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts and each text's number of chunks."""
@@ -268,7 +261,7 @@ def _binary(values: np.ndarray) -> pa.Array:
     return pa.array([values.tobytes()], pa.binary())
 
 
-_SHARD = "counts binary, codes binary, times binary, link_bounds binary, links binary, groups array<string>, best binary, sums binary"
+_SHARD = "counts binary, codes binary, lengths binary, links binary, ends binary, best binary, sums binary"
 
 
 def _aligned(key: str, files: Broadcast, kept: list[str]):
@@ -292,18 +285,16 @@ def _aligned(key: str, files: Broadcast, kept: list[str]):
                 columns = [part.column(c) for c in kept] + [pa.array(sums[:, k]) for k in range(4)]
                 docs = pa.StructArray.from_arrays(columns, [*kept, *FIGURES])
                 lengths = np.diff(chunks.link_bounds)[used]
-                links = chunks.links[ragged(chunks.link_bounds[used], lengths)]
-                groups = list(map(chunks.groups.__getitem__, used.tolist()))
+                places = ragged(chunks.link_bounds[used], lengths)
                 nothing = np.zeros(len(docs), np.int64)
                 yield pa.record_batch(
                     [
                         pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
                         _binary(counts.astype(np.int32)),
                         _binary(codes.astype(np.int32)),
-                        _binary(np.bincount(codes, minlength=len(used)).astype(np.int32)),
-                        _binary(np.r_[0, np.cumsum(lengths)].astype(np.int32)),
-                        _binary(links.astype(np.uint32)),
-                        pa.array([groups], pa.list_(pa.string())),
+                        _binary(lengths.astype(np.int32)),
+                        _binary(chunks.links[places]),
+                        _binary(chunks.ends[places]),
                         _binary(nothing),
                         _binary(nothing),
                     ],
@@ -327,8 +318,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in range(batch.num_rows):
-            lengths = np.diff(_numbers(batch, row, "link_bounds", np.int32))
-            times = np.repeat(_numbers(batch, row, "times", np.int32), lengths)
+            lengths = _numbers(batch, row, "lengths", np.int32)
+            times = np.repeat(np.bincount(_numbers(batch, row, "codes", np.int32), minlength=len(lengths)), lengths)
             pair = np.concatenate([held[0], _numbers(batch, row, "links", np.uint32).astype(np.int64)])
             kept, place = np.unique(pair, return_inverse=True)
             held = [kept, np.bincount(place, np.concatenate([held[1], times]), len(kept)).astype(np.int64)]
@@ -339,7 +330,22 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _reader(pairs: Broadcast, last: bool):
+def _group_texts(a: np.ndarray, b: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> list[str]:
+    """The token groups of each distinct chunk, from its links and which tokens end with them."""
+    of_a, of_b = ends & 1 > 0, ends & 2 > 0
+    names_a, names_b = list(map(str, a[of_a].tolist())), list(map(str, b[of_b].tolist()))
+    cuts = np.flatnonzero(ends == 3)
+    texts, i, j = [], 0, 0
+    for p, q in zip(np.cumsum(of_a)[cuts].tolist(), np.cumsum(of_b)[cuts].tolist()):
+        if p - i == 1 and q - j == 1:
+            texts.append(f"{names_a[i]}|{names_b[j]}")
+        else:
+            texts.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
+        i, j = p, q
+    return [";".join(texts[x:y]) for x, y in itertools.pairwise(np.searchsorted(cuts, bounds).tolist())]
+
+
+def _reader(pairs: Broadcast, last: bool, n_b: int):
     """Add what a part of the counted pairs says to each document; the last time, a row for each document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +354,7 @@ def _reader(pairs: Broadcast, last: bool):
         for batch in batches:
             for row in range(batch.num_rows):
                 links = _numbers(batch, row, "links", np.uint32).astype(np.int64)
-                bounds = _numbers(batch, row, "link_bounds", np.int32)
+                bounds = np.r_[0, np.cumsum(_numbers(batch, row, "lengths", np.int32))]
                 codes = _numbers(batch, row, "codes", np.int32)
                 run = np.r_[0, np.cumsum(_numbers(batch, row, "counts", np.int32))]
                 sums = {c: _numbers(batch, row, c, np.int64) for c in ("best", "sums")}
@@ -364,7 +370,7 @@ def _reader(pairs: Broadcast, last: bool):
                     yield pa.record_batch(list(part.values()), list(part))
                     continue
                 docs = batch.column("docs").slice(row, 1).flatten()
-                groups = batch.column("groups")[row].as_py()
+                groups = _group_texts(links // n_b, links % n_b, _numbers(batch, row, "ends", np.uint8), bounds)
                 names = list(map(groups.__getitem__, codes.tolist()))
                 texts = [";".join(names[p:q]) for p, q in itertools.pairwise(run.tolist())]
                 columns = dict(zip([f.name for f in docs.type], docs.flatten()))
@@ -393,7 +399,7 @@ def _shards(workspace: Workspace, docs: DataFrame, word_json: str, piece_model:
 
 
 def _pairs(workspace: Workspace, shards: DataFrame, n_b: int) -> DataFrame:
-    pairs = shards.select("times", "link_bounds", "links").mapInArrow(_count_pairs, "pair long, n long")
+    pairs = shards.select("codes", "lengths", "links").mapInArrow(_count_pairs, "pair long, n long")
     pairs = workspace.write(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "pairs").withColumn("b", F.expr(f"pair % {n_b}"))
     most = pairs.groupBy("b").agg(F.max("n").alias("most"))
     return pairs.join(most, "b").select("pair", F.expr(f"pair div {n_b}").alias("a"), "b", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -435,10 +441,10 @@ def align_tokens(
         rows = pairs.where(F.pmod(F.xxhash64("pair"), F.lit(parts)) == part).toArrow().sort_by("pair")
         content = spark.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("pair", "n", "best")))
         if part + 1 < parts:
-            before, shards = shards, workspace.write(shards.mapInArrow(_reader(content, False), shards.schema), "shards")
+            before, shards = shards, workspace.write(shards.mapInArrow(_reader(content, False, n_b), shards.schema), "shards")
             workspace.drop(before)
     inside = shards.schema["docs"].dataType.elementType
     schema = T.StructType([*inside, *T.StructType.fromDDL("n_best long, count_sum long, groups string")])
-    out = shards.mapInArrow(_reader(content, True), schema)
+    out = shards.mapInArrow(_reader(content, True, n_b), schema)
     order = [c for c in docs.columns if c in names]
     return out.select(*[F.col(names[c]).alias(c) for c in order], *ADDED)
