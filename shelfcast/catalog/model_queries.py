@@ -14,7 +14,7 @@ from ..operators.clean import clean_panel
 from ..operators.features import create_features
 from ..plans.recommend import bulk_recommend, predict_scenarios, scored_history
 from ..plans.training import train_and_report, train_stores
-from ..schema import SERIES
+from ..schema import LABEL, SERIES
 from . import fixtures
 from .fixtures import TARGET_DATE
 from .oracle import with_parts
@@ -62,7 +62,11 @@ def global_model_report(spark, sf_dir):
     )
 
 
-@query("global_model_history", with_parts("panel", f"SELECT date, {S}, CAST(units_sold AS DOUBLE) AS actual, TRUE AS usable FROM panel"))
+@query("global_model_history", with_parts(
+    "panel",
+    f"""SELECT date, {S}, CAST(sum(units_sold) OVER (PARTITION BY {S} ORDER BY date ROWS 6 PRECEDING) AS DOUBLE) AS actual,
+  TRUE AS usable FROM panel""",
+))
 def global_model_history(spark, sf_dir):
     """Every row of the panel has a prediction above the floor of the log target."""
     forecaster, _ = trained(spark, sf_dir)
@@ -131,3 +135,67 @@ def training_rows(spark, sf_dir):
     clean = clean_panel(fixtures.retail_panel(spark, sf_dir))
     rows = models.training_rows(create_features(clean), clean)
     return rows.groupBy("store_id", "split").agg(F.count(F.lit(1)).alias("records"))
+
+
+LABELLED = " UNION ALL ".join(
+    f"SELECT store_id, '{c}' AS kind, {c} AS label, inventory_level, holiday_promotion, month, target FROM kept" for c in models.INDICATORS
+)
+
+
+@query(
+    "store_model_sums",
+    with_parts(
+        "panel",
+        f"""SELECT store_id, kind, label, count(*) AS records, CAST(sum(inventory_level) AS DOUBLE) AS inventory_sum,
+  CAST(sum(holiday_promotion) AS DOUBLE) AS holiday_sum, CAST(sum(month) AS DOUBLE) AS month_sum,
+  CAST(sum(month * inventory_level) AS DOUBLE) AS month_inventory_sum, round(sum(ln(1 + target)), 6) AS label_sum
+FROM (WITH featured AS (
+    SELECT *, month(date) AS month, sum(units_sold) OVER (PARTITION BY {S} ORDER BY date ROWS 6 PRECEDING) AS target FROM {CLEAN}),
+  cut AS (SELECT store_id, quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.8) AS day FROM {CLEAN}
+    GROUP BY store_id HAVING count(*) >= 100),
+  kept AS (SELECT * FROM featured JOIN cut USING (store_id) WHERE date_diff('day', DATE '1970-01-01', date) <= day)
+  {LABELLED}) GROUP BY store_id, kind, label""",
+    ),
+)
+def store_model_sums(spark, sf_dir):
+    """Each label's part of the stores' normal equations: rows, sums of inputs, of a product and of the label."""
+    clean = clean_panel(fixtures.retail_panel(spark, sf_dir))
+    featured = create_features(clean).withColumn("product_id_idx", F.lit(0.0))
+    cells = models.store_cells(models.training_rows(featured, clean).filter("split = 'train'"))
+    at = {name: k for k, name in enumerate((*models.STORE_INPUTS, LABEL))}
+    pairs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
+    both = pairs.index(tuple(sorted((at["inventory_level"], at["month"]))))
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("label")) for c in models.INDICATORS]))
+    rows = cells.select("store_id", "n", "sums", "products", kinds.alias("of")).select("*", "of.*")
+    return rows.groupBy("store_id", "kind", "label").agg(
+        F.sum("n").alias("records"),
+        F.sum(F.col("sums")[at["inventory_level"]]).alias("inventory_sum"),
+        F.sum(F.col("sums")[at["holiday_promotion"]]).alias("holiday_sum"),
+        F.sum(F.col("sums")[at["month"]]).alias("month_sum"),
+        F.sum(F.col("products")[both]).alias("month_inventory_sum"),
+        F.round(F.sum(F.col("sums")[at[LABEL]]), 6).alias("label_sum"),
+    )
+
+
+@query(
+    "store_model_scores",
+    with_parts(
+        "panel",
+        f"""SELECT date, {S}, round(exp(0.5 + 0.001 * price - 0.002 * inventory_level + 0.01 * month(date)
+  + CASE category WHEN 'Core' THEN 0.25 WHEN 'Promo' THEN -0.125 ELSE 0 END + CASE seasonality WHEN 'Winter' THEN k ELSE 0 END) - 1, 6) AS predicted
+FROM panel JOIN (SELECT store_id, count(*) / 10000.0 AS k FROM panel GROUP BY store_id) USING (store_id)""",
+    ),
+)
+def store_model_scores(spark, sf_dir):
+    """Every panel row scored with a table of given coefficients and label weights per store."""
+    panel = fixtures.retail_panel(spark, sf_dir)
+    given = {"price": 0.001, "inventory_level": -0.002, "month": 0.01}
+    weights = F.map_from_arrays(
+        F.array(*map(F.lit, ("category=Core", "category=Promo", "seasonality=Winter"))),
+        F.array(F.lit(0.25), F.lit(-0.125), F.count(F.lit(1)) / 10000.0),
+    )
+    table = panel.groupBy("store_id").agg(
+        F.array(F.lit(0.5), *[F.lit(given.get(name, 0.0)) for name in models.STORE_INPUTS]).alias("coefficients"), weights.alias("labels")
+    )
+    featured = create_features(panel).withColumn("product_id_idx", F.lit(0.0))
+    return models.score_per_store(featured, table).select("date", *SERIES, F.round("predicted", 6).alias("predicted"))

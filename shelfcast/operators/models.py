@@ -7,7 +7,7 @@ downstream takes any of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import unlog
-from ..schema import DATE, LABEL, LAG_COLUMNS, SERIES, model_inputs
+from ..schema import DATE, LABEL, LAG_COLUMNS, SERIES, code_column, model_inputs
 from ..session import ensure_checkpoint_dir, ship_package
 from .clean import MIN_STORE_ROWS
 from .encode import encode
@@ -154,65 +154,67 @@ def score_encoded(df: DataFrame, model: PipelineModel) -> DataFrame:
 
 # -- one linear model per store ---------------------------------------------
 
-GRAM_FLUSH_STORES = 5_000
+# Text columns whose every label has a weight of its own in a store's model.
+INDICATORS = ("category", "region", "seasonality")
+# The other inputs of a store's model, in the order of its coefficients.
+STORE_INPUTS = tuple(
+    name for name in model_inputs() if name not in {code_column(c) for c in (*INDICATORS, "store_id")}
+)
+# Smallest values are worth taking off where they may be large beside the spread.
+SHIFTED = ("inventory_level", "price", "discount", "competitor_pricing")
 
 
-def _gram_sums(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
-    """Row count, means and co-moments of (inputs, label) per store.
+def store_cells(df: DataFrame) -> DataFrame:
+    """Rows, sums and sums of products of the numeric inputs and the label, by store and labels.
 
-    Each task reduces its own rows per store to one matrix, so a store with most
-    of the rows costs no more to shuffle than any other. The parts are sums of
-    products around the store's smallest values, which one aggregate finds
-    first: an input that never changes then sums to exactly 0.
+    One aggregate with map-side sums over (store, category, region, seasonality).
+    A row is a block of the normal equations: indicators add only counts and sums to
+    them, so no row is ever written out with its zeros. ``low`` holds the
+    store's smallest values, which are taken off first (``_low`` of
+    :func:`training_rows`; zeros without it).
     """
-    size = len(inputs) + 2
-    upper = np.triu_indices(size)
-    columns = [*inputs, LABEL]
-    low = df.groupBy("store_id").agg(
-        F.array(*[F.min(F.col(name).cast("double")) for name in columns]).alias("_low")
+    columns = [*STORE_INPUTS, LABEL]
+    low = F.col("_low") if "_low" in df.columns else F.array(*[F.lit(0.0)] * len(columns))
+    rows = df.select(
+        "store_id", *INDICATORS, low.alias("low"), *[F.col(name).cast("double").alias(name) for name in columns]
     )
-    shifted = split_join(df.select("store_id", *columns), low, ["store_id"])
-    df = shifted.select(
-        "store_id",
-        "_low",
-        *[(F.col(name).cast("double") - F.col("_low")[k]).alias(name) for k, name in enumerate(columns)],
+    shifted = rows.select(
+        "store_id", *INDICATORS, "low", *[(F.col(name) - F.col("low")[k]).alias(f"x{k}") for k, name in enumerate(columns)]
     )
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-
-        def flush():
-            stores = list(sums)
-            frame = pd.DataFrame(
-                {"store_id": stores, "sums": [sums[store][upper].tolist() for store in stores]}
-            )
-            sums.clear()
-            return frame
-
-        for batch in batches:
-            for store, rows in batch.groupby("store_id", sort=False):
-                values = np.column_stack(
-                    [np.ones(len(rows)), rows[list(inputs)].to_numpy(float), rows[LABEL].to_numpy(float)]
-                )
-                product = values.T @ values
-                sums[store] = sums[store] + product if store in sums else product
-            if len(sums) > GRAM_FLUSH_STORES:
-                yield flush()
-        if sums:
-            yield flush()
-
-    parts = df.select("store_id", *columns).mapInPandas(
-        partial, "store_id string, sums array<double>"
+    count = len(columns)
+    sums = [F.sum(f"x{k}").alias(f"s{k}") for k in range(count)]
+    pairs = [(i, j) for i in range(count) for j in range(i, count)]
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs]
+    cells = shifted.groupBy("store_id", *INDICATORS).agg(
+        F.count(F.lit(1)).alias("n"), F.first("low").alias("low"), *sums, *products
     )
-    sums = (
-        parts.select("store_id", F.posexplode("sums").alias("spot", "value"))
-        .groupBy("store_id", "spot")
-        .agg(F.sum("value").alias("value"))
-        .groupBy("store_id")
-        .agg(F.array_sort(F.collect_list(F.struct("spot", "value"))).alias("_sums"))
-        .select("store_id", F.col("_sums.value").alias("sums"))
+    return cells.select(
+        "store_id", *INDICATORS, "n", "low",
+        F.array(*[f"s{k}" for k in range(count)]).alias("sums"),
+        F.array(*[f"p{i}_{j}" for i, j in pairs]).alias("products"),
     )
-    return sums.join(low, "store_id").select("store_id", "sums", F.col("_low").alias("low"))
+
+
+def normal_equations(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Sums of products of (1, numeric inputs, indicators, label) of one store, low values, and the indicators' names."""
+    size = len(STORE_INPUTS) + 1
+    upper = np.triu_indices(size)
+    names = sorted({f"{c}={v}" for c in INDICATORS for v in cells[c].dropna()})
+    spot = {name: 1 + len(STORE_INPUTS) + k for k, name in enumerate(names)}
+    numeric = [*range(1, size), size + len(names)]
+    gram = np.zeros((1 + size + len(names),) * 2)
+    for row in cells.itertuples(index=False):
+        sums, block = np.asarray(row.sums, float), np.zeros((size, size))
+        block[upper] = row.products
+        block = block + np.triu(block, 1).T
+        ones = [0, *(spot[f"{c}={getattr(row, c)}"] for c in INDICATORS if getattr(row, c) is not None)]
+        gram[np.ix_(numeric, numeric)] += block
+        gram[np.ix_(ones, ones)] += row.n
+        gram[np.ix_(ones, numeric)] += sums
+        gram[np.ix_(numeric, ones)] += sums[:, None]
+    low = np.asarray(cells["low"].iloc[0], float)
+    low = np.concatenate([low[:-1], np.zeros(len(names)), low[-1:]])
+    return gram[np.triu_indices(len(gram))], low, names
 
 
 def solve_ridge(sums: np.ndarray, low: np.ndarray, inputs: int, penalty: float) -> np.ndarray:
@@ -247,50 +249,71 @@ def solve_ridge(sums: np.ndarray, low: np.ndarray, inputs: int, penalty: float)
 def fit_per_store(train: DataFrame, penalty: float = 0.01) -> DataFrame:
     """A ridge regression on the log target for every store.
 
-    Takes encoded, featured rows and gives one row of coefficients per store.
-    These are linear models: a set of trees per store would need all of a
-    store's rows in one place.
+    Takes featured rows with product codes and gives one row per store: the
+    coefficients (intercept, then ``STORE_INPUTS``) and the weight of every label
+    of category, region and seasonality by its name, as ``category=...``. These are linear models: a
+    set of trees per store would need all of a store's rows in one place. A task
+    gets one row per combination of labels that a store has, never its panel rows.
     """
     ship_package(train.sparkSession)
-    inputs = model_inputs()
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            solved = [
-                solve_ridge(np.asarray(sums), np.asarray(low), len(inputs), penalty).tolist()
-                for sums, low in zip(batch["sums"], batch["low"])
-            ]
-            yield pd.DataFrame({"store_id": batch["store_id"], "coefficients": solved})
-
-    return _gram_sums(train, inputs).mapInPandas(
-        solve, "store_id string, coefficients array<double>"
+
+    def solve(cells: pd.DataFrame) -> pd.DataFrame:
+        sums, low, names = normal_equations(cells)
+        solved = solve_ridge(sums, low, len(STORE_INPUTS) + len(names), penalty)
+        split = 1 + len(STORE_INPUTS)
+        weights = list(zip(names, solved[split:].tolist()))
+        return pd.DataFrame({"store_id": cells["store_id"].iloc[:1], "coefficients": [solved[:split].tolist()], "labels": [weights]})
+
+    solved = store_cells(train).groupBy("store_id").applyInPandas(
+        solve, "store_id string, coefficients array<double>, labels array<struct<name:string,weight:double>>"
     )
+    return solved.withColumn("labels", F.map_from_entries("labels"))
 
 
 def score_per_store(df: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """Score rows with their store's model; stores without one get null."""
-    models = coefficients.select("store_id", "coefficients")
+    """Score rows with their store's model; stores without one get null.
+
+    A label that the store's training rows did not have weighs nothing. Where
+    the rows carry the codes of their labels, one without a code gives null.
+    """
+    models = coefficients.select("store_id", "coefficients", "labels")
     joined = split_join(df, models, ["store_id"], "left")
     terms = F.col("coefficients")[0]
-    for spot, name in enumerate(model_inputs(), start=1):
+    for spot, name in enumerate(STORE_INPUTS, start=1):
         terms = terms + F.col("coefficients")[spot] * F.col(name).cast("double")
-    return joined.withColumn("predicted", unlog(terms)).drop("coefficients")
+    known = F.lit(True)
+    for name in INDICATORS:
+        label = F.concat(F.lit(f"{name}="), F.col(name).cast("string"))
+        terms = terms + F.coalesce(F.try_element_at("labels", label), F.lit(0.0))
+        if code_column(name) in df.columns:
+            known = known & F.col(code_column(name)).isNotNull()
+    return joined.withColumn("predicted", F.when(known, unlog(terms))).drop("coefficients", "labels")
 
 
 def training_rows(
-    featured: DataFrame, panel: DataFrame | None = None, min_rows: int = MIN_STORE_ROWS
+    featured: DataFrame,
+    panel: DataFrame | None = None,
+    min_rows: int = MIN_STORE_ROWS,
+    with_low: bool = False,
 ) -> DataFrame:
     """Rows of stores large enough to train on, split by each store's own dates.
 
-    Row counts and split dates come from one aggregate over ``panel``, which
-    needs only the keys and dates of the same rows.
+    Row counts, split dates and smallest values come from one aggregate over
+    ``panel``, which needs only the keys, dates and raw columns of the same rows, and
+    reach the rows in one join. ``with_low`` adds ``_low``, the values that
+    :func:`store_cells` takes off its inputs.
     """
     source = featured if panel is None else panel
+    lows = {name: F.min(F.col(name).cast("double")) for name in SHIFTED} if with_low else {}
     stores = source.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.percentile(F.unix_date(DATE), F.lit(TRAIN_SHARE)).alias("_split_day"),
+        *[value.alias(f"_low_{name}") for name, value in lows.items()],
+    )
+    low = [F.coalesce(F.col(f"_low_{name}"), F.lit(0.0)) if name in lows else F.lit(0.0) for name in (*STORE_INPUTS, LABEL)]
+    large = stores.filter(F.col("_rows") >= min_rows).select(
+        "store_id", "_split_day", *([F.array(*low).alias("_low")] if with_low else [])
     )
-    large = stores.filter(F.col("_rows") >= min_rows).drop("_rows")
     label = F.when(F.unix_date(DATE) <= F.col("_split_day"), "train").otherwise("valid")
     rows = split_join(featured, large, ["store_id"])
     return rows.withColumn("split", label).drop("_split_day")
@@ -329,7 +352,7 @@ class GlobalForecaster:
 class StoreForecaster:
     """The linear model of each row's store.
 
-    Stores without a model and unseen labels give a null prediction. Models and
+    Stores without a model and labels that no store had give a null prediction. Models and
     encoders of several runs carry ``run_id``; each store uses its own run's.
     """
 
@@ -342,7 +365,7 @@ class StoreForecaster:
         by = "run_id" if "run_id" in self.encoders.columns else None
         if by:
             df = split_join(df, self.coefficients.select("store_id", by), ["store_id"], "left")
-        encoded = encode(df, self.encoders, invalid=self.invalid, by=by)
+        encoded = encode(df, self.encoders, ("product_id", *INDICATORS), invalid=self.invalid, by=by)
         return score_per_store(encoded.drop(*[by] if by else []), self.coefficients)
 
     score_history = _score

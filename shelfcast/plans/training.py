@@ -16,6 +16,7 @@ from ..operators.encode import encode, fit_encoders
 from ..operators.features import create_features
 from ..operators.metrics import all_metrics, assessment, generalization_gap
 from ..operators.models import (
+    STORE_INPUTS,
     GlobalForecaster,
     StoreForecaster,
     fit_global,
@@ -27,7 +28,7 @@ from ..operators.models import (
     time_split,
     training_rows,
 )
-from ..schema import TARGET, model_inputs
+from ..schema import TARGET
 from ..sources.artifacts import (
     GLOBAL_STORE,
     path_size_mb,
@@ -148,7 +149,9 @@ def train_stores(
     """
     clean = clean_panel(panel)
     encoders = fit_encoders(clean)
-    rows = training_rows(create_features(encode(clean, encoders)), clean, min_rows)
+    # Category, region and season enter by label; only products need a code.
+    featured = create_features(encode(clean, encoders, ("product_id",)))
+    rows = training_rows(featured, clean, min_rows, with_low=True)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     coefficients = fit_per_store(rows.filter(F.col("split") == "train"), penalty)
     if path is not None:
@@ -164,8 +167,8 @@ def train_stores(
             F.lit(f"{path}/stores/encoders/run_id={run_id}").alias("encoder_path"),
             "accuracy",
             F.col("records").alias("record_count"),
-            # A store's model is its coefficients, eight bytes each.
-            F.lit(round((len(model_inputs()) + 1) * 8 / (1024 * 1024), 6)).alias("size_mb"),
+            # A store's model is its coefficients, eight bytes each; weights of labels are not counted.
+            F.lit(round((len(STORE_INPUTS) + 1) * 8 / (1024 * 1024), 6)).alias("size_mb"),
         )
         register_models(entries, f"{path}/registry")
     return StoreTraining(coefficients, encoders, summary, rows)

@@ -100,17 +100,40 @@ def test_store_models_equal_a_direct_solution(spark, panel, stores):
     _, training = stores
     encoders = fit_encoders(panel)
     rows = models.training_rows(create_features(encode(panel, encoders)), panel)
-    table = rows.filter("split = 'train' and store_id = 'S00001'").select(*model_inputs(), LABEL).toPandas()
-    x, y = table[model_inputs()].to_numpy(float), table[LABEL].to_numpy(float)
+    numeric = list(models.STORE_INPUTS)
+    table = rows.filter("split = 'train' and store_id = 'S00001'").select(*numeric, *models.INDICATORS, LABEL).toPandas()
+    names = sorted(f"{c}={v}" for c in models.INDICATORS for v in table[c].unique())
+    assert len(names) > 6
+    ones = [(table[n.split("=")[0]] == n.split("=")[1]).to_numpy(float) for n in names]
+    x, y = np.column_stack([table[numeric].to_numpy(float), *ones]), table[LABEL].to_numpy(float)
     spread = x.std(axis=0)
     use = spread > 1e-9
     z = (x[:, use] - x[:, use].mean(axis=0)) / spread[use]
     beta = np.linalg.solve(z.T @ z / len(y) + 0.01 * np.eye(use.sum()), z.T @ (y - y.mean()) / len(y))
     expected = np.zeros(x.shape[1])
     expected[use] = beta / spread[use]
-    got = training.coefficients.filter("store_id = 'S00001'").collect()[0].coefficients
-    assert np.allclose(got[1:], expected, rtol=1e-6, atol=1e-9)
-    assert got[0] == pytest.approx(y.mean() - expected @ x.mean(axis=0))
+    got = training.coefficients.filter("store_id = 'S00001'").collect()[0]
+    assert np.allclose(got.coefficients[1:], expected[: len(numeric)], rtol=1e-6, atol=1e-9)
+    assert sorted(got.labels) == names
+    assert np.allclose([got.labels[n] for n in names], expected[len(numeric) :], rtol=1e-6, atol=1e-9)
+    assert got.coefficients[0] == pytest.approx(y.mean() - expected @ x.mean(axis=0))
+
+
+def test_another_label_changes_the_prediction_by_its_weight(panel, stores):
+    _, training = stores
+    rows = create_features(encode(panel.filter("store_id = 'S00001'"), fit_encoders(panel), ("product_id",)))
+    rows = rows.withColumn("category", F.lit("Core"))
+    weights = training.coefficients.filter("store_id = 'S00001'").collect()[0].labels
+    assert abs(weights["category=Promo"] - weights["category=Core"]) > 1e-6
+
+    def logs(category):
+        scored = models.score_per_store(rows.withColumn("category", F.lit(category)), training.coefficients)
+        return np.log1p([r.predicted for r in scored.orderBy("product_id", "date").collect()])
+
+    change = logs("Promo") - logs("Core")
+    assert np.allclose(change, weights["category=Promo"] - weights["category=Core"])
+    # A label the store has never had weighs nothing.
+    assert np.allclose(logs("Other") - logs("Core"), -weights["category=Core"])
 
 
 def test_store_summary_and_registry(spark, stores):
