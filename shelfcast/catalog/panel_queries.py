@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import clean, encode, features
 from ..operators.models import feature_projection, split_date, split_sizes
 from ..schema import CATEGORICALS, LAG_COLUMNS, SERIES
+from ..session import ensure_checkpoint_dir
 from ..sources import panel as source
 from . import fixtures
 from .oracle import S, W, r6, with_parts
@@ -134,6 +137,16 @@ def upsert_unique(spark, sf_dir):
     return rounded(source.upsert_unique(old, new)).select(*old.columns)
 
 
+@query("merge_batch", with_parts("panel", UPSERT))
+def merge_batch(spark, sf_dir):
+    """The stored panel after a batch that touches only the years it has rows in."""
+    old, new = fixtures.batch_old(spark, sf_dir), fixtures.batch_new(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/merged-panel-{uuid.uuid4().hex}"
+    source.write_panel(old, path)
+    source.merge_batch(new, path)
+    return rounded(spark.read.parquet(path).select(*old.columns))
+
+
 @query(
     "ingest_report",
     with_parts(
@@ -244,6 +257,32 @@ def create_features_segmented(spark, sf_dir):
     )
 
 
+# The last year arrives as a batch, with corrections of one product's sales in an earlier March.
+LAST_YEAR = "date >= DATE '2001-01-01'"
+CORRECTED = "product_id = 'PROMO' AND year(date) = 1999 AND month(date) = 3"
+
+
+@query(
+    "update_features",
+    with_parts(
+        "feats",
+        f"""{FEATURE_SQL} JOIN (
+  SELECT {S}, min(date) AS first_date FROM panel WHERE {LAST_YEAR} OR ({CORRECTED}) GROUP BY {S}) USING ({S})
+WHERE date >= first_date""",
+    )
+    .replace("demand AS (", f"changed AS (SELECT * REPLACE (CAST(units_sold + CASE WHEN {CORRECTED} THEN 1 ELSE 0 END AS INT) AS units_sold) FROM panel),\ndemand AS (")
+    .replace("AS units_sold_7d FROM panel", "AS units_sold_7d FROM changed"),
+)
+def update_features(spark, sf_dir):
+    """Features after a batch from the state before it; one product has rows that come late."""
+    panel = fixtures.retail_panel(spark, sf_dir)
+    before = panel.filter(f"NOT ({LAST_YEAR})")
+    corrected = before.filter(CORRECTED).withColumn("units_sold", F.col("units_sold") + 1)
+    batch = panel.filter(LAST_YEAR).unionByName(corrected)
+    found, _ = features.update_features(features.feature_state(before), batch, before)
+    return rounded(found)
+
+
 @query(
     "baseline_predict",
     with_parts("pred", f"SELECT {KEY}, actual, {r6('predicted', 'predicted')} FROM pred"),

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import iso_week, log_target, month_number, weekend_flag
 from ..schema import DATE, LABEL, LAGS, ROLLING_MEANS, SERIES, TARGET
+from ..session import durable
+from .joins import split_join
 from .ordering import segments
 
 DEMAND_ROWS = 7
@@ -119,3 +121,39 @@ def features_with_baseline(
         return _baseline(_all_features(rows, window), window)
 
     return _along_series(df, both, segment_rows, tie_break)
+
+
+# -- features of new rows without the whole history ---------------------------
+
+
+def feature_state(panel: DataFrame) -> DataFrame:
+    """The last ``LOOKBACK`` rows of each series: all that features of later rows look back on."""
+    order = Window.partitionBy(*SERIES).orderBy(F.col(DATE).desc())
+    return panel.withColumn("_back", F.row_number().over(order)).filter(F.col("_back") <= LOOKBACK).drop("_back")
+
+
+def update_features(state: DataFrame, batch: DataFrame, panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features after a batch, and the state after it.
+
+    Gives the features of every row from its series' first row in the batch on.
+    ``state`` is :func:`feature_state` of ``panel``, the panel before the batch, and
+    ``batch`` has one row per key. Series whose batch rows all lie behind their state
+    need the state only, and if all do, the panel is not read. Rows at or before the end of
+    their series' state replace or precede known rows; only such series are then
+    taken from the panel. Columns of the state that the batch lacks are null in its rows.
+    """
+    batch = batch.select(*[F.col(c) if c in batch.columns else F.lit(None).cast(state.schema[c].dataType).alias(c) for c in state.columns])
+    ends = state.groupBy(*SERIES).agg(F.max(DATE).alias("_last"))
+    firsts = batch.groupBy(*SERIES).agg(F.min(DATE).alias("_first"))
+    late = F.coalesce(F.col("_first") <= F.col("_last"), F.lit(False))
+    touched = durable(firsts.join(ends, list(SERIES), "left").select(*SERIES, "_first", late.alias("_late")))
+    fresh, behind = touched.filter(~F.col("_late")), touched.filter(F.col("_late"))
+    old = split_join(state, fresh, SERIES)
+    if not behind.isEmpty():
+        replaced = batch.select(*SERIES, DATE).withColumn("_replaced", F.lit(True))
+        known = split_join(split_join(panel.select(*state.columns), behind, SERIES), replaced, (*SERIES, DATE), "left")
+        old = old.unionByName(known.filter(F.col("_replaced").isNull()).drop("_replaced"))
+    merged = old.unionByName(split_join(batch, touched, SERIES))
+    features = create_features(merged).filter(F.col(DATE) >= F.col("_first")).drop("_first", "_late")
+    untouched = state.join(touched.select(*SERIES), list(SERIES), "left_anti")
+    return features, feature_state(merged.drop("_first", "_late").unionByName(untouched))

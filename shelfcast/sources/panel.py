@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import DATE, PANEL, REQUIRED_COLUMNS, SERIES
+from ..session import ensure_checkpoint_dir
 
 # Accepted spellings of a date, tried in this order.
 DATE_FORMATS = (
@@ -247,6 +249,61 @@ def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
+def touched_years(batch: DataFrame) -> list[int | None]:
+    """The years a batch has rows in, None for rows without a date: at most one entry per calendar year."""
+    return [row[0] for row in batch.select(F.year(DATE)).distinct().collect()]
+
+
+def read_years(spark: SparkSession, path: str, years: Sequence[int | None]) -> DataFrame:
+    """The stored panel's rows of some years; the folders of others are not listed in the scan."""
+    known = F.col("year").isin([year for year in years if year is not None])
+    wanted = known | F.col("year").isNull() if None in years else known
+    return _read_stored(spark, path).filter(wanted)
+
+
+def _read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored panel; its year is a number also where no row has a date."""
+    fields = [f for f in spark.read.parquet(path).schema if f.name != "year"]
+    return spark.read.schema(T.StructType([*fields, T.StructField("year", T.IntegerType())])).parquet(path)
+
+
+def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = PANEL_KEY) -> list[int | None]:
+    """Upsert a batch into the panel stored at ``path``, writing only the years it has rows in.
+
+    A key holds its date, so a row can only replace one of its own year. The
+    batch and then the merged years are staged in the shared folder; only when they are
+    complete do they replace the years' folders, in one committed write. A
+    run that fails before leaves the panel as it was, and running it again gives the
+    same panel. Gives the touched years. The panel is created if there is none.
+    """
+    spark = batch.sparkSession
+    staged = f"{ensure_checkpoint_dir(spark)}/panel-merge-{uuid.uuid4().hex}"
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def folder(name: str):
+        return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    batch.write.parquet(f"{staged}/batch")
+    batch = spark.read.schema(batch.schema).parquet(f"{staged}/batch")
+    years = touched_years(batch)
+    if years:
+        if files.exists(folder(path)):
+            batch = upsert_keep_last(read_years(spark, path, years).drop("year"), batch, keys)
+        else:
+            batch = upsert_keep_last(batch.limit(0).drop(ROW_ORDER), batch, keys)
+        write_panel(batch, f"{staged}/years")
+        (
+            _read_stored(spark, f"{staged}/years")
+            .sortWithinPartitions("year", *SERIES, DATE)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("year")
+            .parquet(path)
+        )
+    folder(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder(staged), True)
+    return years
+
+
 def _write(df: DataFrame, path: str, fmt: str, mode: str) -> None:
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
