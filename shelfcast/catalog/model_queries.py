@@ -7,14 +7,19 @@ than the mean of what it was trained on.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import models
 from ..operators.clean import clean_panel
+from ..operators.encode import encode, fit_encoders
 from ..operators.features import create_features
 from ..plans.recommend import bulk_recommend, predict_scenarios, scored_history
 from ..plans.training import train_and_report, train_stores
 from ..schema import LABEL, SERIES
+from ..session import durable, ensure_checkpoint_dir
 from . import fixtures
 from .fixtures import TARGET_DATE
 from .oracle import with_parts
@@ -62,6 +67,31 @@ def global_model_report(spark, sf_dir):
     )
 
 
+STAGES, STAGE_ROUNDS = 3, 2
+
+
+@query(
+    "global_model_stages",
+    with_parts(
+        "panel",
+        f"""SELECT CAST(stage AS INT) AS stage, {STAGE_ROUNDS} AS rounds, records, TRUE AS better FROM range({STAGES}) AS s(stage), (
+  SELECT count(*) FILTER (WHERE date_diff('day', DATE '1970-01-01', date) <= day) AS records
+  FROM (SELECT * FROM {CLEAN}), (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.8) AS day FROM {CLEAN}))""",
+    ),
+)
+def global_model_stages(spark, sf_dir):
+    """Rounds and rows of each stage of a model whose training was cut off after two stages and went on."""
+    clean = clean_panel(fixtures.retail_panel(spark, sf_dir))
+    featured = create_features(encode(clean, fit_encoders(clean)))
+    path = f"{ensure_checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
+    train = durable(models.time_split(featured, panel=clean).filter(F.col("split") == "train"))
+    for stages in (STAGES - 1, STAGES):
+        models.fit_global_stages(train, path, stages * STAGE_ROUNDS, STAGE_ROUNDS)
+    left = F.lag("squared_error").over(Window.orderBy("stage"))
+    better = F.coalesce(F.col("squared_error") < left, F.col("squared_error").isNotNull())
+    return models.stage_table(spark, path).select("stage", "rounds", F.col("rows").alias("records"), better.alias("better"))
+
+
 @query("global_model_history", with_parts(
     "panel",
     f"""SELECT date, {S}, CAST(sum(units_sold) OVER (PARTITION BY {S} ORDER BY date ROWS 6 PRECEDING) AS DOUBLE) AS actual,

@@ -7,14 +7,15 @@ downstream takes any of them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import unlog
@@ -143,13 +144,87 @@ def fit_global(train: DataFrame, **params) -> PipelineModel:
     return Pipeline(stages=[assembler, trees]).fit(train)
 
 
+STAGE_COLUMN = "_stage_log_"
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    target, files = _folder(spark, f"{path}/finished/_SUCCESS")
+    return files.exists(target)
+
+
+def stage_table(spark: SparkSession, path: str) -> DataFrame:
+    """What finished stages have noted: stage, settings, rounds, rows and the squared error left."""
+    return spark.read.parquet(f"{path}/stage-*/finished").orderBy("stage")
+
+
+def fit_global_stages(
+    train: DataFrame, path: str, rounds: int = GLOBAL_PARAMS["maxIter"], stage_rounds: int = 50, **params
+) -> PipelineModel:
+    """:func:`fit_global` in stages that survive the driver: each is saved to the shared folder ``path``.
+
+    A stage boosts ``stage_rounds`` rounds on what the stages before left of the
+    log target. Its model, and the rows with what it left in turn, are
+    written before the stage counts as finished. A run that finds finished stages goes on behind the last one;
+    other settings or other rows than theirs are an error. The stages' models stand one behind
+    the other in one pipeline, so it is saved, loaded and scored like any
+    other. The first tree of a stage is not shrunk (a property of the trainer), which
+    leaves the error of a few long stages near that of a single run.
+    """
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    settings = {**GLOBAL_PARAMS, **params}
+    settings.pop("maxIter")
+    plan = [min(stage_rounds, rounds - done) for done in range(0, rounds, stage_rounds)]
+    assembler = VectorAssembler(inputCols=model_inputs(), outputCol="features", handleInvalid="keep")
+    note = json.dumps({**settings, "rows": train.count()}, sort_keys=True)
+    trees = []
+    for stage, size in enumerate(plan):
+        here = f"{path}/stage-{stage:04d}"
+        if _finished(spark, here):
+            done = spark.read.parquet(f"{here}/finished").first()
+            if done.settings != note or done.rounds != size:
+                raise ValueError(f"{here} was trained with other settings, rounds or rows")
+            trees.append(GBTRegressionModel.load(f"{here}/model"))
+            continue
+        if stage == 0:
+            rows = assembler.transform(train).select("features", F.col(LABEL).cast("double").alias("left"))
+        else:
+            rows = spark.read.parquet(f"{path}/stage-{stage - 1:04d}/rows")
+        column = f"{STAGE_COLUMN}{stage}"
+        trainer = GBTRegressor(
+            featuresCol="features", labelCol="left", predictionCol=column, cacheNodeIds=False,
+            checkpointInterval=10, maxIter=size, **settings,
+        )
+        model = trainer.fit(rows)
+        model.write().overwrite().save(f"{here}/model")
+        left = model.transform(rows).select("features", (F.col("left") - F.col(column)).alias("left"))
+        left.write.mode("overwrite").parquet(f"{here}/rows")
+        error = spark.read.parquet(f"{here}/rows").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col("left") ** 2).alias("squared_error"))
+        finished = error.select(F.lit(stage).alias("stage"), F.lit(note).alias("settings"), F.lit(size).alias("rounds"), "rows", "squared_error")
+        finished.coalesce(1).write.mode("overwrite").parquet(f"{here}/finished")
+        if stage:
+            # The rows of the stage before are not needed any more.
+            target, files = _folder(spark, f"{path}/stage-{stage - 1:04d}/rows")
+            files.delete(target, True)
+        trees.append(model)
+    total = " + ".join(f"{STAGE_COLUMN}{stage}" for stage in range(len(trees)))
+    whole = SQLTransformer(statement=f"SELECT *, {total} AS predicted_log FROM __THIS__")
+    return PipelineModel(stages=[assembler, *trees, whole])
+
+
 def score_encoded(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Predictions in units; null where an input is null, such as an unseen label's code."""
     whole = F.lit(True)
     for name in model_inputs():
         whole = whole & F.col(name).isNotNull()
     scored = model.transform(df).withColumn("predicted", F.when(whole, unlog("predicted_log")))
-    return scored.drop("features", "predicted_log")
+    parts = [c for c in scored.columns if c.startswith(STAGE_COLUMN)]
+    return scored.drop("features", "predicted_log", *parts)
 
 
 # -- one linear model per store ---------------------------------------------

@@ -16,10 +16,12 @@ from ..operators.encode import encode, fit_encoders
 from ..operators.features import create_features
 from ..operators.metrics import all_metrics, assessment, generalization_gap
 from ..operators.models import (
+    GLOBAL_PARAMS,
     STORE_INPUTS,
     GlobalForecaster,
     StoreForecaster,
     fit_global,
+    fit_global_stages,
     fit_per_store,
     score_encoded,
     score_per_store,
@@ -76,14 +78,27 @@ def training_record(scored: DataFrame, panel: DataFrame) -> DataFrame:
     return saved_metrics_row(train, valid, cut)
 
 
-def train_and_report(panel: DataFrame, path: str | None = None, **params) -> TrainingReport:
-    """Clean, encode, build features, split by time, fit, measure and save."""
+def train_and_report(
+    panel: DataFrame, path: str | None = None, stage_rounds: int | None = None, **params
+) -> TrainingReport:
+    """Clean, encode, build features, split by time, fit, measure and save.
+
+    With ``stage_rounds`` the model is trained in stages saved below ``path``, and a
+    run that was cut off goes on behind the last finished one when it is started again.
+    """
+    if stage_rounds is not None and path is None:
+        raise ValueError("stages need a folder")
     clean = clean_panel(panel)
     encoders = fit_encoders(clean)
     featured = time_split(create_features(encode(clean, encoders)), panel=clean)
     # Read by the fit (once per boosting round) and by both metric passes.
     featured = featured.persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit_global(featured.filter(F.col("split") == "train"), **params)
+    train = featured.filter(F.col("split") == "train")
+    if stage_rounds is None:
+        model = fit_global(train, **params)
+    else:
+        rounds = params.pop("maxIter", GLOBAL_PARAMS["maxIter"])
+        model = fit_global_stages(train, f"{path}/{GLOBAL_STORE}/stages", rounds, stage_rounds, **params)
     scored = score_encoded(featured, model).withColumn("actual", F.col(TARGET))
     train, valid = split_metrics(scored)
     saved = training_record(scored, clean)

@@ -254,3 +254,58 @@ def test_an_unseen_label_fails_its_rows_only(panel):
 def test_an_unknown_store_is_an_error(panel):
     with pytest.raises(UnknownStore):
         store_filter(panel, "nowhere")
+
+
+SMALL_TREES = {"maxDepth": 3, "maxBins": 32}
+
+
+@pytest.fixture(scope="module")
+def train_split(panel):
+    featured = create_features(encode(panel, fit_encoders(panel)))
+    return models.time_split(featured, panel=panel).filter("split = 'train'").cache()
+
+
+def log_error(model, rows):
+    scored = models.score_encoded(rows, model)
+    return scored.agg(F.avg((F.log1p("predicted") - F.col(LABEL)) ** 2)).first()[0]
+
+
+def test_stages_go_on_where_a_run_stopped(spark, train_split, tmp_path, monkeypatch):
+    path = str(tmp_path / "stages")
+    fitted = []
+    fit = models.GBTRegressor.fit
+
+    def fit_or_fail(self, rows):
+        fitted.append(1)
+        if len(fitted) == 3:
+            raise RuntimeError("the driver is gone")
+        return fit(self, rows)
+
+    monkeypatch.setattr(models.GBTRegressor, "fit", fit_or_fail)
+    with pytest.raises(RuntimeError, match="gone"):
+        models.fit_global_stages(train_split, path, 6, 2, **SMALL_TREES)
+    model = models.fit_global_stages(train_split, path, 6, 2, **SMALL_TREES)
+    assert len(fitted) == 4
+    table = models.stage_table(spark, path).collect()
+    assert [(r.stage, r.rounds, r.rows) for r in table] == [(k, 2, train_split.count()) for k in range(3)]
+    assert log_error(model, train_split) == pytest.approx(table[-1].squared_error)
+    # All stages are there: nothing is trained.
+    again = models.fit_global_stages(train_split, path, 6, 2, **SMALL_TREES)
+    assert len(fitted) == 4 and log_error(again, train_split) == pytest.approx(table[-1].squared_error)
+    whole = models.fit_global_stages(train_split, str(tmp_path / "other"), 6, 2, **SMALL_TREES)
+    assert log_error(whole, train_split) == pytest.approx(table[-1].squared_error, rel=0.02)
+    with pytest.raises(ValueError, match="other settings"):
+        models.fit_global_stages(train_split, path, 6, 2, maxDepth=2, maxBins=32)
+    with pytest.raises(ValueError, match="other settings"):
+        models.fit_global_stages(train_split.limit(10), path, 6, 2, **SMALL_TREES)
+
+
+def test_stages_are_as_good_as_a_single_run(panel, train_split, tmp_path):
+    one = log_error(models.fit_global(train_split, maxIter=10, **SMALL_TREES), train_split)
+    path = str(tmp_path / "m")
+    report = train_and_report(panel, path, stage_rounds=5, maxIter=10, **SMALL_TREES)
+    # Stated bound: two stages leave at most a tenth more squared error than one run of as many rounds.
+    assert log_error(report.model, train_split) <= 1.1 * one
+    loaded, _ = artifacts.load_model(panel.sparkSession, f"{path}/GLOBAL")
+    assert log_error(loaded, train_split) == pytest.approx(log_error(report.model, train_split))
+    report.release()
