@@ -15,6 +15,7 @@ from ..functions.rules import (
     recommended_metric,
 )
 from ..schema import DATE, SERIES, TARGET
+from ..session import durable
 from .ordering import adjacent_gaps
 from .quantiles import exact_percentiles
 
@@ -162,26 +163,23 @@ def naive_error(
     ``pooled`` runs over the rows in (store, product, date) order and so also
     counts the steps from the end of one series to the start of the next;
     ``series`` leaves those out. Steps inside a series reuse the feature
-    partitioning. The steps between series need one row per series only.
+    partitioning, also where groups cut across series. All that a group's rows of
+    a series add are four numbers - the first and last value, the sum and the
+    count of steps - which the steps between series then close.
     """
     by = list(by or ())
-    window = Window.partitionBy(*SERIES).orderBy(DATE)
+    keys = list(dict.fromkeys([*by, *SERIES]))
+    window = Window.partitionBy(*keys).orderBy(DATE)
     step = F.abs(F.col(value) - F.lag(value, 1).over(window))
-    extra = [name for name in by if name not in SERIES]
-    if extra and scope == "pooled":
-        # Groups that cut across series: take the steps of each group's own rows.
-        return adjacent_gaps(train, [*SERIES, DATE], value, value, by)
-    if extra:
-        window = Window.partitionBy(*extra, *SERIES).orderBy(DATE)
-        step = F.abs(F.col(value) - F.lag(value, 1).over(window))
-    stepped = train.withColumn("_step", step)
-    inner_keys = list(dict.fromkeys([*by, *SERIES]))
-    per_series = stepped.groupBy(*inner_keys).agg(
+    per_series = train.withColumn("_step", step).groupBy(*keys).agg(
         F.sum("_step").alias("_sum"),
         F.count("_step").alias("_count"),
         F.min_by(value, DATE).alias("_first"),
         F.max_by(value, DATE).alias("_last"),
     )
+    if scope != "series":
+        # Read twice below: one row per group and series instead of the panel.
+        per_series = durable(per_series)
     inside = per_series.groupBy(*by).agg(
         F.coalesce(F.sum("_sum"), F.lit(0.0)).alias("gap_sum"),
         F.sum("_count").alias("gap_count"),

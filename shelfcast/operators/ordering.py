@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import durable
 from .joins import split_join
@@ -87,72 +84,19 @@ def adjacent_gaps(
 ) -> DataFrame:
     """Sum and count of |first(next row) - last(this row)| over all neighbours.
 
-    Neighbours are taken in the order of ``order`` within each ``by`` group.
-    Each range partition is reduced to one line per group it holds, and only
-    these lines meet again to close the gaps between partitions.
+    Neighbours are taken in the order of ``order`` within each ``by`` group. Rows
+    are numbered over all groups, and each meets its predecessor in a join on the
+    numbers, which spreads over all tasks however many rows a group has.
     """
-    sort_keys = list(dict.fromkeys([*by, *order]))
-    rows = df.select(
-        *sort_keys, F.col(first).cast("double").alias("_f"), F.col(last).cast("double").alias("_l")
+    keys = list(dict.fromkeys([*by, *order]))
+    rows = df.select(*keys, F.col(first).cast("double").alias("_f"), F.col(last).cast("double").alias("_l"))
+    ranked = with_global_rank(rows, keys, "_rank")
+    before = ranked.select(
+        (F.col("_rank") + 1).alias("_rank"), F.struct(F.lit(0), *by).alias("_group_before"), F.col("_l").alias("_before")
     )
-    groups = list(by)
-    heads = [f"_head_{name}" for name in order]
-    schema = T.StructType(
-        [df.schema[name] for name in groups]
-        + [T.StructField(f"_head_{name}", df.schema[name].dataType) for name in order]
-        + [
-            T.StructField("_f", T.DoubleType()),
-            T.StructField("_l", T.DoubleType()),
-            T.StructField("_gap", T.DoubleType()),
-            T.StructField("_pairs", T.LongType()),
-        ]
-    )
-
-    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_group = None
-
-        def line(state):
-            return pd.DataFrame([state["line"]], columns=schema.names)
-
-        for batch in batches:
-            if batch.empty:
-                continue
-            if groups:
-                changed = (batch[groups] != batch[groups].shift()).any(axis=1).cumsum()
-                parts = (part for _, part in batch.groupby(changed, sort=False))
-            else:
-                parts = (batch,)
-            for part in parts:
-                key = tuple(part[groups].iloc[0]) if groups else ()
-                gap = float(np.abs(part["_f"].values[1:] - part["_l"].values[:-1]).sum())
-                pairs = len(part) - 1
-                if open_group is not None and open_group["key"] == key:
-                    state = open_group["line"]
-                    state["_gap"] += gap + abs(part["_f"].iloc[0] - state["_l"])
-                    state["_pairs"] += pairs + 1
-                    state["_l"] = part["_l"].iloc[-1]
-                    continue
-                if open_group is not None:
-                    yield line(open_group)
-                head = {f"_head_{name}": part[name].iloc[0] for name in order}
-                state = dict(zip(groups, key))
-                state.update(head)
-                state.update(
-                    _f=part["_f"].iloc[0], _l=part["_l"].iloc[-1], _gap=gap, _pairs=pairs
-                )
-                open_group = {"key": key, "line": state}
-        if open_group is not None:
-            yield line(open_group)
-
-    lines = (
-        rows.repartitionByRange(*sort_keys)
-        .sortWithinPartitions(*sort_keys)
-        .mapInPandas(summarize, schema)
-    )
-    # At most one line per partition and group.
-    edge = Window.partitionBy(*groups).orderBy(*heads)
-    joined = lines.withColumn("_edge", F.abs(F.col("_f") - F.lag("_l").over(edge)))
-    return joined.groupBy(*groups).agg(
-        F.sum(F.col("_gap") + F.coalesce("_edge", F.lit(0.0))).alias("gap_sum"),
-        F.sum(F.col("_pairs") + F.when(F.col("_edge").isNull(), 0).otherwise(1)).alias("gap_count"),
+    same = F.col("_group_before").eqNullSafe(F.struct(F.lit(0), *by))
+    step = F.when(same, F.abs(F.col("_f") - F.col("_before")))
+    joined = ranked.join(before, "_rank", "left").withColumn("_step", step)
+    return joined.groupBy(*by).agg(
+        F.sum(F.coalesce("_step", F.lit(0.0))).alias("gap_sum"), F.count("_step").alias("gap_count")
     )

@@ -113,3 +113,14 @@ def test_no_row_level_query_gathers_rows_in_one_task(spark, name):
     assert "SinglePartition" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
+
+
+@pytest.mark.parametrize("by", [None, ["store_id"], ["category"]])
+def test_mase_stays_in_the_jvm(spark, by):
+    split = fixtures.panel_split(spark, SMALL)
+    text = plan_of(metrics.naive_error(split.filter("split = 'train'"), by=by))
+    assert "InPandas" not in text and "Python" not in text
+    # The steps inside the series lie where the features left them.
+    inside = plan_of(metrics.naive_error(split.filter("split = 'train'"), by=by, scope="series"))
+    panel_moves = [line for line in inside.splitlines() if "Exchange hashpartitioning(store_id" in line and "product_id" in line]
+    assert len(panel_moves) <= 1
