@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import metrics
-from ..plans.evaluation import evaluation_sections
+from ..operators.models import BaselineForecaster
+from ..plans.evaluation import evaluation_sections, report_metrics
+from ..plans.reorder import reorder_report
 from ..plans.training import split_metrics, training_record
 from ..schema import SERIES
 from . import fixtures
@@ -132,6 +136,38 @@ def metrics_by_month(spark, sf_dir):
     return rounded(metrics.metrics_by_month(fixtures.panel_pred(spark, sf_dir)))
 
 
+SECTION_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS section, {label} AS label, {ACCURACY} FROM pred {group}"
+    for name, label, group in (
+        ("overall", "CAST(NULL AS VARCHAR)", ""),
+        ("by_store", "store_id", "GROUP BY store_id"),
+        ("by_category", "category", "GROUP BY category"),
+        ("by_month", "strftime(date, '%Y-%m')", "GROUP BY strftime(date, '%Y-%m')"),
+    )
+)
+
+
+@query("evaluation_sections", with_parts("pred", f"SELECT *, {GRADE} FROM ({SECTION_SQL})"))
+def report_sections(spark, sf_dir):
+    """Accuracy overall, by store, by category and by month from one pass."""
+    passed = report_metrics(fixtures.panel_pred(spark, sf_dir))
+    label = F.coalesce("store_id", "category", "period").alias("label")
+    return rounded(metrics.accuracy_of(passed.select("*", label), ["section", "label"]))
+
+
+@query(
+    "reorder_report_metrics",
+    with_parts("pred", f"""SELECT *, {GRADE} FROM ({SECTION_SQL}) WHERE section IN ('overall', 'by_store')"""),
+)
+def reorder_report_metrics(spark, sf_dir):
+    """Accuracy overall and by store as the reorder report has it: cleaned, featured and scored rows."""
+    report = reorder_report(fixtures.retail_panel(spark, sf_dir), BaselineForecaster())
+    every = report["metrics"].withColumn("store_id", F.lit(None).cast("string"))
+    every = metrics.accuracy_of(every, ["store_id"]).select(F.lit("overall").alias("section"), "*")
+    stores = report["by_store"].select(F.lit("by_store").alias("section"), "*")
+    return rounded(every.unionByName(stores).withColumnRenamed("store_id", "label"))
+
+
 # -- single metrics ---------------------------------------------------------
 
 

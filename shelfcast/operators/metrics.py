@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,7 +127,12 @@ def all_metrics(
         scaled = F.coalesce(ratio(F.col("mae"), scale), F.lit(0.0))
         usable = F.coalesce(F.col("gap_count"), F.lit(0)) > 0
         mase = F.when(usable, scaled).otherwise(F.col("mae"))
-    full = raw.withColumns(
+    return _finished(raw, mase).select(*by, *METRIC_COLUMNS)
+
+
+def _finished(raw: DataFrame, mase: Column) -> DataFrame:
+    """Raw aggregates with the metrics that follow from them."""
+    return raw.withColumns(
         {
             "r2": r2_column(F.col("_sse"), F.col("_sst"), F.col("total_records")),
             "mase": mase,
@@ -141,7 +146,34 @@ def all_metrics(
             },
         }
     )
-    return full.select(*by, *METRIC_COLUMNS)
+
+
+def metrics_in_one_pass(
+    df: DataFrame,
+    sections: Mapping[str, Sequence[str]],
+    actual: str = "actual",
+    predicted: str = "predicted",
+) -> DataFrame:
+    """The metrics of several groupings from one scan and one shuffle of the rows.
+
+    ``sections`` maps a name to the columns it groups by, none for all rows. The result has a
+    row per section and group: ``section``, every grouping column (null
+    where the section does not group by it) and the metrics; MASE is null. It
+    has one row per group and is pinned, so sections are cheap filters on it. Without
+    rows there is no group, and no row for the section of all rows either.
+    """
+    keys = list(dict.fromkeys(name for by in sections.values() for name in by))
+    y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    rows = df.select(*keys, y.alias("_y"), p.alias("_p"))
+    sets = [[F.col(name) for name in by] for by in sections.values()]
+    grouped = rows.groupingSets(sets, *[F.col(name) for name in keys]).agg(
+        F.grouping_id().alias("_set"), *_raw_aggregates(F.col("_y"), F.col("_p"), True)
+    )
+    # A bit per grouping column, the first one highest, set where the section does not group by it.
+    number = {name: sum(1 << len(keys) - 1 - k for k, key in enumerate(keys) if key not in by) for name, by in sections.items()}
+    section = F.coalesce(*[F.when(F.col("_set") == bits, name) for name, bits in number.items()])
+    full = _finished(grouped, F.lit(None).cast("double"))
+    return durable(full.select(section.alias("section"), *keys, *METRIC_COLUMNS))
 
 
 def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -210,7 +242,11 @@ def group_accuracy(
 
     ``accuracy`` is 100 - MAPE without the clamp, so it may be negative.
     """
-    metrics = all_metrics(df, actual, predicted, by)
+    return accuracy_of(all_metrics(df, actual, predicted, by), by)
+
+
+def accuracy_of(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The columns of a report by group from all metrics of its groups."""
     return metrics.select(
         *by,
         F.col("total_records").alias("records"),
@@ -227,17 +263,27 @@ def group_accuracy(
 
 
 def metrics_by_store(df: DataFrame, **names: str) -> DataFrame:
-    return group_accuracy(df, ["store_id"], **names).orderBy("store_id")
+    return store_section(group_accuracy(df, ["store_id"], **names))
+
+
+def store_section(report: DataFrame) -> DataFrame:
+    return report.orderBy("store_id")
 
 
 def metrics_by_category(df: DataFrame, **names: str) -> DataFrame:
-    report = group_accuracy(df, ["category"], **names)
+    return category_section(group_accuracy(df, ["category"], **names))
+
+
+def category_section(report: DataFrame) -> DataFrame:
     return report.select("category", "records", "accuracy", "mae", "grade").orderBy("category")
 
 
 def metrics_by_month(df: DataFrame, last: int = LAST_MONTHS, **names: str) -> DataFrame:
     """Accuracy per calendar month, for the latest ``last`` months that have rows."""
-    report = group_accuracy(df.withColumn("period", month_key(DATE)), ["period"], **names)
+    return month_section(group_accuracy(df.withColumn("period", month_key(DATE)), ["period"], **names), last)
+
+
+def month_section(report: DataFrame, last: int = LAST_MONTHS) -> DataFrame:
     latest = report.orderBy(F.col("period").desc()).limit(last)
     return latest.select("period", "records", "accuracy", "mae").orderBy("period")
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.rules import SERVICE_LEVELS
 from ..operators.clean import clean_panel, drop_unscored
 from ..operators.inventory import DEMAND, at_risk, inventory_policy
-from ..operators.metrics import all_metrics, assessment, metrics_by_store
+from ..operators.metrics import accuracy_of, assessment, store_section
 from ..sources.panel import write_reorders
+from .evaluation import report_metrics, section
 from .recommend import scored_history
 
 
@@ -32,9 +33,10 @@ def reorder_report(
     """Accuracy overall and by store, its grade, and the reorder table."""
     scored = drop_unscored(scored_history(clean_panel(panel), forecaster))
     demand = scored.withColumn(DEMAND, F.col("predicted"))
+    passed = report_metrics(scored, ("overall", "by_store"))
     report = {
-        "metrics": assessment(all_metrics(scored)),
-        "by_store": metrics_by_store(scored),
+        "metrics": assessment(section(passed, "overall")),
+        "by_store": store_section(accuracy_of(section(passed, "by_store"), ["store_id"])),
         "reorders": at_risk(inventory_policy(demand, **policy)),
     }
     if path is not None:

@@ -12,6 +12,7 @@ from shelfcast.operators.clean import series_filter
 from shelfcast.operators.features import create_features, features_with_baseline
 from shelfcast.operators.inventory import inventory_policy
 from shelfcast.operators.models import BaselineForecaster
+from shelfcast.plans import evaluation
 from shelfcast.plans.recommend import bulk_recommend, scored_history, series_summary
 from shelfcast.plans.reorder import reorder_recommendations
 from shelfcast.sources.panel import keep_last, read_panel, write_panel
@@ -124,3 +125,15 @@ def test_mase_stays_in_the_jvm(spark, by):
     inside = plan_of(metrics.naive_error(split.filter("split = 'train'"), by=by, scope="series"))
     panel_moves = [line for line in inside.splitlines() if "Exchange hashpartitioning(store_id" in line and "product_id" in line]
     assert len(panel_moves) <= 1
+
+
+def test_report_sections_scan_and_shuffle_once(spark, panel, monkeypatch):
+    seen = []
+    monkeypatch.setattr(metrics, "durable", lambda df: seen.append(plan_of(df)) or df)
+    scored = scored_history(panel, BaselineForecaster())
+    report = evaluation.report_metrics(scored)
+    assert report.select("section").distinct().count() == 4
+    (text,) = seen
+    # The features' exchange by series and one for all four sections.
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
+    assert len(re.findall(r"Scan parquet", text)) == 1
