@@ -20,6 +20,7 @@ from ..plans.recommend import bulk_recommend, predict_scenarios, scored_history
 from ..plans.training import train_and_report, train_stores
 from ..schema import LABEL, SERIES
 from ..session import durable, ensure_checkpoint_dir
+from ..sources import artifacts
 from . import fixtures
 from .fixtures import TARGET_DATE
 from .oracle import with_parts
@@ -229,3 +230,55 @@ def store_model_scores(spark, sf_dir):
     )
     featured = create_features(panel).withColumn("product_id_idx", F.lit(0.0))
     return models.score_per_store(featured, table).select("date", *SERIES, F.round("predicted", 6).alias("predicted"))
+
+
+# A log of one entry per store and month with sales, named and timed by the month.
+LOG_SQL = """SELECT store_id, concat('m/', store_id, '/', strftime(date, '%Y%m')) AS model_path,
+  concat('e/', strftime(date, '%Y%m')) AS encoder_path, round(avg(discount), 6) AS accuracy,
+  CAST(date_trunc('month', date) AS TIMESTAMP) AS trained_at, count(*) AS record_count,
+  CAST(sum(inventory_level) AS DOUBLE) AS size_mb FROM panel WHERE {months} GROUP BY ALL"""
+
+
+def _log(panel):
+    month = F.date_format("date", "yyyyMM").alias("month")
+    grouped = panel.groupBy("store_id", month, F.date_trunc("month", F.col("date").cast("timestamp")).alias("trained_at"))
+    return grouped.agg(
+        F.round(F.avg("discount"), 6).alias("accuracy"), F.count(F.lit(1)).alias("record_count"),
+        F.sum("inventory_level").cast("double").alias("size_mb"),
+    ).withColumns({"model_path": F.concat(F.lit("m/"), "store_id", F.lit("/"), "month"), "encoder_path": F.concat(F.lit("e/"), "month")})
+
+
+@query(
+    "model_registry",
+    with_parts(
+        "panel",
+        f"""SELECT store_id, model_path, encoder_path, accuracy, strftime(trained_at, '%Y-%m-%d') AS trained_at, record_count, size_mb
+FROM ({LOG_SQL.format(months='TRUE')})
+QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY trained_at DESC, model_path DESC) = 1""",
+    ),
+)
+def model_registry(spark, sf_dir):
+    """Each store's latest model, from a log that was appended to, compacted and appended to again."""
+    log = _log(fixtures.retail_panel(spark, sf_dir))
+    path = f"{ensure_checkpoint_dir(spark)}/registry-{uuid.uuid4().hex}"
+    artifacts.register_models(log.filter("month < '199801'"), path)
+    artifacts.register_models(log.filter("month >= '199801' and month < '200001'"), path)
+    artifacts.compact_registry(spark, path)
+    artifacts.register_models(log.filter("month >= '200001'"), path)
+    latest = artifacts.model_registry(artifacts.read_registry(spark, path))
+    return latest.withColumn("trained_at", F.date_format("trained_at", "yyyy-MM-dd"))
+
+
+@query(
+    "unused_folders",
+    with_parts(
+        "panel",
+        f"""SELECT folder FROM (WITH entries AS ({LOG_SQL.format(months='TRUE')}),
+  latest AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY trained_at DESC, model_path DESC) = 1)
+  SELECT model_path AS folder FROM entries UNION SELECT encoder_path FROM entries
+  EXCEPT (SELECT model_path FROM latest UNION SELECT encoder_path FROM latest))""",
+    ),
+)
+def unused_folders(spark, sf_dir):
+    """Folders of models that a later one of their store has replaced, and of encoders that no latest one needs."""
+    return artifacts.unused_folders(_log(fixtures.retail_panel(spark, sf_dir))).select("folder")

@@ -257,6 +257,15 @@ def create_features_segmented(spark, sf_dir):
     )
 
 
+@query("bucketed_features", with_parts("feats", FEATURE_SQL))
+def bucketed_features(spark, sf_dir):
+    """Features of a panel saved in buckets, which no exchange moves again."""
+    name = f"panel_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    source.save_bucketed(fixtures.retail_panel(spark, sf_dir), name, 8, path)
+    return rounded(features.create_features(spark.table(name)))
+
+
 # The last year arrives as a batch, with corrections of one product's sales in an earlier March.
 LAST_YEAR = "date >= DATE '2001-01-01'"
 CORRECTED = "product_id = 'PROMO' AND year(date) = 1999 AND month(date) = 3"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,23 +110,87 @@ def path_size_mb(spark: SparkSession, path: str) -> float:
     return round(files.getContentSummary(target).getLength() / (1024 * 1024), 2)
 
 
+# -- registry: a log of trained models ----------------------------------------
+
+REGISTRY = ENTITIES["trained_model"]
+
+
 def register_models(models: DataFrame, path: str) -> None:
-    """Append trained models to the registry, stamped with the training time."""
-    columns = []
-    for field in ENTITIES["trained_model"].fields:
-        if field.name == "trained_at":
-            columns.append(F.current_timestamp().alias("trained_at"))
-        else:
-            columns.append(F.col(field.name).cast(field.dataType))
-    models.select(columns).write.mode("append").parquet(path)
+    """Append trained models to the registry's log, stamped with the training time if they have none."""
+    now = F.current_timestamp() if "trained_at" not in models.columns else F.col("trained_at").cast("timestamp")
+    columns = [now.alias(f.name) if f.name == "trained_at" else F.col(f.name).cast(f.dataType) for f in REGISTRY.fields]
+    models.select(columns).write.parquet(f"{path}/part=log-{uuid.uuid4().hex}")
 
 
-def model_registry(registry: DataFrame) -> DataFrame:
-    """The latest model of each store; the global one comes last."""
-    fields = [name for name in registry.columns if name != "store_id"]
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log, compacted or not."""
+    return spark.read.schema(REGISTRY).parquet(f"{path}/part=*")
+
+
+def _parts(spark: SparkSession, path: str) -> list:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath() for status in files.listStatus(target) if status.getPath().getName().startswith("part=")]
+
+
+def compact_registry(spark: SparkSession, path: str) -> int:
+    """Replace the log's parts by one with a row per store; gives the number of parts it replaced.
+
+    The new part is complete before the old ones go, and a reader that sees both
+    finds the same latest models. Parts that are added meanwhile stay. What
+    folders no store uses any more must be asked before (:func:`unused_folders`).
+    """
+    old = _parts(spark, path)
+    if not old:
+        return 0
+    latest = latest_models(spark.read.schema(REGISTRY).parquet(*[part.toString() for part in old]))
+    latest.select(*REGISTRY.names).write.parquet(f"{path}/part=compact-{uuid.uuid4().hex}")
+    for part in old:
+        part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True)
+    return len(old)
+
+
+def latest_models(registry: DataFrame) -> DataFrame:
+    """Each store's latest model; of models of the same time the one with the last path."""
+    fields = [name for name in REGISTRY.names if name != "store_id"]
     latest = registry.groupBy("store_id").agg(
         F.max_by(F.struct(*fields), F.struct("trained_at", "model_path")).alias("latest")
     )
-    return latest.select("store_id", "latest.*").orderBy(
-        F.col("store_id") == GLOBAL_STORE, "store_id"
-    )
+    return latest.select("store_id", "latest.*")
+
+
+def unused_folders(registry: DataFrame, before: str | None = None) -> DataFrame:
+    """Model and encoder folders that no store's latest model uses, and when they were last written.
+
+    Stores of a run share its folders, so one stays as long as any store uses
+    it. ``before`` keeps folders written at that time or later, as for runs that are still going on.
+    """
+
+    def folders(models: DataFrame) -> DataFrame:
+        both = F.explode(F.array("model_path", "encoder_path")).alias("folder")
+        return models.select(both, "trained_at").groupBy("folder").agg(F.max("trained_at").alias("trained_at"))
+
+    used = folders(latest_models(registry)).select("folder")
+    unused = folders(registry).join(used, "folder", "left_anti").filter(F.col("folder").isNotNull())
+    return unused if before is None else unused.filter(F.col("trained_at") < F.lit(before).cast("timestamp"))
+
+
+def expire_runs(spark: SparkSession, path: str, before: str | None = None) -> int:
+    """Delete the folders of :func:`unused_folders`; gives their number.
+
+    Without ``before`` nothing unused is left, and the log is compacted too. Folders
+    are few, one or two for each run, and are gone through one at a time.
+    """
+    gone = 0
+    for row in unused_folders(read_registry(spark, path), before).toLocalIterator():
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row.folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        gone += 1
+    if before is None:
+        compact_registry(spark, path)
+    return gone
+
+
+def model_registry(registry: DataFrame) -> DataFrame:
+    """The latest model of each store; the global one comes last."""
+    return latest_models(registry).orderBy(F.col("store_id") == GLOBAL_STORE, "store_id")

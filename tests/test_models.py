@@ -86,7 +86,7 @@ def test_saved_metrics_and_registry(spark, trained):
     saved = artifacts.load_metrics(spark, f"{path}/metrics").collect()[0]
     assert saved.primary_metric == "WAPE"
     assert saved.valid_mae == pytest.approx(report.valid.collect()[0].mae)
-    listed = artifacts.model_registry(spark.read.parquet(f"{path}/registry")).collect()
+    listed = artifacts.model_registry(artifacts.read_registry(spark, f"{path}/registry")).collect()
     assert [r.store_id for r in listed] == ["GLOBAL"] and listed[0].size_mb > 0
 
 
@@ -140,7 +140,7 @@ def test_store_summary_and_registry(spark, stores):
     path, training = stores
     summary = training.summary.collect()
     assert len(summary) == 10 and all(r.accuracy > 50 for r in summary)
-    listed = artifacts.model_registry(spark.read.parquet(f"{path}/registry"))
+    listed = artifacts.model_registry(artifacts.read_registry(spark, f"{path}/registry"))
     assert listed.count() == 10
     coefficients, encoders = artifacts.load_store_models(spark, f"{path}/stores")
     assert coefficients.count() == 10 and encoders.count() > 10
@@ -236,7 +236,7 @@ def test_retraining_one_store_keeps_the_others(spark, panel, tmp_path):
     again = StoreForecaster(coefficients, encoders).score_history(create_features(panel)).collect()
     changed = {r.store_id for r in again if r.predicted != first[(r.date, r.store_id, r.product_id)]}
     assert changed == {"S00001"}
-    registry = artifacts.model_registry(spark.read.parquet(f"{path}/registry")).collect()
+    registry = artifacts.model_registry(artifacts.read_registry(spark, f"{path}/registry")).collect()
     assert len(registry) == 10 and all(0 < r.size_mb < 0.01 for r in registry)
 
 

@@ -15,7 +15,7 @@ from shelfcast.operators.models import BaselineForecaster
 from shelfcast.plans import evaluation
 from shelfcast.plans.recommend import bulk_recommend, scored_history, series_summary
 from shelfcast.plans.reorder import reorder_recommendations
-from shelfcast.sources.panel import keep_last, read_panel, write_panel
+from shelfcast.sources.panel import keep_last, read_panel, save_bucketed, write_panel
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +137,12 @@ def test_report_sections_scan_and_shuffle_once(spark, panel, monkeypatch):
     # The features' exchange by series and one for all four sections.
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
     assert len(re.findall(r"Scan parquet", text)) == 1
+
+
+def test_a_bucketed_panel_is_not_moved(spark, tmp_path):
+    save_bucketed(fixtures.retail_panel(spark, SMALL), "bucketed_panel", 4, str(tmp_path / "panel"))
+    stored = spark.table("bucketed_panel")
+    demand = features_with_baseline(stored).withColumnRenamed("predicted", "predicted_weekly_demand")
+    for df in (create_features(stored), inventory_policy(demand), history.latest_row(stored)):
+        assert exchanges(plan_of(df)) == []
+    spark.sql("DROP TABLE bucketed_panel")

@@ -146,11 +146,33 @@ def test_registry_keeps_the_latest_and_lists_global_last(spark, tmp_path):
     for version in ("v1", "v2"):
         rows = [(s, f"{version}/{s}", "e", 80.0, 10, 0.5) for s in ("GLOBAL", "S2", "S1")]
         artifacts.register_models(spark.createDataFrame(rows, kinds), path)
-    listed = artifacts.model_registry(spark.read.parquet(path)).collect()
+    listed = artifacts.model_registry(artifacts.read_registry(spark, path)).collect()
     assert [r.store_id for r in listed] == ["S1", "S2", "GLOBAL"]
     assert all(r.model_path.startswith("v2/") for r in listed)
 
 
+def test_a_compacted_registry_has_the_same_latest_models(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    kinds = "store_id string, model_path string, encoder_path string, accuracy double, record_count long, size_mb double"
+    for run, stores in (("r1", ("S1", "S2")), ("r2", ("S2",)), ("r3", ("S2", "S3"))):
+        for kind in ("m", "e"):
+            (tmp_path / f"{kind}-{run}").mkdir()
+        rows = [(s, f"file://{tmp_path}/m-{run}", f"file://{tmp_path}/e-{run}", 80.0, 10, 0.5) for s in stores]
+        artifacts.register_models(spark.createDataFrame(rows, kinds), path)
+    before = artifacts.model_registry(artifacts.read_registry(spark, path)).collect()
+    unused = {r.folder.rsplit("/")[-1] for r in artifacts.unused_folders(artifacts.read_registry(spark, path)).collect()}
+    assert unused == {"m-r2", "e-r2"}
+    assert artifacts.expire_runs(spark, path, "2000-01-01") == 0 and (tmp_path / "m-r2").exists()
+    assert artifacts.expire_runs(spark, path) == 2
+    assert not (tmp_path / "m-r2").exists() and (tmp_path / "e-r1").exists()
+    log = artifacts.read_registry(spark, path)
+    assert log.count() == 3 and artifacts.model_registry(log).collect() == before
+    assert artifacts.compact_registry(spark, path) == 1 and artifacts.compact_registry(spark, path) == 1
+    artifacts.register_models(spark.createDataFrame([("S1", "m-r4", "e-r4", 81.0, 10, 0.5)], kinds), path)
+    latest = {r.store_id: r.model_path for r in artifacts.model_registry(artifacts.read_registry(spark, path)).collect()}
+    assert latest["S1"] == "m-r4" and len(latest) == 3
+
+
 def test_arrivals_are_ingested_once(spark, tmp_path):
     source, landing = tmp_path / "in", str(tmp_path / "landing")
     rows = fixtures.retail_panel(spark, SMALL).limit(50).cache()
