@@ -11,6 +11,8 @@ from .tables import Workspace, components
 
 # Rounds that compare a bucket's rows with one centre each.
 CENTRE_ROUNDS = 2
+# Buckets of more rows than this are cut by differences to a centre, so many times at most.
+SMALL_BUCKET, CUTS = 16, 3
 
 
 def shared_only(postings: DataFrame) -> DataFrame:
@@ -27,6 +29,8 @@ def link_buckets(
     fits: Column,
     verify: Callable[[DataFrame], DataFrame],
     needed: str | None = None,
+    differences: Callable[[DataFrame], DataFrame] | None = None,
+    near_size: Column | None = None,
 ) -> DataFrame:
     """(node, root) for every linked node, from rows (token, node, *attributes).
 
@@ -39,6 +43,12 @@ def link_buckets(
     never compared again. A last round takes all pairs of different components
     that still share a bucket, so every link between components is found. A
     group of n rows around a centre costs n comparisons.
+
+    With ``differences`` the last round first cuts large buckets. It gets pairs (a, b) of a
+    row and its bucket's centre and gives (a, b, linked, tokens, probes): whether they link, and tokens
+    of which any two rows that link, but not both to the centre, share one that is not a probe of both.
+    These tokens, of one centre each, are the new buckets; ``near_size`` is what
+    of ``fits`` holds without a place in a bucket, over the first attribute.
     """
     spark = postings.sparkSession
     sides = ("node", *attributes, "root")
@@ -60,20 +70,15 @@ def link_buckets(
                 *[F.col(c).alias(f"{c}_a") for c in sides], *[F.col(f"c.{c}").alias(f"{c}_b") for c in sides]
             )
         else:
-            flag = F.max(needed) if needed else F.lit(True)
-            groups = rows.groupBy("token", F.col("root").alias("root_a")).agg(flag.alias("needed_a"))
-            other = groups.toDF("token", "root_b", "needed_b")
-            a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in sides])
-            b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in sides])
-            pairs = (
-                groups.join(other, "token")
-                .where("root_a < root_b and (needed_a or needed_b)")
-                .join(a, ["token", "root_a"])
-                .join(b, ["token", "root_b"])
-            )
-        pairs = pairs.where(fits).select(
-            F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
-        )
+            if differences is not None:
+                rows, sub, more, roots = _cut_large(workspace, rows, attributes[0], differences, links, roots)
+                links = more
+            pairs = _all_pairs(rows, sides, needed)
+        pairs = _ordered(pairs.where(fits))
+        if step == CENTRE_ROUNDS and differences is not None and sub is not None:
+            within = _all_pairs(sub, ("node", attributes[0], "indexed", "root"), "indexed")
+            within = within.where("indexed_a or indexed_b").where(near_size)
+            pairs = pairs.unionAll(_ordered(within))
         found = workspace.write(verify(pairs.distinct()), "links")
         workspace.drop(rows)
         workspace.release()
@@ -82,3 +87,71 @@ def link_buckets(
         links = found if links is None else links.unionAll(found)
         roots = components(workspace, links)
     return roots
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _all_pairs(rows: DataFrame, sides: Sequence[str], needed: str | None) -> DataFrame:
+    """Pairs of rows of a bucket that belong to different components."""
+    flag = F.max(needed) if needed else F.lit(True)
+    groups = rows.groupBy("token", F.col("root").alias("root_a")).agg(flag.alias("needed_a"))
+    other = groups.toDF("token", "root_b", "needed_b")
+    a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in sides])
+    b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in sides])
+    return (
+        groups.join(other, "token")
+        .where("root_a < root_b and (needed_a or needed_b)")
+        .join(a, ["token", "root_a"])
+        .join(b, ["token", "root_b"])
+    )
+
+
+def _cut_large(
+    workspace: Workspace,
+    rows: DataFrame,
+    attribute: str,
+    differences: Callable[[DataFrame], DataFrame],
+    links: DataFrame | None,
+    roots: DataFrame,
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame]:
+    """The rows of small buckets, the new buckets of the others' rows (or None), all links and roots so far."""
+
+    def split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sizes = table.groupBy("token").agg(
+            F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node").alias("key"), "node")).alias("c")
+        )
+        large = sizes.where(F.col("size") > SMALL_BUCKET).select("token", F.col("c.node").alias("centre"))
+        large = workspace.write(large, "large")
+        return table.join(large.select("token"), "token", "left_anti"), table.join(large, "token")
+
+    small, large = split(rows)
+    kept = None
+    for _ in range(CUTS):
+        large = workspace.write(large.select("node", attribute, "centre").distinct(), "apart")
+        if large.isEmpty():
+            break
+        found = differences(large.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+        found = workspace.write(found, "differences")
+        near = found.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = near if links is None else links.unionAll(near)
+        if not near.isEmpty():
+            roots = components(workspace, links)
+        sides = [
+            found.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.explode(c).alias("of"), F.lit(c == "tokens").alias("indexed"))
+            for c in ("tokens", "probes")
+        ]
+        tokens = sides[0].unionAll(sides[1]).select("node", F.xxhash64("centre", "of").alias("token"), "indexed")
+        tokens = tokens.join(large.select("node", attribute).distinct(), "node")
+        placed = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = workspace.write(placed.select("token", "node", attribute, "indexed", "root"), "cut")
+        mixed = placed.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.max("indexed").alias("_any"))
+        placed = placed.join(mixed.where("_low <> _high and _any").select("token"), "token", "left_semi")
+        part, large = split(workspace.write(placed, "open"))
+        part = part.select("token", "node", attribute, "indexed", "root")
+        kept = part if kept is None else kept.unionAll(part)
+    else:
+        rest = large.select("token", "node", attribute, "indexed", "root")
+        kept = rest if kept is None else kept.unionAll(rest)
+    return small, kept, links, roots

@@ -8,9 +8,11 @@ orders: the first order is joined on, the others are tested on what it finds, an
 only pairs that pass all of them are verified on the whole sets.
 
 Equal sets are one node from the start. Inside a bucket (documents whose prefixes
-share a shingle) a few rounds link every document to one centre; after that only
-pairs from different components are left to verify, all of them, so no link
-between components is lost and no group is expanded into all its pairs.
+share a shingle) a few rounds link every document to one centre. Large buckets
+that still hold several components are cut by their documents' differences from a centre: what
+links shares a token of these too. After that only pairs from different
+components are left to verify, all of them, so no link between components is
+lost and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ ORDERS = 3
 # Shingles two linked documents share within prefixes that are this much less one longer: a
 # document whose prefix shares fewer with all others together has no link.
 SHARED = 5
+# Differences from a centre whose sizes are this close stand in one band.
+BAND_TOKENS = 4
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -218,6 +222,57 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
+def _difference_tokens(own: np.ndarray, other: np.ndarray, most: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens by which a difference (``own``: not in the centre, ``other``: only there) meets those it may be near.
+
+    The first ones are of its own band, the second ones of bands below; a pair has one of the first ones at least.
+
+    Two differences of x and y tokens that differ in ``most`` at most share (x + y - most) / 2
+    or more. So a prefix of x less that many, plus one, of each holds a common token. It is shorter
+    the closer x and y are: differences stand in bands of BAND_TOKENS by their size, and each comes
+    to the bands below its own with the prefix that the distance asks for.
+    """
+    parts = [d[np.lexsort((mix(d, 17), table[_counters(d)]))] for d in (own, other)]
+    order = np.concatenate(parts)
+    band = len(order) // BAND_TOKENS
+    out = []
+    for below in range(min(band, -(-most // BAND_TOKENS)) + 1):
+        length = min(((below + 1) * BAND_TOKENS + most) // 2 + 1, most + 1)
+        out.append(mix(order[:length], 1 + band - below))
+    return out[0].view(np.int64), np.concatenate([out[0][:0], *out[1:]]).view(np.int64)
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int, ranks) -> DataFrame:
+    """Pairs (a, b) with whether they link, and tokens of the symmetric difference of their sets.
+
+    Sets that link differ in H tokens at most, a share of their sizes. For a
+    centre b, the difference of two sets is that of their differences from b. So
+    either both differences are as small together, and then both sets link to b, or they
+    share some of the tokens. Rare tokens that the centre lacks come first: the
+    centre's own are common to all differences.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks.value
+        for batch in batches:
+            linked, found = np.zeros(batch.num_rows, bool), []
+            for k in range(batch.num_rows):
+                x = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint64)
+                c = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
+                own, other = np.setdiff1d(x, c, True), np.setdiff1d(c, x, True)
+                shared = len(x) - len(own)
+                linked[k] = 100 * shared >= percent * (len(x) + len(c) - shared)
+                most = (len(x) + 100 * len(x) // percent) * (100 - percent) // (100 + percent)
+                found.append(_difference_tokens(own, other, most, table))
+            lists = [pa.array([f[side] for f in found], pa.list_(pa.int64())) for side in (0, 1)]
+            columns = [*batch.columns[:2], pa.array(linked), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "tokens", "probes"])
+
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    return with_b.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, tokens array<long>, probes array<long>")
+
+
 def near_duplicate_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -301,7 +356,11 @@ def near_duplicate_components(
         and case when n_a < n_b then indexed_a when n_a > n_b then indexed_b else indexed_a and indexed_b end
         and least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {_least_overlap("n_a", "n_b", percent)}"""
     )
-    roots = link_buckets(workspace, postings, ["n", "pos", "indexed"], F.col("pos"), fits, verify, "indexed")
+    roots = link_buckets(
+        workspace, postings, ["n", "pos", "indexed"], F.col("pos"), fits, verify, "indexed",
+        differences=lambda pairs: _differences(pairs, sets, percent, ranks),
+        near_size=F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"),
+    )
 
     # Nodes carry several rows; the component's id is the smallest of all of them.
     labelled = summary.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn(
