@@ -376,30 +376,3 @@ def test_empty_tables_give_empty_results(no_docs, spark):
     assert rules.apply_rules(no_docs).count() == 0
     assert mixture.mix_sources(no_docs).count() == 0
     assert quality.score_quality(no_docs, quality.train_quality(no_docs, labels)).count() == 0
-
-
-def test_documents_around_one_centre_are_not_all_paired(spark, monkeypatch):
-    """500 documents, each just too far from a common text, a few of them close to each other."""
-    import random
-
-    rng = random.Random(7)
-    base = [f"w{k}" for k in range(400)]
-    rows = [(0, " ".join(base))]
-    for k in range(1, 501):
-        words = base[:]
-        for spot in rng.sample(range(0, 400, 4), 12):
-            words[spot] = f"own{k}x{spot}"
-        rows.append((k, " ".join(words)))
-        if k % 100 == 0:
-            words[rng.randrange(400)] = "other"
-            rows.append((1000 + k, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    verified, cut = [], []
-    verify, differences = ngram_join._verify, ngram_join._differences
-    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *a: verified.append(pairs.count()) or verify(pairs, *a))
-    monkeypatch.setattr(ngram_join, "_differences", lambda pairs, *a: cut.append(pairs.count()) or differences(pairs, *a))
-    out = ngram_join.near_duplicate_components(docs, shingle=3, percent=90).collect()
-    assert sorted((r.doc_id, r.component_id) for r in out) == sorted((i, c) for i, _, c in plain.near_components(rows, 3, 90))
-    assert sum(r.component_id != r.doc_id for r in out) >= 5
-    # All pairs would be 125,000.
-    assert sum(verified) + sum(cut) < 20 * len(rows) and cut
