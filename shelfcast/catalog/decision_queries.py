@@ -319,6 +319,7 @@ b AS (SELECT *, greatest(demand - stock, 0) AS short, greatest(stock - demand, 0
 d AS (SELECT *, {py2('short * price')} AS lost, {py2('short')} AS short2, {py2('extra')} AS extra2,
   {py2('low * 4.0')} AS month_low, {py2('demand * 4.0')} AS month_avg, {py2('high * 4.0')} AS month_high
   FROM b)"""
+# Fixed texts: the messages and explanations that the decisions must carry.
 MESSAGE = band_case(
     "'⚠️ URGENT: Stock critically low! You have ' || stock || ' units but need at least ' || low || ' units.'",
     "'⚡ Stock is low. You have ' || stock || ' units but predicted demand is ' || demand || ' units.'",
