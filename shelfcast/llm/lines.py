@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bitmap import build_bitmap, passes
 from .buckets import link_buckets
 from .tables import Workspace, plain_names
-from .words import fold_ascii, hash_spans, mix, slices, spans, text_bytes
+from .words import binary_content, fold_ascii, hash_spans, mix, slices, spans, text_bytes
 
 # A cut is the smallest word hash among so many words on either side.
 RADIUS = 3
@@ -43,8 +43,10 @@ LEAST_END, MOST_END, END_SHARE = 2, 4, 6
 SMALL = 8
 # Edit similarity of word sequences, in percent; the keys are made for this or more.
 PERCENT = 80
+# Cells of a band of the edit table that are worked on at once.
+CELLS = 1 << 17
 # 64-bit numbers of word parities.
-PARITIES = 2
+PARITIES = 4
 MARKS = [f"parity{k}" for k in range(PARITIES)]
 
 
@@ -171,40 +173,74 @@ def near_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
     return np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two word sequences, or any number above ``most`` if it is larger."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    head = int(differ[0]) if len(differ) else n
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    tail = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a) or len(b) - len(a) > most:
-        return len(b)
-    if len(a) == 1:
-        return len(b) - int(a[0] in b)
-    # Only the cells within ``most`` of the diagonal can stay at or below it.
-    far = most + 1
-    column = np.arange(len(b) + 1)
-    row = np.minimum(column, far)
-    for i in range(1, len(a) + 1):
-        low, high = max(0, i - most), min(len(b), i + most)
-        new = np.full(len(b) + 1, far)
-        if low == 0:
-            new[0] = min(i, far)
-        begin = max(low, 1)
-        best = np.minimum(row[begin : high + 1] + 1, row[begin - 1 : high] + (b[begin - 1 : high] != a[i - 1]))
-        span = np.arange(begin - 1, high + 1)
-        run = np.minimum.accumulate(np.r_[new[begin - 1], best] - span) + span
-        new[begin : high + 1] = np.minimum(run[1:], far)
-        row = new
-        if row.min() >= far:
-            return far
-    return int(row[-1])
+def _within(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether row k of ``x`` (n[k] words) and of ``y`` (m[k] words) are at most most[k] edits apart.
+
+    All pairs go through the band around the diagonal of their edit tables
+    together, one word of ``x`` at a time; a pair leaves when its row of the
+    table has no cell in reach, or with its last word.
+    """
+    band = int(most.max())
+    offset = np.arange(-band, band + 1)
+    far = np.int32(x.shape[1] + y.shape[1] + 2 * band + 2)
+    padded = np.zeros((len(x), x.shape[1] + 2 * band + 1), np.uint32)
+    padded[:, band : band + y.shape[1]] = y[:, : padded.shape[1] - band]
+    row = np.repeat(np.where(offset >= 0, offset, far)[None].astype(np.int32), len(x), 0)
+    out = np.zeros(len(x), bool)
+    open_ = np.arange(len(x))
+    slope = np.arange(2 * band + 1, dtype=np.int32)
+    for i in range(x.shape[1] + 1):
+        if i:
+            new = row + (padded[:, i - 1 : i + 2 * band] != x[:, i - 1 : i])
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            row = np.minimum.accumulate(new - slope, axis=1) + slope
+        done = n[open_] == i
+        if done.any():
+            ended = open_[done]
+            place = m[ended] - n[ended] + band
+            out[ended] = row[done, place] <= most[ended]
+        alive = ~done & (row.min(axis=1) <= most[open_])
+        if done.any() or 4 * int(alive.sum()) < 3 * len(alive):
+            open_, row, x, padded = open_[alive], row[alive], x[alive], padded[alive]
+            if not len(open_):
+                break
+    return out
+
+
+def near_sequences(a: pa.Array, b: pa.Array, percent: int) -> np.ndarray:
+    """Whether the words of each pair (32-bit hashes, as binary) have an edit similarity of ``percent`` or more."""
+    sides = []
+    for values in (a, b):
+        content, bounds = binary_content(values)
+        sides.append((np.frombuffer(content.tobytes(), np.uint32), (bounds - bounds[0]) // 4))
+    (x, at_x), (y, at_y) = sides
+    n, m = np.diff(at_x), np.diff(at_y)
+    swap = n > m
+    words = np.concatenate([x, y])
+    at_x, at_y = at_x[:-1], at_y[:-1] + len(x)
+    at_x, at_y = np.where(swap, at_y, at_x), np.where(swap, at_x, at_y)
+    n, m = np.minimum(n, m), np.maximum(n, m)
+    most = m * (100 - percent) // 100
+    out = np.zeros(len(n), bool)
+    order = np.lexsort((m, n))
+    order = order[(m - n <= most)[order]]
+
+    def padded(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(at), int(size.max())), np.uint32)
+        inside = np.arange(wide.shape[1]) < size[:, None]
+        wide[inside] = words[(at[:, None] + np.arange(wide.shape[1]))[inside]]
+        return wide
+
+    begin = 0
+    while begin < len(order):
+        # Pairs of about the same length, as many as the cells allow.
+        size = m[order[begin]]
+        width = max(2 * int(size), 1)
+        end = min(begin + max(1, CELLS // width), int(np.searchsorted(n[order], max(size, 8) * 5 // 4, "right")))
+        some = order[begin : max(end, begin + 1)]
+        out[some] = _within(padded(at_x[some], n[some]), padded(at_y[some], m[some]), n[some], m[some], most[some])
+        begin += len(some)
+    return out
 
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
@@ -263,7 +299,7 @@ def _keyed_lines(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _sequences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, words): word hashes of the wanted lines."""
+    """(node, words): 32 bits of the word hashes of the wanted lines."""
     bitmap = docs.sparkSession.sparkContext.broadcast(build_bitmap(wanted, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +307,14 @@ def _sequences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
             for _, _, words, starts, sizes in line_table(batch.column(0)):
                 ids = line_ids(words, starts, sizes)
                 maybe = np.flatnonzero(passes(bitmap.value, ids))
+                # Zero stands for no word.
+                short = np.maximum(words.astype(np.uint32), np.uint32(1))
                 nodes, where = np.unique(ids[maybe], return_index=True)
                 where = maybe[where]
                 yield pa.record_batch(
                     [
                         pa.array(nodes),
-                        pa.array([words[starts[k] : starts[k] + sizes[k]].tobytes() for k in where], pa.binary()),
+                        pa.array([short[starts[k] : starts[k] + sizes[k]].tobytes() for k in where], pa.binary()),
                     ],
                     ["node", "words"],
                 )
@@ -354,12 +392,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verify(pairs: DataFrame) -> DataFrame:
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = np.zeros(batch.num_rows, bool)
-                for k in range(batch.num_rows):
-                    x = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint64)
-                    y = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
-                    most = max(len(x), len(y)) * (100 - percent) // 100
-                    keep[k] = edit_distance(x, y, most) <= most
+                keep = near_sequences(batch.column(2), batch.column(3), percent)
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
         with_a = pairs.join(sequences.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
