@@ -10,7 +10,7 @@ lines are joined on equal ones. Lines of nine words or less, which one edit at
 most may part, are joined on the SimHashes of the line with each word left out;
 these find all of them. Blocks do not: where edits are so many that they reach
 every block, a near line is missed. Of the near pairs that brute force finds in
-the given documents they share 0.98 (README, and a test).
+the given documents 0.97 or more share a key (README, and a test).
 
 Near lines are linked into groups; of each group the first occurrence stays.
 """
