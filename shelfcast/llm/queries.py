@@ -196,29 +196,37 @@ with d as (
       unnest([k_lower, k_upper, k_digit, k_high, n_symbols, chars - word_chars,
         word_chars - k_lower - k_upper - k_digit - k_high - n_symbols]) as n from b)
   union all
-  select rid, lang, base_failed, 'w', lower(word), count(*) from (select rid, lang, base_failed, unnest(wl) as word from b)
-  where lower(word) in (WORDS) group by all
+  select rid, lang, base_failed, 'w', case when word in (WORDS) then word else ' others' end, count(*)
+  from (select rid, lang, base_failed, lower(unnest(wl)) as word from b) group by all
 ), q as (
   select lang, kind, name, sum(n) / sum(sum(n)) over (partition by lang, kind) as q from h where not base_failed group by lang, kind, name
 ), p as (
-  select rid, lang, kind, name, n / nullif(sum(n) over (partition by rid, kind), 0) as p, sum(n) over (partition by rid, kind) as seen from h
+  select rid, lang, kind, name, n / nullif(sum(n) over (partition by rid, kind), 0) as p from h
 ), z as (
   -- A name that only the language has adds half its share.
-  select rid, p.kind, any_value(seen) as seen,
+  select rid, p.kind,
     sum(case when p > 0 then p * log2(p / ((p + coalesce(q, 0)) / 2)) else 0 end
       + case when q > 0 then q * log2(q / ((coalesce(p, 0) + q) / 2)) else 0 end) + (1 - sum(coalesce(q, 0))) as twice,
     count(q) > 0 as known
   from p left join q on p.kind = q.kind and p.name = q.name and p.lang is not distinct from q.lang group by rid, p.kind
 ), j as (
   select rid, max(sqrt(greatest(twice / 2, 0))) filter (kind = 'c' and known) as js_c,
-    max(sqrt(greatest(twice / 2, 0))) filter (kind = 'w' and known and seen >= 40) as js_w
+    round(max(sqrt(greatest(twice / 2, 0))) filter (kind = 'w' and known), 6) as js_w
   from z group by rid
+), e as (
+  select *, js_c as js_characters, js_w as js_words from b left join j using (rid)
+), u as (
+  select lang, count(*)::double as n, sum(m)::double as s, sum(m * m)::double as s2
+  from (select lang, round(js_words * 1000000)::hugeint as m from e where n_words >= 50 and not base_failed and js_words is not null)
+  group by lang
+), v as (
+  select lang, greatest((s / n + 2 * sqrt(greatest(s2 / n - (s / n) * (s / n), 0))) / 1000000, 0.15::double) as most from u
 )
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-  round(case when n_words >= 50 then js_c end, 6) as js_characters, round(js_w, 6) as js_words,
-  not base_failed and not coalesce(n_words >= 50 and js_c > 0.3, false) and not coalesce(js_w > 0.6, false) as kept
-from b left join j using (rid)
+  round(case when n_words >= 50 then js_characters end, 6) as js_characters, case when n_words >= 50 then js_words end as js_words,
+  not base_failed and not coalesce(n_words >= 50 and (js_characters > 0.3 or js_words > most), false) as kept
+from e left join v on e.lang is not distinct from v.lang
 """.replace("WORDS", ", ".join(f"'{w}'" for w in dict.fromkeys(rules.COMMON_WORDS)))
 
 

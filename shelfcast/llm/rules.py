@@ -1,9 +1,11 @@
 """Quality rules: form counts, and divergence from the language's usual characters and words.
 
-Each document's histogram of character classes and of common words is compared
-with the one of all documents of its language, by Jensen-Shannon distance. Short
-documents are not judged by it. Everything is DataFrame functions: a document is
-one row throughout, and only sums per language are shuffled.
+Each document's histogram of character classes and of common words (all other
+words are one more bin) is compared with the one of all documents of its
+language, by Jensen-Shannon distance. Characters fail above a fixed distance,
+words above what is usual in the language: its mean distance and two standard
+deviations. Short documents are not judged. Everything is DataFrame functions: a
+document is one row throughout, and only sums per language are shuffled.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ SYMBOLS = "#*$%&|<>"
 # Character classes counted by deleting everything else.
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "high": r"\x{80}-\x{10FFFF}"}
 HISTOGRAM = ["lower", "upper", "digit", "high", "symbol", "space", "mark"]
-# Words a document needs before its characters, and common words before its words, are judged.
+# Words a document needs before its histograms are judged.
 LEAST_WORDS = 50
-LEAST_COMMON = 40
-# Largest distances that pass.
+# Largest distance of characters that passes.
 MOST_CHARACTERS = 0.3
-MOST_WORDS = 0.6
+# Distances of words pass up to so many standard deviations above the language's mean, and always up to the floor.
+WORD_DEVIATIONS = 2
+WORD_FLOOR = 0.15
 GRAM = 5
 
 
@@ -163,7 +166,9 @@ def apply_rules(
     Null text: as the empty text (no words, so base_failed). Null language: a
     language of its own. The language's histograms add up all its documents that
     pass the base rules; without any there is no distance and nothing to fail.
-    Repeated rows count repeatedly.
+    The mean and deviation of word distances are those of the documents that the
+    histograms judge, from sums of whole millionths, so reruns agree. Repeated
+    rows count repeatedly.
     """
     spark = docs.sparkSession
     workspace = Workspace(spark, "rules")
@@ -179,7 +184,8 @@ def apply_rules(
     counts["space"] = c["chars"] - c["word_chars"]
     known = [counts[name] for name in HISTOGRAM[:-1]]
     classes = F.array(*known, c["chars"] - sum(known[1:], known[0]))
-    words = c["words"]["common"]
+    common = c["words"]["common"]
+    words = F.concat(common, F.array(n_words - array_sum(common)))
     counted = counted.withColumns({"_p_classes": classes, "_p_words": words})
 
     def sums(column: str, width: int) -> Column:
@@ -188,24 +194,48 @@ def apply_rules(
     reference = (
         counted.where(~failed)
         .groupBy(F.col("_lang").alias("_of"))
-        .agg(sums("_p_classes", len(HISTOGRAM)).alias("_q_classes"), sums("_p_words", len(COMMON_WORDS)).alias("_q_words"))
+        .agg(sums("_p_classes", len(HISTOGRAM)).alias("_q_classes"), sums("_p_words", len(COMMON_WORDS) + 1).alias("_q_words"))
     )
     joined = counted.join(workspace.write(reference, "reference"), F.col("_lang").eqNullSafe(F.col("_of")), "left")
-    by_class = distance(F.col("_p_classes"), F.col("_q_classes"))
-    by_word = distance(F.col("_p_words"), F.col("_q_words"))
-    seen = array_sum(F.col("_p_words"))
-    result = joined.select(
-        *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep_cols)],
+    long = n_words >= LEAST_WORDS
+    measured = joined.select(
+        *[f"k{k}" for k in range(len(keep_cols))],
+        "_lang",
         n_words.alias("n_words"),
         c["word_chars"].alias("word_chars"),
         c["symbol"].alias("n_symbols"),
         c["n_dup_lines"].alias("n_dup_lines"),
         c["words"]["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.when(n_words >= LEAST_WORDS, by_class).alias("js_characters"),
-        F.when(seen >= LEAST_COMMON, by_word).alias("js_words"),
+        F.when(long, distance(F.col("_p_classes"), F.col("_q_classes"))).alias("js_characters"),
+        F.when(long, F.round(distance(F.col("_p_words"), F.col("_q_words")), 6)).alias("js_words"),
+    )
+    measured = workspace.write(measured, "measured")
+
+    # Sums of whole numbers do not depend on their order.
+    millionths = F.round(F.col("js_words") * 1_000_000).cast("decimal(20,0)")
+    usual = (
+        measured.where(~F.col("base_failed") & F.col("js_words").isNotNull())
+        .groupBy(F.col("_lang").alias("_of"))
+        .agg(F.count("*").alias("n"), F.sum(millionths).cast("double").alias("s"), F.sum(millionths * millionths).cast("double").alias("s2"))
     )
+    mean = F.col("s") / F.col("n")
+    deviation = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
+    most = F.greatest((mean + WORD_DEVIATIONS * deviation) / 1_000_000, F.lit(WORD_FLOOR))
+    usual = workspace.write(usual.select("_of", most.alias("_most")), "usual")
+    result = measured.join(usual, F.col("_lang").eqNullSafe(F.col("_of")), "left")
     diverges = F.coalesce(F.col("js_characters") > MOST_CHARACTERS, F.lit(False)) | F.coalesce(
-        F.col("js_words") > MOST_WORDS, F.lit(False)
+        F.col("js_words") > F.col("_most"), F.lit(False)
+    )
+    return result.select(
+        *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep_cols)],
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "js_characters",
+        "js_words",
+        (~F.col("base_failed") & ~diverges).alias("kept"),
     )
-    return result.withColumn("kept", ~F.col("base_failed") & ~diverges)

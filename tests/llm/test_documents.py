@@ -346,6 +346,18 @@ def test_a_text_in_strange_characters_diverges(spark):
     assert not kept[99] and kept[98] and all(kept[k] for k in range(30))
 
 
+def test_a_long_text_without_common_words_diverges(spark):
+    good = [(k, " ".join(f"the word{k}x{j} of{'' if j % (k + 2) else ' to'}" for j in range(40)), "en") for k in range(60)]
+    odd = (99, " ".join(f"noun{j}" for j in range(200)), "en")
+    other = (98, odd[1], None)
+    df = spark.createDataFrame([*good, odd, other], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in rules.apply_rules(df).collect()}
+    assert rows[99].js_words > 0.5 and rows[99].js_characters < rules.MOST_CHARACTERS and not rows[99].kept
+    # Alone in its language it is what is usual there.
+    assert rows[98].js_words == 0 and rows[98].kept
+    assert all(rows[k].kept and rows[k].js_words is not None for k in range(60))
+
+
 def test_mixture_reaches_its_targets(spark):
     rows = [(k, " ".join(["w"] * (20 + k % 30)), f"s{k % 5}" if k % 3 else "s0") for k in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -37,6 +37,15 @@ def test_classifier_is_right_on_held_out_documents(spark):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.95
 
 
+def test_rules_reject_what_labels_call_bad(spark):
+    out = queries.QUERIES["op6_quality_rules"](spark, MEDIUM)
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    rows = out.join(labels, "doc_id").select("kept", "quality", "n_words", "js_words").collect()
+    assert sum(r.kept for r in rows if r.quality == 0) <= 3
+    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.95
+    assert all((r.js_words is not None) == (r.n_words >= 50) for r in rows)
+
+
 def test_stages_follow_each_other(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
