@@ -3,12 +3,16 @@
 Suffixes are kept only where content selects them: at the smallest hash among
 ``least_words - GRAM + 1`` neighbouring grams of ``GRAM`` words, so every passage
 of ``least_words`` words holds a selected position, the same in all its copies.
-Suffixes whose gram occurs in one document only are left out. Of the others, a
-passage of ``least_words`` words around a gram is the gram, some l words before
-it and the remaining ones after it: grouping by these for every l finds all
-passages that two documents share. Suffixes whose whole surroundings two
-documents share have all of them and are not grouped again. Matches of
-neighbouring positions overlap, so merged they give whole passages.
+Suffixes whose gram occurs in one document only are left out. The others are
+sorted twice, by the gram with the words that follow and by the gram with those
+that precede, and each is compared with its nearest neighbours of other
+documents. The match is extended to both sides: it is a passage if it has
+``least_words`` words. The neighbours also tell how far any other document goes
+along on either side, so with how many words before the gram a passage can
+begin. Where the neighbours show none for such a number, suffixes are grouped by
+the gram, so many words before it and the remaining ones after it, which finds
+passages that other documents hide in both orders. Matches of neighbouring
+positions overlap, so merged they give whole passages.
 """
 
 from __future__ import annotations
@@ -19,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bitmap import build_bitmap, passes
 from .tables import Workspace
-from .words import fold_ascii, gram_hashes, hash_spans, slices, spans, text_bytes
+from .words import binary_content, fold_ascii, gram_hashes, hash_spans, mix, slices, spans, text_bytes
 
 GRAM = 32
 LEAST_WORDS = 50
@@ -84,43 +87,143 @@ def _binary(rows: np.ndarray, size: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-ROW_NAMES = ("gram", "right", "left", "n_right", "n_left", "doc", "pos", "id")
+def _context_ids(gram: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each gram with its surroundings."""
+    out = gram
+    for k in range(before.shape[1]):
+        out = mix(out ^ (before[:, k].astype(np.uint64) << np.uint64(32) | after[:, k].astype(np.uint64)), 5)
+    return out.view(np.int64)
 
 
-def _extents(rows: DataFrame, reach: int, workspace: Workspace) -> DataFrame:
+def _extent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal words at the start of each row of two matrices; 0 is no word."""
+    differ = (a != b) | (a == 0)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def _neighbours(contexts: DataFrame, reach: int, side: str, workspace: Workspace) -> DataFrame:
+    """(context, gram, far, least, most, twin) from the order by the gram and the words on one side.
+
+    far: words on this side that at most another document shares; at the ends
+    of a batch of sorted rows, where a neighbour is out of sight, all there are.
+    least, most: words before the gram with which passages shared with a
+    neighbour begin, null without one; twin: a document of it.
+    """
+    schema = "context long, gram long, far int, least int, most int, twin long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            gram, low, high = (batch.column(c).to_numpy() for c in ("gram", "low", "high"))
+            words = {}
+            for c in ("left", "right"):
+                content, bounds = binary_content(batch.column(c))
+                words[c] = np.frombuffer(content[bounds[0] : bounds[-1]].tobytes(), ">u4").reshape(n, reach)
+            # Rows of one document only, one behind the other, look for their neighbours around all of them.
+            new = np.ones(n, bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (low[1:] != low[:-1]) | (high[1:] != low[:-1]) | (low[1:] != high[:-1])
+            starts = np.flatnonzero(new)
+            number = np.cumsum(new) - 1
+            far = np.zeros(n, np.int64)
+            least, most, twin = np.full(n, reach + 1), np.full(n, -1), np.zeros(n, np.int64)
+            for partner in (starts[number] - 1, np.r_[starts[1:], n][number]):
+                seen = (partner >= 0) & (partner < n)
+                far[~seen] = reach
+                me = np.flatnonzero(seen)
+                me = me[gram[partner[me]] == gram[me]]
+                other = partner[me]
+                shared = {c: _extent(w[me], w[other]) for c, w in words.items()}
+                far[me] = np.maximum(far[me], shared[side])
+                found = shared["left"] + shared["right"] >= reach
+                me, other = me[found], other[found]
+                twin[me] = np.where(low[other] != low[me], low[other], high[other])
+                least[me] = np.minimum(least[me], reach - shared["right"][found])
+                most[me] = np.maximum(most[me], shared["left"][found])
+            far = np.minimum(far, (words[side] > 0).sum(axis=1))
+            none = most < 0
+            yield pa.record_batch(
+                [
+                    batch.column("context"),
+                    batch.column("gram"),
+                    pa.array(far.astype(np.int32)),
+                    pa.array(least.astype(np.int32), mask=none),
+                    pa.array(most.astype(np.int32), mask=none),
+                    pa.array(twin, mask=none),
+                ],
+                ["context", "gram", "far", "least", "most", "twin"],
+            )
+
+    order = ["gram", side, "right" if side == "left" else "left"]
+    rows = contexts.select("context", "gram", "left", "right", "low", "high")
+    found = rows.repartitionByRange(*order).sortWithinPartitions(*order, "context").mapInArrow(run, schema)
+    out = workspace.write(found, f"by-{side}")
+    workspace.release()
+    return out
+
+
+def _extents(contexts: DataFrame, reach: int, workspace: Workspace) -> DataFrame:
     """(context, low, high, least, most): of suffixes with equal surroundings, the words before the gram
     with which a passage may begin, and one or two documents of which one at least is another one."""
-    around = ["gram", "left", "right", "n_left", "n_right"]
-    contexts = rows.groupBy(*around).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    contexts = workspace.write(contexts.withColumn("context", F.xxhash64("gram", "left", "right")), "contexts")
-    workspace.release()
-    reached = F.col("n_left") + F.col("n_right") >= reach
-    least = F.greatest(reach - F.col("n_right"), F.lit(0))
-    whole = contexts.where("low <> high").where(reached)
-    whole = whole.select("context", "low", "high", least.alias("least"), F.col("n_left").alias("most"))
+    n_left, n_right = (f"(length({c}) - 4 * size(filter(sequence(0, {reach - 1}), k -> substring({c}, 4 * k + 1, 4) = x'00000000'))) div 4" for c in ("left", "right"))
+    whole = contexts.where("low <> high").select(
+        "context", "low", "high", F.expr(f"int(greatest({reach} - {n_right}, 0))").alias("least"), F.expr(f"int({n_left})").alias("most")
+    )
 
     # Surroundings of one document can meet others of the same gram only.
     edge = contexts.groupBy("gram").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.col("low") == F.col("high")).alias("single")
     )
     grams = workspace.write(edge.where("low <> high and single").select("gram"), "grams")
-    some = contexts.where(reached).join(grams, "gram", "left_semi")
-    keys = some.select("*", F.explode(F.sequence(least, F.col("n_left"))).alias("l"))
-    keys = keys.select(
+    some = workspace.write(contexts.join(grams, "gram", "left_semi"), "sorted")
+    workspace.release()
+    after, before = (_neighbours(some, reach, side, workspace) for side in ("right", "left"))
+    seen = after.select("context", "gram", (reach - F.col("far")).alias("lo"), F.lit(None).cast("int").alias("hi"), "least", "most", "twin")
+    seen = seen.unionByName(
+        before.select("context", "gram", F.lit(None).cast("int").alias("lo"), F.col("far").alias("hi"), "least", "most", "twin")
+    )
+    seen = seen.groupBy("context").agg(
+        F.max("gram").alias("gram"),
+        F.max("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.min("twin").alias("low"),
+        F.max("twin").alias("high"),
+    )
+    seen = workspace.write(seen, "seen")
+    workspace.release()
+    workspace.drop(after)
+    workspace.drop(before)
+    shown = seen.where("least is not null").select("context", "low", "high", "least", "most")
+
+    # Beginnings that are possible but not shown, and all suffixes that may share them.
+    possible = seen.where("lo <= hi").withColumn("l", F.explode(F.sequence("lo", "hi")))
+    hidden = possible.where("least is null or l < least or l > most").join(
+        some.where("low = high").select("context"), "context", "left_semi"
+    )
+    hidden = workspace.write(hidden.select("gram", "l").distinct(), "hidden")
+    keys = possible.select("context", "gram", "l").join(hidden, ["gram", "l"], "left_semi").select("context", "l")
+    keys = keys.join(some.select("context", "gram", "left", "right", "low", "high"), "context").select(
         "context",
         "low",
         "high",
         "l",
         F.expr(f"xxhash64(gram, l, substring(left, 1, 4 * l), substring(right, 1, 4 * ({reach} - l)))").alias("key"),
     )
+    keys = workspace.write(keys, "keys")
+    workspace.release()
     ends = keys.groupBy("key").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
-    ends = workspace.write(ends, "ends")
+    found = keys.where("low = high").join(workspace.write(ends, "ends"), "key")
+    found = found.select("context", F.col("first").alias("low"), F.col("last").alias("high"), F.col("l").alias("least"), F.col("l").alias("most"))
+    every = whole.unionByName(shown).unionByName(found).groupBy("context")
+    out = every.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"))
+    out = workspace.write(out, "extents")
     workspace.release()
-    found = keys.where("low = high").join(ends, "key")
-    found = found.groupBy("context").agg(
-        F.min("first").alias("low"), F.max("last").alias("high"), F.min("l").alias("least"), F.max("l").alias("most")
-    )
-    return workspace.write(whole.unionByName(found), "extents")
+    for table in (some, seen, keys):
+        workspace.drop(table)
+    return out
 
 
 def repeated_passages(
@@ -135,8 +238,8 @@ def repeated_passages(
     twin_id, a document that has a part of it. Words are compared with A to Z in
     lower case, by hashes. Null or short texts: no row. Rows with equal id and
     text count as one document; null ids are documents of their own by their
-    text. Repeats inside one document only do not count.
-
+    text. Repeats inside one document only do not count. Which of several twins
+    is named may differ between runs; the passages do not.
     """
     if least_words <= GRAM:
         raise ValueError(f"least_words must be above {GRAM}")
@@ -161,47 +264,47 @@ def repeated_passages(
     bitmap = spark.sparkContext.broadcast(build_bitmap(workspace.write(repeated, "repeated"), "gram"))
     workspace.release()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            for row, pos, gram, at, words, low, high in suffixes(batch.column(2), least_words):
-                # A gram that passes by chance is sorted in vain, nothing else.
-                keep = np.flatnonzero(passes(bits, gram))
-                if not len(keep):
-                    continue
+            for row, _, gram, at, words, low, high in suffixes(batch.column(1), least_words):
+                # A gram that passes by chance is sorted in vain, nothing else. Nor can a passage be in a shorter text.
+                keep = np.flatnonzero(passes(bits, gram) & (high - low >= least_words))
                 before, after = _contexts(words, at[keep], low[keep], high[keep], reach)
-                taken = pa.array(row[keep])
-                size = 4 * reach
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(_context_ids(gram[keep], before, after)),
                         pa.array(gram[keep].view(np.int64)),
-                        _binary(after, size),
-                        _binary(before, size),
-                        pa.array(np.minimum(high[keep] - at[keep] - GRAM, reach), pa.int32()),
-                        pa.array(np.minimum(at[keep] - low[keep], reach), pa.int32()),
-                        batch.column(1).take(taken),
-                        pa.array(pos[keep]),
-                        batch.column(0).take(taken),
+                        _binary(before, 4 * reach),
+                        _binary(after, 4 * reach),
+                        batch.column(0).take(pa.array(row[keep])),
                     ],
-                    list(ROW_NAMES),
+                    ["context", "gram", "left", "right", "doc"],
                 )
 
-    id_type = docs.schema[id_col].dataType
-    row_schema = T.StructType(
-        [
-            T.StructField("gram", T.LongType()),
-            T.StructField("right", T.BinaryType()),
-            T.StructField("left", T.BinaryType()),
-            T.StructField("n_right", T.IntegerType()),
-            T.StructField("n_left", T.IntegerType()),
-            T.StructField("doc", T.LongType()),
-            T.StructField("pos", T.LongType()),
-            T.StructField("id", id_type),
-        ]
-    )
-    suffix_rows = workspace.write(keyed.mapInArrow(rows, row_schema), "rows")
-    extents = _extents(suffix_rows, reach, workspace)
-    places = suffix_rows.select("id", "doc", "pos", F.xxhash64("gram", "left", "right").alias("context"))
+    around = keyed.select("doc", "text").mapInArrow(surroundings, "context long, gram long, left binary, right binary, doc long")
+    contexts = around.groupBy("context", "gram", "left", "right").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    contexts = workspace.write(contexts, "contexts")
+    workspace.release()
+    extents = _extents(contexts, reach, workspace)
+    workspace.drop(contexts)
+    wanted = spark.sparkContext.broadcast(build_bitmap(extents, "context"))
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hits = bitmap.value, wanted.value
+        for batch in batches:
+            for row, pos, gram, at, words, low, high in suffixes(batch.column(2), least_words):
+                keep = np.flatnonzero(passes(bits, gram))
+                context = _context_ids(gram[keep], *_contexts(words, at[keep], low[keep], high[keep], reach))
+                hit = np.flatnonzero(passes(hits, context))
+                taken = pa.array(row[keep[hit]])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(pos[keep[hit]]), pa.array(context[hit])],
+                    ["id", "doc", "pos", "context"],
+                )
+
+    schema = keyed.select("id", "doc").schema.add("pos", "long").add("context", "long")
+    places = keyed.mapInArrow(positions, schema)
     # A passage with l words before the gram ends least_words later; all of one gram overlap.
     matches = places.join(extents, "context").select(
         "id",
