@@ -165,19 +165,25 @@ def _neighbours(contexts: DataFrame, reach: int, side: str, workspace: Workspace
 
 def _extents(contexts: DataFrame, reach: int, workspace: Workspace) -> DataFrame:
     """(context, low, high, least, most): of suffixes with equal surroundings, the words before the gram
-    with which a passage may begin, and one or two documents of which one at least is another one."""
+    with which a passage may begin, and one or two documents of which one at least is another one.
+
+    ``contexts`` is deleted as soon as its rows have been taken.
+    """
     n_left, n_right = (f"(length({c}) - 4 * size(filter(sequence(0, {reach - 1}), k -> substring({c}, 4 * k + 1, 4) = x'00000000'))) div 4" for c in ("left", "right"))
     whole = contexts.where("low <> high").select(
         "context", "low", "high", F.expr(f"int(greatest({reach} - {n_right}, 0))").alias("least"), F.expr(f"int({n_left})").alias("most")
     )
+    whole = workspace.write(whole, "whole")
 
     # Surroundings of one document can meet others of the same gram only.
     edge = contexts.groupBy("gram").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.col("low") == F.col("high")).alias("single")
     )
     grams = workspace.write(edge.where("low <> high and single").select("gram"), "grams")
+    workspace.release()
     some = workspace.write(contexts.join(grams, "gram", "left_semi"), "sorted")
     workspace.release()
+    workspace.drop(contexts)
     after, before = (_neighbours(some, reach, side, workspace) for side in ("right", "left"))
     seen = after.select("context", "gram", (reach - F.col("far")).alias("lo"), F.lit(None).cast("int").alias("hi"), "least", "most", "twin")
     seen = seen.unionByName(
@@ -221,7 +227,7 @@ def _extents(contexts: DataFrame, reach: int, workspace: Workspace) -> DataFrame
     out = every.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"))
     out = workspace.write(out, "extents")
     workspace.release()
-    for table in (some, seen, keys):
+    for table in (whole, some, seen, keys):
         workspace.drop(table)
     return out
 
@@ -287,7 +293,6 @@ def repeated_passages(
     contexts = workspace.write(contexts, "contexts")
     workspace.release()
     extents = _extents(contexts, reach, workspace)
-    workspace.drop(contexts)
     wanted = spark.sparkContext.broadcast(build_bitmap(extents, "context"))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
