@@ -262,7 +262,8 @@ def bucketed_features(spark, sf_dir):
     """Features of a panel saved in buckets, which no exchange moves again."""
     name = f"panel_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark)}/{name}"
-    source.save_bucketed(fixtures.retail_panel(spark, sf_dir), name, 8, path)
+    buckets = max(8, fixtures.panel_tasks(spark, sf_dir))
+    source.save_bucketed(fixtures.retail_panel(spark, sf_dir), name, buckets, path)
     return rounded(features.create_features(spark.table(name)))
 
 

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.catalog import fixtures
+from shelfcast.catalog import fixtures, panel_queries
 from shelfcast.operators.features import features_with_baseline
 
 LINES = 3_000
@@ -60,3 +60,10 @@ def test_rows_of_the_panel_do_not_depend_on_the_layout(spark, tables, small_task
     found = fixtures.retail_panel(spark, tables).collect()
     assert sorted((str(r.date), r.store_id, str(r.product_id), r.region, r.units_sold) for r in found) == expected
     assert sorted(map(str, found)) == fine
+
+
+def test_buckets_grow_with_the_sales(spark, tables, small_tasks, monkeypatch):
+    seen, save = [], panel_queries.source.save_bucketed
+    monkeypatch.setattr(panel_queries.source, "save_bucketed", lambda df, name, buckets, path: (seen.append(buckets), save(df, name, buckets, path)))
+    assert panel_queries.bucketed_features(spark, tables).count() == fixtures.retail_panel(spark, tables).count()
+    assert seen == [LINES // TASK_ROWS]
