@@ -6,6 +6,7 @@ import pytest
 
 from shelfcast.operators import models
 from shelfcast.operators.encode import encode, fit_encoders
+from shelfcast.plans.training import train_stores
 
 COLUMNS = (
     "date date, store_id string, product_id string, category string, region string, inventory_level int, units_sold int, price double, "
@@ -41,3 +42,21 @@ def test_small_encoders_do_not_move_the_rows(panel):
     coded = encode(placed, fit_encoders(panel))
     assert "SortMergeJoin" not in plan(coded)
     assert coded.rdd.getNumPartitions() == 7 and coded.filter("product_id_idx is null").isEmpty()
+
+
+def test_released_training_is_not_computed_again(panel):
+    training = train_stores(panel)
+    training.release()
+    assert "Window" not in plan(training.summary) and "Window" not in plan(training.coefficients)
+    assert sorted((r.store_id, r.records) for r in training.summary.collect()) == [(f"S{s}", 240) for s in range(3)]
+
+
+def test_cells_are_summed_without_a_sort(panel):
+    from shelfcast.operators.clean import clean_panel
+    from shelfcast.operators.features import create_features
+
+    clean = clean_panel(panel)
+    featured = encode(create_features(clean), fit_encoders(clean), ("product_id",))
+    cells = models.store_cells(models.training_rows(featured, clean, with_low=True))
+    assert "SortAggregate" not in plan(cells)
+    assert cells.groupBy("store_id").sum("n").count() == 3 and cells.filter("low[0] is null").isEmpty()
