@@ -67,3 +67,29 @@ def test_buckets_grow_with_the_sales(spark, tables, small_tasks, monkeypatch):
     monkeypatch.setattr(panel_queries.source, "save_bucketed", lambda df, name, buckets, path: (seen.append(buckets), save(df, name, buckets, path)))
     assert panel_queries.bucketed_features(spark, tables).count() == fixtures.retail_panel(spark, tables).count()
     assert seen == [LINES // TASK_ROWS]
+
+
+def test_sales_are_moved_once(spark, tables, small_tasks):
+    """Stores are looked up without sorting the sales by supplier first."""
+    plan = fixtures.retail_panel(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lookups_that_miss_or_match_twice(spark, tables, tmp_path):
+    for name in ("lineitem", "part"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    given = {
+        "supplier": ([(1, "a", 0), (2, "b", None), (3, "c", 1), (3, "d", 1), (4, "e", 9), (None, "f", 0)], "s_suppkey long, s_name string, s_nationkey int"),
+        "nation": ([(0, 0), (0, 1), (1, 0), (None, 0), (2, None)], "n_nationkey int, n_regionkey int"),
+        "region": ([(0, "R0"), (1, None), (None, "R2")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, schema) in given.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    path = str(tmp_path)
+    stores = fixtures.supplier_regions(spark, path)
+    lines = spark.read.parquet(f"{path}/lineitem.parquet").join(spark.read.parquet(f"{path}/part.parquet"), F.col("l_partkey") == F.col("p_partkey"))
+    plain = lines.join(stores, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_shipdate").cast("date").alias("date"), "l_suppkey", "p_type", "r_name")
+    expected = sorted((str(r.date), f"S{r.l_suppkey:05d}", str(r.p_type), str(r.r_name), int(max(r.units - 20, 0))) for r in plain.agg(F.sum("l_quantity").alias("units")).collect())
+    found = fixtures.retail_panel(spark, path).collect()
+    assert expected and sorted((str(r.date), r.store_id, str(r.product_id), str(r.region), r.units_sold) for r in found) == expected
