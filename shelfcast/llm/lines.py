@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bitmap import build_bitmap, passes
 from .buckets import link_buckets
 from .tables import Workspace, plain_names
-from .words import binary_content, fold_ascii, hash_spans, mix, slices, spans, text_bytes
+from .words import binary_content, fold_ascii, hash_spans, mix, slices, spans, text_bytes, tidied
 
 # A cut is the smallest word hash among so many words on either side.
 RADIUS = 3
@@ -261,7 +261,7 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
                 )
 
     schema = docs.select("_id", "_doc").schema.add("line", "long").add("node", "long")
-    return docs.select("_id", "_doc", F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select("_id", "_doc", F.col(text_col).cast("string").alias("_text")).mapInArrow(tidied(run), schema)
 
 
 def _keyed_lines(docs: DataFrame, text_col: str) -> DataFrame:
@@ -294,7 +294,7 @@ def _keyed_lines(docs: DataFrame, text_col: str) -> DataFrame:
                 )
 
     schema = f"node long, {', '.join(f'{c} long' for c in MARKS)}, n long, keys array<long>"
-    out = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    out = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(tidied(run), schema)
     return out.groupBy("node").agg(*[F.min(c).alias(c) for c in (*MARKS, "n")], F.min("keys").alias("keys"))
 
 
@@ -319,7 +319,7 @@ def _sequences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                     ["node", "words"],
                 )
 
-    lines = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "node long, words binary")
+    lines = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(tidied(run), "node long, words binary")
     return lines.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -397,7 +397,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         with_a = pairs.join(sequences.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
         with_b = with_a.join(sequences.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-        return with_b.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+        return with_b.select("a", "b", "x", "y").mapInArrow(tidied(test), "a long, b long")
 
     roots = workspace.write(link_buckets(workspace, postings, [*MARKS, "n"], F.xxhash64("node"), fits, verify), "roots")
     workspace.release()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .bitmap import build_bitmap, passes
 from .buckets import link_buckets, shared_only
 from .tables import Workspace, own_names, plain_names
-from .words import fold_ascii, gram_hashes, hash_spans, mix, slices, spans, text_bytes
+from .words import fold_ascii, gram_hashes, hash_spans, mix, slices, spans, text_bytes, tidied
 
 # Counters of the frequency sketch, and the largest rank kept of a counter: a fixed
 # 4 MB, whatever the corpus. Two shingles in one counter only share a place in the order.
@@ -98,7 +98,7 @@ def _sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     # In two steps, so that one sum never meets more than a share of the tasks.
     blocks = (
         docs.select(F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(count, "block int, counts binary")
+        .mapInArrow(tidied(count), "block int, counts binary")
         .groupBy("block", (F.spark_partition_id() % SKETCH_GROUPS).alias("share"))
         .applyInArrow(add, "block int, counts binary")
         .groupBy("block")
@@ -155,7 +155,7 @@ def _index(docs: DataFrame, text_col: str, n: int, percent: int, ranks) -> DataF
             )
 
     schema = "node long, n int, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(build, schema)
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(build), schema)
 
 
 def _summary(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _summary(docs: DataFrame, text_col: str, n: int) -> DataFrame:
                 [*kept, "_n_shingles", "_node"],
             )
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(summarize, fields)
+    return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(tidied(summarize), fields)
 
 
 def _sets(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _sets(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFram
                     packed.append(grams.tobytes())
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "grams"])
 
-    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "node long, grams binary")
+    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(emit), "node long, grams binary")
     return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -215,7 +215,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return with_b.select("a", "b", "x", "y").mapInArrow(tidied(test), "a long, b long")
 
 
 def near_duplicate_components(

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .features import NAMES, describe
 from .tables import Workspace, own_names, plain_names
+from .words import give_back, tidied
 
 # Labelled rows the model is fitted on at most: the driver holds this many rows of numbers.
 TRAIN_ROWS = 20_000
@@ -203,7 +204,7 @@ def train_quality(
     for name in names:
         schema = schema.add(name, "double")
     # Ids may repeat in docs: the bound holds for what reaches the driver, too.
-    found = rows.select("_id", "_label", "_text").mapInArrow(run, schema).orderBy(order, "_id", "_label", *names)
+    found = rows.select("_id", "_label", "_text").mapInArrow(tidied(run), schema).orderBy(order, "_id", "_label", *names)
     table = found.limit(train_rows).drop("_id").toArrow()
     x = np.stack([table.column(n).to_numpy() for n in names], axis=1) if table.num_rows else np.zeros((0, len(names)))
     return fit(x, table.column("_label").to_numpy().astype(float))
@@ -212,17 +213,20 @@ def train_quality(
 def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
     """``docs`` with quality_score (0 to 1), an earlier column of this name goes.
 
-    Only the text decides. Null text: as the empty text.
+    Only the text decides. Null text: as the empty text. Python gets the text alone and
+    returns a number; the other columns never leave the JVM.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs, own = plain_names(docs, ("quality_score",))
-    schema = docs.schema.add("score", "double")
-    names = schema.fieldNames()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = shared.value.score(describe(batch.column(len(names) - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(score)], names)
+    def run(texts: pa.Array) -> pa.Array:
+        give_back()
+        try:
+            return pa.array(shared.value.score(describe(texts)))
+        finally:
+            give_back()
 
-    rows = docs.select("*", F.col(own[text_col]).cast("string").alias("text")).mapInArrow(run, schema)
+    # Costly, so never to be computed again by a filter that is moved below it.
+    score = F.arrow_udf(run, "double").asNondeterministic()
+    rows = docs.select("*", score(F.col(own[text_col]).cast("string")).alias("score"))
     return rows.select(*own_names(own), F.col("score").alias("quality_score"))

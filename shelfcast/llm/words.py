@@ -8,7 +8,8 @@ with a probability of about 2**-64 per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,40 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64), 7)
 
 
+# What this Python worker keeps from task to task.
+resident: dict = {}
+
+
+def give_back(keeps: bool = False) -> None:
+    """Return what this Python worker has freed to the system, and unless it ``keeps`` them, what earlier stages left.
+
+    Workers stay from stage to stage; what they hold adds up with the executor's own memory.
+    """
+    if not keeps:
+        resident.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, TypeError):  # another C library
+        pass
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(run: Task, keeps: bool = False) -> Task:
+    """``run`` for ``mapInArrow``, which gives its memory back when a task ends, all but what it ``keeps``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back(keeps)
+
+    return task
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer text stands alone."""
     if len(texts) == 0:

@@ -13,7 +13,8 @@ import rows as fixture_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfcast.llm import bpe, lines, mixture, ngram_join, packing, passages, quality, rules
+from shelfcast.llm import bpe, lines, mixture, ngram_join, packing, passages, quality, rules, words
+from shelfcast.llm.features import NAMES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(TOKENIZER)
@@ -426,3 +427,21 @@ def test_empty_tables_give_empty_results(no_docs, spark):
     assert rules.apply_rules(no_docs).count() == 0
     assert mixture.mix_sources(no_docs).count() == 0
     assert quality.score_quality(no_docs, quality.train_quality(no_docs, labels)).count() == 0
+
+
+def test_scores_need_the_text_alone_in_python(spark):
+    """The other columns stay in the JVM, also those that Arrow has no type for."""
+    docs = spark.sql("SELECT id AS doc_id, concat('some words ', id) AS text, map(1, named_struct('`a.b', id)) AS other, id AS score, 'x' AS quality_score FROM range(5)")
+    docs = docs.unionByName(docs.withColumn("text", F.lit(None).cast("string")))
+    model = quality.fit(np.zeros((0, len(NAMES))), np.zeros(0))
+    out = quality.score_quality(docs, model)
+    plan = out.where("quality_score >= 0")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert out.columns == ["doc_id", "text", "other", "score", "quality_score"]
+    assert sorted((r.doc_id, r.other[1][0], r.score, r.quality_score) for r in out.collect()) == sorted((k, k, k, 0.5) for k in [*range(5)] * 2)
+
+
+def test_workers_keep_the_codec_for_its_stage_only():
+    words.resident["codec"] = object()
+    assert list(words.tidied(iter, keeps=True)([1, 2])) == [1, 2] and words.resident
+    assert list(words.tidied(iter)([1, 2])) == [1, 2] and not words.resident
