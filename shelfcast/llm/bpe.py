@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from .chunks import PIECES, ChunkEncoder, is_plain, ragged
 from .tables import Workspace, own_names, plain_names
 from .transducer import Lexicon, Merger, byte_symbols, compile_lexicon
-from .words import resident, slices, tidied
+from .words import slices
 
 # Words that are compiled, which bounds the file to a few MB.
 LEXICON_WORDS = 1 << 16
@@ -115,13 +115,16 @@ class Codec:
         return " ".join([self.token[i] for i in ids.tolist()])
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
 def codec_of(content: str, lexicon: str) -> Codec:
-    """The codec of this Python worker, which keeps its chunks from task to task of the stage."""
+    """The codec of this Python worker, which keeps its chunks from task to task."""
     key = (content, lexicon)
-    if key not in resident:
-        resident.clear()
-        resident[key] = Codec(content, SparkFiles.get(lexicon))
-    return resident[key]
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(content, SparkFiles.get(lexicon))
+    return _codecs[key]
 
 
 def count_words(docs: DataFrame, text_col: str, content: str) -> DataFrame:
@@ -156,7 +159,7 @@ def count_words(docs: DataFrame, text_col: str, content: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(count), "word binary, n long")
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -241,5 +244,5 @@ def encode_decode(
                     columns.append(pa.array([codec.decode(r) for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(*kept, F.col(text).cast("string").alias("text")).mapInArrow(tidied(run, keeps=True), schema)
+    rows = docs.select(*kept, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
     return rows.select(*own_names(own), *names[len(kept) :])
