@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import bpe, lines, mixture, ngram_join, quality
 from shelfcast.llm.tables import Workspace
-from shelfcast.session import ship_package
+from shelfcast.session import ship_package, small_batches
 
 # Near duplicates: five-word shingles, a similarity of 0.8 or more.
 SHINGLE_WORDS, NEAR_PERCENT = 5, 80
@@ -22,9 +22,14 @@ REJECT_BELOW = 0.5
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    small_batches(spark)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    ship_package(spark)
+    _prepare(spark)
     model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score_quality(docs, model)
     return scored.where(F.col("quality_score") >= REJECT_BELOW).select(*docs.columns)
@@ -35,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text. Documents that had no line with a word stay.
     """
-    ship_package(spark)
+    _prepare(spark)
     out = lines.drop_repeated_lines(docs)
     changed = F.col("n_dropped") > 0
     if "n_chars" in docs.columns:
@@ -49,7 +54,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows that repeat this id are told apart by their text, equal ones not at all.
     """
-    ship_package(spark)
+    _prepare(spark)
     workspace = Workspace(spark, "near")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     groups = ngram_join.near_duplicate_components(keyed, shingle=SHINGLE_WORDS, percent=NEAR_PERCENT)
@@ -77,13 +82,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate asks for."""
-    ship_package(spark)
+    _prepare(spark)
     return mixture.mix_sources(docs)
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token_ids, the text decoded from them and n_tokens of every row."""
-    ship_package(spark)
+    _prepare(spark)
     out = bpe.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER))
     return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import Workspace, components
@@ -14,9 +14,11 @@ CENTRE_ROUNDS = 2
 
 
 def shared_only(postings: DataFrame) -> DataFrame:
-    """Rows of buckets with two nodes at least; minima and maxima combine before the shuffle."""
-    edge = postings.groupBy("token").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
-    return postings.join(edge.where("_low <> _high").select("token"), "token", "left_semi")
+    """Rows of buckets with two nodes at least. The rows are moved once: most tokens are met
+    once by a task, so minima and maxima would be as many as the rows they are joined to."""
+    bucket = Window.partitionBy("token")
+    edges = {"_low": F.min("node").over(bucket), "_high": F.max("node").over(bucket)}
+    return postings.withColumns(edges).where("_low <> _high").drop("_low", "_high")
 
 
 def link_buckets(

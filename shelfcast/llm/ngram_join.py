@@ -121,11 +121,18 @@ def _least_overlap(a: str, b: str, percent: int) -> str:
     return f"((({a} + {b}) * {percent} + {100 + percent - 1}) div {100 + percent})"
 
 
+def _prefix(grams: np.ndarray, order: int, length: int, table: np.ndarray) -> np.ndarray:
+    """The first ``length`` shingles of a set under an order (as signed 64 bits)."""
+    rank = table[_counters(grams)].astype(np.uint64) << np.uint64(56)
+    key = rank | (mix(grams, 1000 + order) >> np.uint64(8))
+    part = np.argpartition(key, length - 1)[:length] if length < len(grams) else np.arange(len(grams))
+    return grams[part[np.argsort(key[part])]].view(np.int64)
+
+
 def _index(docs: DataFrame, text_col: str, n: int, percent: int, ranks) -> DataFrame:
-    """A row per distinct set of a task: node, n, and its prefix under each order."""
+    """A row per distinct set of a task: node, n, and its prefix under the first order."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
         seen: set[int] = set()
         for batch in batches:
             rows: list[tuple] = []
@@ -135,27 +142,39 @@ def _index(docs: DataFrame, text_col: str, n: int, percent: int, ranks) -> DataF
                     continue
                 seen.add(node)
                 size = len(grams)
-                probing = _prefix_length(size, percent)
-                rank = table[_counters(grams)].astype(np.uint64) << np.uint64(56)
-                prefixes = []
-                for order in range(ORDERS):
-                    key = rank | (mix(grams, 1000 + order) >> np.uint64(8))
-                    # The first order's prefix is longer: see SHARED.
-                    length = min(size, probing + SHARED - 1) if order == 0 else probing
-                    part = np.argpartition(key, length - 1)[:length] if length < size else np.arange(size)
-                    prefixes.append(grams[part[np.argsort(key[part])]].view(np.int64))
-                rows.append((node, size, *prefixes))
+                # The first order's prefix is longer: see SHARED.
+                length = min(size, _prefix_length(size, percent) + SHARED - 1)
+                rows.append((node, size, _prefix(grams, 0, length, ranks.value)))
             yield pa.record_batch(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int32()),
-                    *[pa.array([r[2 + k] for r in rows], pa.list_(pa.int64())) for k in range(ORDERS)],
+                    pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                 ],
-                ["node", "n", *[f"p{k}" for k in range(ORDERS)]],
+                ["node", "n", "p0"],
+            )
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(build, "node long, n int, p0 array<long>")
+
+
+def _prefixes(sets: DataFrame, percent: int, ranks) -> DataFrame:
+    """(node, p1, ...): the prefixes of sets under the orders after the first."""
+    names = [f"p{k}" for k in range(1, ORDERS)]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[] for _ in names]
+            for value in batch.column(1):
+                grams = np.frombuffer(value.as_buffer(), np.uint64)
+                length = _prefix_length(len(grams), percent)
+                for k, column in enumerate(columns):
+                    column.append(_prefix(grams, k + 1, length, ranks.value))
+            yield pa.record_batch(
+                [batch.column(0), *[pa.array(c, pa.list_(pa.int64())) for c in columns]], ["node", *names]
             )
 
-    schema = "node long, n int, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(build, schema)
+    schema = "node long, " + ", ".join(f"{name} array<long>" for name in names)
+    return sets.select("node", "grams").mapInArrow(build, schema)
 
 
 def _summary(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -280,10 +299,9 @@ def near_duplicate_components(
 
     prefix_tests = [f"p{k}" for k in range(1, ORDERS)]
     touched = workspace.write(postings.select("node").distinct(), "touched")
-    prefixes = nodes.select("node", *prefix_tests).join(touched, "node", "left_semi").dropDuplicates(["node"])
-    prefixes = workspace.write(prefixes, "prefixes")
     workspace.drop(nodes)
     sets = workspace.write(_sets(docs, text_col, shingle, touched), "sets")
+    prefixes = workspace.write(_prefixes(sets, percent, ranks), "prefixes")
     workspace.release()
 
     def verify(pairs: DataFrame) -> DataFrame:

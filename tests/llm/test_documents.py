@@ -426,3 +426,33 @@ def test_empty_tables_give_empty_results(no_docs, spark):
     assert rules.apply_rules(no_docs).count() == 0
     assert mixture.mix_sources(no_docs).count() == 0
     assert quality.score_quality(no_docs, quality.train_quality(no_docs, labels)).count() == 0
+
+
+def test_stages_hand_texts_to_python_a_few_megabytes_at_a_time(spark):
+    import corpus_pipeline
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    texts = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("word "), 2_000).alias("text"))
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["bytes"])
+
+    try:
+        spark.conf.set(limit, "64m")
+        corpus_pipeline.mix_sources(spark, texts, "")
+        found = [r.bytes for r in texts.select("text").mapInArrow(measure, "bytes long").collect()]
+    finally:
+        spark.conf.set(limit, before)
+    assert sum(found) > 20_000_000 and max(found) < 6_000_000
+
+
+def test_rows_of_shared_buckets_are_moved_once(spark):
+    from shelfcast.llm.buckets import shared_only
+
+    # Tokens met twice by one node, by two nodes, and once.
+    rows = spark.createDataFrame([(1, 10, 0), (1, 10, 1), (2, 10, 0), (2, 11, 0), (2, 11, 0), (3, 12, 0)], "token long, node long, pos int")
+    kept = shared_only(rows)
+    assert sorted(map(tuple, kept.collect())) == [(2, 10, 0), (2, 11, 0), (2, 11, 0)]
+    assert kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
