@@ -11,6 +11,8 @@ from .tables import Workspace, components
 
 # Rounds that compare a bucket's rows with one centre each.
 CENTRE_ROUNDS = 2
+# Rows outside the largest component of a bucket that one task of the last round compares with the bucket's rows.
+OUTSIDERS = 1024
 
 
 def shared_only(postings: DataFrame) -> DataFrame:
@@ -21,6 +23,28 @@ def shared_only(postings: DataFrame) -> DataFrame:
     return postings.withColumns(edges).where("_low <> _high").drop("_low", "_high")
 
 
+def _across(rows: DataFrame, sides: Sequence[str]) -> DataFrame:
+    """Pairs of rows (suffixes _a and _b) of a bucket and of different components, from rows with a root.
+
+    Only rows outside the largest component of their bucket look for partners, among all of its
+    rows: no more than twice the comparisons that pairs across components need. Filters behind it
+    become part of the join, so that pairs which fail them are never made into rows. Buckets with
+    many such rows are shared out among tasks.
+    """
+    parts = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
+    parts = parts.groupBy("token").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main"), (F.sum("size") - F.max("size")).alias("out")
+    )
+    parts = parts.where("out > 0")
+    shares = F.ceil(F.col("out") / OUTSIDERS).cast("int")
+    placed = rows.join(parts, "token").withColumn("shares", shares)
+    a = placed.where("root <> main").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    b = placed.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    a = a.select("token", "share", *[F.col(c).alias(f"{c}_a") for c in sides])
+    b = b.select("token", "share", (F.col("root") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"{c}_b") for c in sides])
+    return a.join(b, ["token", "share"]).where("root_a <> root_b and (in_main or root_a < root_b)")
+
+
 def link_buckets(
     workspace: Workspace,
     postings: DataFrame,
@@ -28,19 +52,22 @@ def link_buckets(
     first_key: Column,
     fits: Column,
     verify: Callable[[DataFrame], DataFrame],
-    needed: str | None = None,
+    marks: DataFrame | None = None,
+    alike: Column | None = None,
 ) -> DataFrame:
     """(node, root) for every linked node, from rows (token, node, *attributes).
 
     Two nodes may link if they share a token and ``fits`` holds, an expression
     over each attribute (and node) with the suffixes _a and _b that must not
     depend on the sides' order; ``verify`` keeps the pairs (a, b) that do link.
-    ``needed`` names a boolean attribute that one row of a pair must have.
+    ``marks`` holds further attributes of the nodes, too wide for all rounds, for
+    ``alike``, an expression like ``fits`` that the last round tests as well.
     A few rounds compare each bucket's rows with one centre: first the row with
     the smallest ``first_key``, then others. Rows that are connected by then are
-    never compared again. A last round takes all pairs of different components
-    that still share a bucket, so every link between components is found. A
-    group of n rows around a centre costs n comparisons.
+    never compared again. A last round compares all pairs of different components
+    that still share a bucket, so every link between components is found; only
+    pairs that pass ``fits`` and ``alike`` become rows. A group of n rows around a
+    centre costs n comparisons.
     """
     spark = postings.sparkSession
     sides = ("node", *attributes, "root")
@@ -62,17 +89,11 @@ def link_buckets(
                 *[F.col(c).alias(f"{c}_a") for c in sides], *[F.col(f"c.{c}").alias(f"{c}_b") for c in sides]
             )
         else:
-            flag = F.max(needed) if needed else F.lit(True)
-            groups = rows.groupBy("token", F.col("root").alias("root_a")).agg(flag.alias("needed_a"))
-            other = groups.toDF("token", "root_b", "needed_b")
-            a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in sides])
-            b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in sides])
-            pairs = (
-                groups.join(other, "token")
-                .where("root_a < root_b and (needed_a or needed_b)")
-                .join(a, ["token", "root_a"])
-                .join(b, ["token", "root_b"])
-            )
+            wide = [] if marks is None else [c for c in marks.columns if c != "node"]
+            marked = rows if marks is None else rows.join(marks, "node")
+            pairs = _across(marked, [*sides, *wide])
+            if alike is not None:
+                pairs = pairs.where(fits).where(alike)
         pairs = pairs.where(fits).select(
             F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
         )

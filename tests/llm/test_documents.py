@@ -456,3 +456,47 @@ def test_rows_of_shared_buckets_are_moved_once(spark):
     kept = shared_only(rows)
     assert sorted(map(tuple, kept.collect())) == [(2, 10, 0), (2, 11, 0), (2, 11, 0)]
     assert kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_unlike_documents_of_a_family_are_not_paired(spark, monkeypatch):
+    # All pairs share rare shingles and stay a little below the threshold.
+    base = fixture_rows.prose(31, 300)
+    rows = []
+    for k in range(90):
+        words = base[:]
+        for place in fixture_rows.random.Random(k).sample(range(300), 4):
+            words[place] = f"own{k}_{place}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, link = [], ngram_join.link_buckets
+
+    def counting(workspace, postings, attributes, first_key, fits, verify, *rest):
+        def count(pairs):
+            found.append(pairs.count())
+            return verify(pairs)
+
+        return link(workspace, postings, attributes, first_key, fits, count, *rest)
+
+    monkeypatch.setattr(ngram_join, "link_buckets", counting)
+    out = ngram_join.near_duplicate_components(docs, shingle=3, percent=90).collect()
+    want = plain.near_components(rows, 3, 90)
+    assert sorted((r.doc_id, r.component_id) for r in out) == sorted((i, c) for i, _, c in want)
+    assert len({c for _, _, c in want}) > 80
+    assert len(found) == 3 and found[-1] < 90
+
+
+@pytest.mark.parametrize("outsiders", [3, 1024])
+def test_last_round_pairs_all_rows_of_different_components_once(spark, monkeypatch, outsiders):
+    from shelfcast.llm import buckets
+
+    monkeypatch.setattr(buckets, "OUTSIDERS", outsiders)
+    rng = fixture_rows.random.Random(5)
+    # Two buckets with a component of half of the rows, one of single rows, one component alone.
+    roots = {node: 0 if node < 15 else 1 if node < 20 else node for node in range(30)}
+    buckets_of = {1: range(30), 2: rng.sample(range(30), 20), 3: range(20, 30), 4: range(15)}
+    rows = [(token, node, roots[node]) for token, nodes in buckets_of.items() for node in nodes]
+    pairs = buckets._across(spark.createDataFrame(rows, "token long, node long, root long"), ["node", "root"])
+    got = sorted((r.token, *sorted((r.node_a, r.node_b))) for r in pairs.collect())
+    assert got == sorted(
+        (token, a, b) for token, nodes in buckets_of.items() for a in nodes for b in nodes if a < b and roots[a] != roots[b]
+    )
