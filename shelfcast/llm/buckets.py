@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import Workspace, components
+from .words import mix
 
 # Rounds that compare a bucket's rows with one centre each.
 CENTRE_ROUNDS = 2
@@ -23,6 +26,30 @@ def shared_only(postings: DataFrame) -> DataFrame:
     return postings.withColumns(edges).where("_low <> _high").drop("_low", "_high")
 
 
+def parity_marks(values: DataFrame, kind: type, longs: int) -> DataFrame:
+    """(node, mark0, ...): whether the hashes that fall on a bit are odd in number, from rows (node, packed hashes).
+
+    A hash that one side has once more than the other changes one bit, so no more bits differ than hashes do.
+    """
+    names = [f"mark{k}" for k in range(longs)]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = np.zeros((batch.num_rows, 64 * longs), np.uint8)
+            for k, value in enumerate(batch.column(1)):
+                bits = mix(np.frombuffer(value.as_buffer(), kind).astype(np.uint64), 77) % np.uint64(64 * longs)
+                odd[k] = np.bincount(bits.astype(np.int64), minlength=64 * longs) & 1
+            packed = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(packed[:, k]) for k in range(longs)]], ["node", *names])
+
+    return values.mapInArrow(build, "node long, " + ", ".join(f"{c} long" for c in names))
+
+
+def differing_bits(marks: DataFrame) -> str:
+    """SQL: the number of bits in which the marks of a pair differ."""
+    return " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in marks.columns if c.startswith("mark"))
+
+
 def _across(rows: DataFrame, sides: Sequence[str]) -> DataFrame:
     """Pairs of rows (suffixes _a and _b) of a bucket and of different components, from rows with a root.
 
@@ -61,7 +88,8 @@ def link_buckets(
     over each attribute (and node) with the suffixes _a and _b that must not
     depend on the sides' order; ``verify`` keeps the pairs (a, b) that do link.
     ``marks`` holds further attributes of the nodes, too wide for all rounds, for
-    ``alike``, an expression like ``fits`` that the last round tests as well.
+    ``alike``, an expression like ``fits`` that the last round tests as well and that
+    may ask for the bucket's token.
     A few rounds compare each bucket's rows with one centre: first the row with
     the smallest ``first_key``, then others. Rows that are connected by then are
     never compared again. A last round compares all pairs of different components

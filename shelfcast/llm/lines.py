@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import build_bitmap, passes
-from .buckets import link_buckets
+from .buckets import differing_bits, link_buckets, parity_marks
 from .tables import Workspace, plain_names
 from .words import binary_content, fold_ascii, hash_spans, mix, slices, spans, text_bytes
 
@@ -48,6 +48,8 @@ CELLS = 1 << 17
 # 64-bit numbers of word parities.
 PARITIES = 4
 MARKS = [f"parity{k}" for k in range(PARITIES)]
+# As many more for the last round, which compares the most pairs.
+LAST_PARITIES = 8
 
 
 def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
@@ -378,9 +380,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_col, text_col = names[id_col], names[text_col]
     keyed = docs.withColumns({"_id": F.col(id_col), "_doc": F.xxhash64(F.col(text_col).cast("string"))})
 
-    # An edit changes two parities at most.
+    # A replaced word changes two parities at most, one that is added or left out one; of these
+    # there are as many at least as the lengths differ by.
     differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in MARKS)
-    most = f"2 * (greatest(n_a, n_b) * {100 - percent} div 100)"
+    most = f"2 * (greatest(n_a, n_b) * {100 - percent} div 100) - abs(n_a - n_b)"
     fits = F.expr(f"{differ} <= {most} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     distinct = workspace.write(_keyed_lines(docs, text_col), "distinct")
     workspace.release()
@@ -399,9 +402,15 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         with_b = with_a.join(sequences.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
         return with_b.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
-    roots = workspace.write(link_buckets(workspace, postings, [*MARKS, "n"], F.xxhash64("node"), fits, verify), "roots")
+    # Lines with a passage in common share many keys: the last round meets a pair at the smallest only.
+    tokens = postings.groupBy("node").agg(F.collect_set("token").alias("tokens"))
+    marks = workspace.write(parity_marks(sequences, np.uint32, LAST_PARITIES).join(tokens, "node"), "marks")
+    alike = F.expr(f"{differing_bits(marks)} <= {most} and array_min(array_intersect(tokens_a, tokens_b)) = token")
+    roots = link_buckets(workspace, postings, [*MARKS, "n"], F.xxhash64("node"), fits, verify, marks, alike)
+    roots = workspace.write(roots, "roots")
     workspace.release()
     workspace.drop(sequences)
+    workspace.drop(marks)
     workspace.drop(postings)
 
     # The place that stays, for every line that occurs in more than one place or has near ones.

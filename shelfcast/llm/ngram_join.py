@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import build_bitmap, passes
-from .buckets import link_buckets, shared_only
+from .buckets import differing_bits, link_buckets, parity_marks, shared_only
 from .tables import Workspace, own_names, plain_names
 from .words import fold_ascii, gram_hashes, hash_spans, mix, slices, spans, text_bytes
 
@@ -41,7 +41,6 @@ ORDERS = 3
 SHARED = 5
 # 64-bit numbers of shingle parities that the last round compares.
 PARITIES = 16
-MARKS = [f"parity{k}" for k in range(PARITIES)]
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -181,27 +180,6 @@ def _prefixes(sets: DataFrame, percent: int, ranks) -> DataFrame:
     return sets.select("node", "grams").mapInArrow(build, schema)
 
 
-def _parities(sets: DataFrame) -> DataFrame:
-    """(node, *MARKS): whether the shingles that hash to a bit are odd in number.
-
-    A shingle that only one of two sets has changes one bit, so no more bits than that differ.
-    """
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros((batch.num_rows, 64 * PARITIES), np.uint8)
-            for k, value in enumerate(batch.column(1)):
-                bits = mix(np.frombuffer(value.as_buffer(), np.uint64), 77) % np.uint64(64 * PARITIES)
-                out[k] = np.bincount(bits.astype(np.int64), minlength=64 * PARITIES) & 1
-            packed = np.packbits(out, axis=1, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(packed[:, k]) for k in range(PARITIES)]], ["node", *MARKS]
-            )
-
-    schema = "node long, " + ", ".join(f"{c} long" for c in MARKS)
-    return sets.select("node", "grams").mapInArrow(build, schema)
-
-
 def _summary(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     """``docs`` without its text, with _n_shingles and _node (null without words)."""
     kept = [c for c in docs.columns if c != text_col]
@@ -327,7 +305,7 @@ def near_duplicate_components(
     workspace.drop(nodes)
     sets = workspace.write(_sets(docs, text_col, shingle, touched), "sets")
     prefixes = workspace.write(_prefixes(sets, percent, ranks), "prefixes")
-    parities = workspace.write(_parities(sets), "parities")
+    parities = workspace.write(parity_marks(sets, np.uint64, PARITIES), "parities")
     workspace.release()
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -345,8 +323,8 @@ def near_duplicate_components(
         and case when n_a < n_b then indexed_a when n_a > n_b then indexed_b else indexed_a and indexed_b end
         and least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {_least_overlap("n_a", "n_b", percent)}"""
     )
-    differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in MARKS)
-    alike = F.expr(f"{differ} <= n_a + n_b - 2 * {_least_overlap('n_a', 'n_b', percent)}")
+    # A shingle that only one of two sets has changes one parity.
+    alike = F.expr(f"{differing_bits(parities)} <= n_a + n_b - 2 * {_least_overlap('n_a', 'n_b', percent)}")
     roots = link_buckets(workspace, postings, ["n", "pos", "indexed"], F.col("pos"), fits, verify, parities, alike)
 
     # Nodes carry several rows; the component's id is the smallest of all of them.
