@@ -119,6 +119,8 @@ def components(workspace: Workspace, edges: DataFrame, a: str = "a", b: str = "b
         small = workspace.write(small.where("u <> v").distinct(), "small")
         workspace.drop(links)
         workspace.drop(large)
+        # The plans of a round leave the driver's heap before the next one makes its own.
+        workspace.release()
         links = small
     else:
         raise RuntimeError("the component search did not settle")
