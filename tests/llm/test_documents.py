@@ -500,3 +500,23 @@ def test_last_round_pairs_all_rows_of_different_components_once(spark, monkeypat
     assert got == sorted(
         (token, a, b) for token, nodes in buckets_of.items() for a in nodes for b in nodes if a < b and roots[a] != roots[b]
     )
+
+
+def test_line_pairs_are_bounded_by_their_lengths_and_met_once(spark, monkeypatch):
+    # Long lines with a passage in common, behind beginnings of other words and of two lengths.
+    passage = fixture_rows.prose(41, 55)
+    rows = [(k, " ".join([f"own{k}_{j}" for j in range(16 if k % 2 else 22)] + passage)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, link = [], lines.link_buckets
+
+    def counting(workspace, postings, attributes, first_key, fits, verify, *rest):
+        def count(pairs):
+            found.append(pairs.count())
+            return verify(pairs)
+
+        return link(workspace, postings, attributes, first_key, fits, count, *rest)
+
+    monkeypatch.setattr(lines, "link_buckets", counting)
+    assert {r.n_dropped for r in lines.drop_repeated_lines(docs).collect()} == {0}
+    # The bound without the lengths and the further parities left 366.
+    assert found and found[-1] < 120
