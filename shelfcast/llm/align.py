@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from ..session import small_batches
 from .chunks import ragged
 from .tables import Workspace, plain_names
 from .transducer import byte_symbols
@@ -47,6 +48,8 @@ MOST_CHUNK_BYTES, CHUNK_COST = 64 << 20, 200
 PART_PAIRS = 1 << 22
 # Bytes of texts of a shard, and distinct pairs a task holds.
 SHARD_BYTES, MOST_PAIRS = 2 << 20, 1 << 18
+# Shards of a file, some 5 MB each: all that a task writes or reads at a time, however many it has.
+FILE_SHARDS = 4
 # Chunks that are encoded as one text, and at a time.
 BLOCK_CHUNKS, LEARN_CHUNKS = 256, 1 << 13
 
@@ -383,6 +386,7 @@ def _reader(pairs: Broadcast, last: bool, n_b: int):
 def _shards(workspace: Workspace, docs: DataFrame, word_json: str, piece_model: str, text_col: str, keep_text: bool) -> tuple[DataFrame, dict[str, str], int]:
     """The written shards, the name of each column of ``docs`` in them, and the number of pieces."""
     spark = docs.sparkSession
+    small_batches(spark)
     content = Path(word_json).read_bytes(), Path(piece_model).read_bytes()
     aligner = Aligner(*content)
     if len(aligner.bytes_a) * aligner.n_b >= 1 << 32:
@@ -395,7 +399,7 @@ def _shards(workspace: Workspace, docs: DataFrame, word_json: str, piece_model:
     inside = kept.select("*", *[F.lit(0).cast("long").alias(c) for c in FIGURES]).schema
     schema = T.StructType([T.StructField("docs", T.ArrayType(inside)), *T.StructType.fromDDL(_SHARD)])
     aligned = _aligned(uuid.uuid4().hex, spark.sparkContext.broadcast(content), kept.columns)
-    return workspace.write(texts.mapInArrow(aligned, schema), "shards"), names, aligner.n_b
+    return workspace.write(texts.mapInArrow(aligned, schema), "shards", file_rows=FILE_SHARDS), names, aligner.n_b
 
 
 def _pairs(workspace: Workspace, shards: DataFrame, n_b: int) -> DataFrame:
@@ -441,7 +445,7 @@ def align_tokens(
         rows = pairs.where(F.pmod(F.xxhash64("pair"), F.lit(parts)) == part).toArrow().sort_by("pair")
         content = spark.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("pair", "n", "best")))
         if part + 1 < parts:
-            before, shards = shards, workspace.write(shards.mapInArrow(_reader(content, False, n_b), shards.schema), "shards")
+            before, shards = shards, workspace.write(shards.mapInArrow(_reader(content, False, n_b), shards.schema), "shards", file_rows=FILE_SHARDS)
             workspace.drop(before)
     inside = shards.schema["docs"].dataType.elementType
     schema = T.StructType([*inside, *T.StructType.fromDDL("n_best long, count_sum long, groups string")])

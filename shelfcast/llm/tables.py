@@ -48,12 +48,15 @@ class Workspace:
         self.root = f"{ensure_checkpoint_dir(spark)}/shelfcast-{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def write(self, df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    def write(self, df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = (), file_rows: int = 0) -> DataFrame:
+        """``df`` as a table; ``file_rows`` is for rows of megabytes, of which a writer or a reader holds a file's first hundred at once."""
         path = f"{self.root}/{self.count:03d}-{name}"
         self.count += 1
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
+        if file_rows:
+            writer = writer.option("maxRecordsPerFile", file_rows)
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shelfcast_path = path

@@ -279,3 +279,13 @@ def test_pair_counts_add_up_to_the_links(odd):
     out = align.align_tokens(odd, *FILES, keep_text=False)
     assert pairs.agg(F.sum("n")).first()[0] == out.agg(F.sum("n_links")).first()[0]
     assert pairs.groupBy("b").agg(F.max("n") - F.max(F.when(F.col("best"), F.col("n")))).where("`(max(n) - max(CASE WHEN best THEN n END))` <> 0").isEmpty()
+
+
+def test_files_of_shards_hold_few_rows(spark):
+    """A task writes and reads a file's rows at once, and a shard is a row of megabytes; before, a task's shards were one file."""
+    texts = spark.range(0, 10, 1, 1).select(F.col("id").alias("doc_id"), F.expr(f"repeat('the quick brown fox ', {align.SHARD_BYTES // 20 + 9})").alias("text"))
+    workspace = align.Workspace(spark, "files")
+    shards, *_ = align._shards(workspace, texts, *FILES, "text", False)
+    files = [r.n for r in shards.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(files) == 10 and max(files) <= align.FILE_SHARDS
+    assert {r.n_a > 0 for r in align.align_tokens(texts, *FILES, keep_text=False).collect()} == {True}
