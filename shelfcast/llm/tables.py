@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, release_shuffles
 
 # Rounds after which the component search stops with an error instead of running on.
 MAX_ROUNDS = 60
@@ -63,13 +62,8 @@ class Workspace:
         return out
 
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished steps now.
-
-        It does so when the driver collects its garbage, which a driver with
-        little to do may put off until after the disks are full.
-        """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """See :func:`~shelfcast.session.release_shuffles`."""
+        release_shuffles(self.spark)
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""

@@ -6,6 +6,7 @@ import pytest
 
 from shelfcast.operators import models
 from shelfcast.operators.encode import encode, fit_encoders
+from shelfcast.plans import training as plans
 from shelfcast.plans.training import train_stores
 
 COLUMNS = (
@@ -60,3 +61,23 @@ def test_cells_are_summed_without_a_sort(panel):
     cells = models.store_cells(models.training_rows(featured, clean, with_low=True))
     assert "SortAggregate" not in plan(cells)
     assert cells.groupBy("store_id").sum("n").count() == 3 and cells.filter("low[0] is null").isEmpty()
+
+
+def test_training_rows_are_not_moved_by_store(spark, panel, monkeypatch):
+    """Features lie by series, and a store's split date comes to its series; before, all rows went by store to the join and to the scores."""
+    plans_of, store = {}, plans.stored
+    monkeypatch.setattr(plans, "stored", lambda df, name: (plans_of.setdefault(name, plan(df)), store(df, name))[1])
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        summary = train_stores(panel).summary
+        scored = plan(summary)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    rows = plans_of["training"].split("\n")
+    window = next(k for k, line in enumerate(rows) if "Window" in line)
+    depth = [line.find(next(c for c in line if c.isalnum() or c == "*")) for line in rows[: window + 1]]
+    above = [rows[k] for k in range(window) if all(depth[j] > depth[k] for j in range(k + 1, window + 1))]
+    assert not any("Exchange" in line and "product_id" not in line for line in above)
+    assert "valid" in next(line for line in scored.split("\n") if "PushedFilters" in line and "split" in line)
+    assert sorted((r.store_id, r.records, r.mae is not None) for r in summary.collect()) == [(f"S{s}", 240, True) for s in range(3)]
